@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marram.llm import docpairs, responses, truncation
+from marram.llm import docpairs, neardup, responses, truncation
 from marram.sources.tables import table
 
 
@@ -30,6 +30,19 @@ def p4_by_model(spark: SparkSession, root: str) -> DataFrame:
     return n.join(d, F.col("model").eqNullSafe(F.col("m"))).select("model", "defect", "n_defects", "n_results")
 
 
+#: The near-duplicate case of the test data: runs of three words, 0.6, at least 20 words.
+CHUNK_PAIRS = neardup.NearDuplicates(num=3, den=5, width=3, min_words=20)
+
+
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    return neardup.similar_pairs(table(spark, root, "chunks"), "chunk_no", "content", CHUNK_PAIRS).select("chunk_no_a", "chunk_no_b")
+
+
+def p5_classes(spark: SparkSession, root: str) -> DataFrame:
+    """Classes of chunks at the general setting: runs of five words, similarity 0.8."""
+    return neardup.classes(table(spark, root, "chunks"), "chunk_no", "content")
+
+
 def p8_found(spark: SparkSession, root: str) -> DataFrame:
     return truncation.truncated(table(spark, root, "documents")).select("doc_id").distinct()
 
@@ -44,6 +57,8 @@ QUERIES = {
     "p2_pairs": p2_pairs,
     "p4_found": p4_found,
     "p4_by_model": p4_by_model,
+    "p5_found": p5_found,
+    "p5_classes": p5_classes,
     "p8_found": p8_found,
     "p8_by_source": p8_by_source,
 }
