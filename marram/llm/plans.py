@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marram.llm import docpairs, neardup, responses, truncation
+from marram.llm import budget, contamination, docpairs, neardup, packing, responses, truncation
+from marram.llm.tokenizers import Tokenizer
 from marram.sources.tables import table
 
 
@@ -17,6 +18,21 @@ def p2_pairs(spark: SparkSession, root: str) -> DataFrame:
     return docpairs.pairs(table(spark, root, "methods"))
 
 
+def _budget(spark: SparkSession, root: str) -> budget.TokenBudget:
+    """All chunks first, then the same chunks without the removed ones: the second step is a signed delta."""
+    chunks, domains = table(spark, root, "chunks"), table(spark, root, "path_domains")
+    first = budget.TokenBudget(Tokenizer()).update(budget.label_chunks(chunks, domains))
+    return first.update(budget.label_chunks(chunks.where("deleted_at is null"), domains))
+
+
+def p3_token_budget(spark: SparkSession, root: str) -> DataFrame:
+    return _budget(spark, root).cube
+
+
+def p3_totals(spark: SparkSession, root: str) -> DataFrame:
+    return budget.totals(_budget(spark, root).cube)
+
+
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
     return responses.defects(table(spark, root, "rag_results"), table(spark, root, "questions"))
 
@@ -43,6 +59,37 @@ def p5_classes(spark: SparkSession, root: str) -> DataFrame:
     return neardup.classes(table(spark, root, "chunks"), "chunk_no", "content")
 
 
+def _placed(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    limits = table(spark, root, "token_limits").where("max_tokens > reserved_tokens")
+    limits = limits.select("model", (F.col("max_tokens") - F.col("reserved_tokens")).alias("capacity"))
+    lengths = packing.token_lengths(table(spark, root, "documents"), "doc_id", "text", Tokenizer())
+    # a handful of models; the capacities become literals of the plan
+    return packing.pack(lengths, [r["capacity"] for r in limits.select("capacity").distinct().collect()]), limits
+
+
+def p6_containers(spark: SparkSession, root: str) -> DataFrame:
+    """Contents and unused space of every container of every model."""
+    placed, limits = _placed(spark, root)
+    return packing.containers(placed).join(limits, "capacity").select("model", "capacity", "container_id", "n_items", "used", "unused", "contents")
+
+
+def p6_placement(spark: SparkSession, root: str) -> DataFrame:
+    """Container of every document, or of every piece of one that is larger than a container."""
+    placed, limits = _placed(spark, root)
+    return packing.container_id(placed).join(limits, "capacity").select("model", "capacity", "container_id", F.col("item").alias("doc_id"), "piece", "tokens", "bucket")
+
+
+def p7_found(spark: SparkSession, root: str) -> DataFrame:
+    found = contamination.leaks(table(spark, root, "documents"), table(spark, root, "eval_items"))
+    return contamination.verbatim(found).select("doc_id", "item_id")
+
+
+def p7_kinds(spark: SparkSession, root: str) -> DataFrame:
+    """Verbatim leaks and paraphrases, with their evidence."""
+    found = contamination.leaks(table(spark, root, "documents"), table(spark, root, "eval_items"), p=contamination.LeakSearch(min_run=8, cosine=0.6))
+    return contamination.kinds(found).select("doc_id", "item_id", "kind", "longest_run", F.round("lcs_share", 4).alias("lcs_share"))
+
+
 def p8_found(spark: SparkSession, root: str) -> DataFrame:
     return truncation.truncated(table(spark, root, "documents")).select("doc_id").distinct()
 
@@ -55,10 +102,16 @@ def p8_by_source(spark: SparkSession, root: str) -> DataFrame:
 QUERIES = {
     "p2_found": p2_found,
     "p2_pairs": p2_pairs,
+    "p3_token_budget": p3_token_budget,
+    "p3_totals": p3_totals,
     "p4_found": p4_found,
     "p4_by_model": p4_by_model,
     "p5_found": p5_found,
     "p5_classes": p5_classes,
+    "p6_containers": p6_containers,
+    "p6_placement": p6_placement,
+    "p7_found": p7_found,
+    "p7_kinds": p7_kinds,
     "p8_found": p8_found,
     "p8_by_source": p8_by_source,
 }
