@@ -44,7 +44,7 @@ class LeakSearch:
     rank: int = 96
     oversample: int = 16
     power: int = 1
-    cosine: float = 0.45
+    cosine: float = 0.6
     seed: int = 7
     items_a_pass: int = 4096
 
@@ -229,29 +229,25 @@ def latent_space(found: DataFrame, items: Items, idf: np.ndarray, p: LeakSearch)
     return q @ vectors[:, np.argsort(values)[::-1][: p.rank]]
 
 
-def _longest_run(a: np.ndarray, b: np.ndarray) -> int:
-    """Length of the longest run of words that two texts share."""
-    best, before = 0, np.zeros(len(b) + 1, np.int32)
-    for x in a:
-        now = np.zeros(len(b) + 1, np.int32)
-        hit = np.flatnonzero(b == x)
-        now[hit + 1] = before[hit] + 1
-        if len(hit):
-            best = max(best, int(now[hit + 1].max()))
-        before = now
-    return best
+def align(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Longest shared run and longest common subsequence of many pairs of texts at once.
 
-
-def _common(a: np.ndarray, b: np.ndarray) -> int:
-    """Length of the longest common subsequence of two texts."""
-    before = np.zeros(len(b) + 1, np.int32)
-    for x in a:
-        grown = np.where(b == x, before[:-1] + 1, before[1:])
-        before = np.concatenate([[0], np.maximum.accumulate(np.maximum(grown, before[1:]))])
-    return int(before[-1])
+    ``a`` and ``b`` hold one text a row, as word numbers padded with -1 and -2. The
+    tables of both programs are filled row by row for all pairs together.
+    """
+    n, width = b.shape
+    run, best = np.zeros((n, width + 1), np.int16), np.zeros(n, np.int16)
+    lcs = np.zeros((n, width + 1), np.int16)
+    for j in range(a.shape[1]):
+        hit = b == a[:, j : j + 1]
+        run[:, 1:] = np.where(hit, run[:, :-1] + 1, 0)
+        best = np.maximum(best, run.max(axis=1))
+        grown = np.where(hit, lcs[:, :-1] + 1, lcs[:, 1:])
+        lcs[:, 1:] = np.maximum.accumulate(np.maximum(grown, lcs[:, 1:]), axis=1)
+    return best.astype(np.int32), lcs[:, -1].astype(np.int32)
 
 
-_LEAKS = "doc_id long, item_id long, cosine double, longest_run int, lcs_share double"
+_LEAKS = "doc_id long, item_id long, cosine double, longest_run int, common int, lcs_share double"
 
 
 def _search(documents: DataFrame, key: str, column: str, items: Items, p: LeakSearch) -> DataFrame:
@@ -269,31 +265,32 @@ def _search(documents: DataFrame, key: str, column: str, items: Items, p: LeakSe
     latent = Weights(idf).times(queries, basis)
     latent /= np.maximum(np.linalg.norm(latent, axis=1), 1e-12)[:, None]
     sent = spark.sparkContext.broadcast((basis.astype(np.float32), idf, latent.astype(np.float32), owner, items.ids, items.words))
-    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("cosine", pa.float64()), ("longest_run", pa.int32()), ("lcs_share", pa.float64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("cosine", pa.float64()), ("longest_run", pa.int32()), ("common", pa.int32()), ("lcs_share", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         basis_, idf_, latent_, owner_, ids, words = sent.value
         wt = Weights(idf_)
+        ids_ = np.array(ids, np.int64)
         order = np.argsort(owner_, kind="stable")
         starts = np.flatnonzero(np.concatenate([[True], np.diff(owner_[order]) > 0]))
         members = owner_[order][starts]
+        widest = max(map(len, words))
+        padded = np.array([np.concatenate([x, np.full(widest - len(x), -2, x.dtype)]) for x in words])
         for b in batches:
-            docs, texts = b.column(0).to_pylist(), [np.frombuffer(x, np.int32) for x in b.column(1).to_pylist()]
-            out: list[list] = [[], [], [], [], []]
-            for at in range(0, len(texts), 1000):
-                part = texts[at : at + 1000]
-                w, of = _cut(part, p.window, p.step)
+            docs, texts = np.array(b.column(0).to_pylist(), np.int64), [np.frombuffer(x, np.int32) for x in b.column(1).to_pylist()]
+            for at in range(0, len(texts), 500):
+                w, of = _cut(texts[at : at + 500], p.window, p.step)
                 v = wt.times(w, basis_).astype(np.float32)
                 v /= np.maximum(np.linalg.norm(v, axis=1), 1e-12)[:, None]
                 # best cosine of any of an item's windows
                 cos = np.maximum.reduceat((v @ latent_.T)[:, order], starts, axis=1)
-                for k, j in zip(*np.nonzero(cos >= p.cosine)):
-                    text, item = part[of[k]], words[members[j]]
-                    s = int(_windows(len(text), p.window, p.step)[k - np.searchsorted(of, of[k])])
-                    near = text[s : s + p.window]
-                    for o, x in zip(out, (docs[at + of[k]], ids[members[j]], float(cos[k, j]), _longest_run(near, item), _common(near, item) / len(near))):
-                        o.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(o, f.type) for o, f in zip(out, schema)], schema=schema)
+                k, j = np.nonzero(cos >= p.cosine)
+                for lo in range(0, len(k), 5000):
+                    kk, jj = k[lo : lo + 5000], j[lo : lo + 5000]
+                    run_, common = align(w[kk], padded[members[jj]])
+                    share = common / np.maximum((w[kk] >= 0).sum(axis=1), 1)
+                    got = (docs[at + of[kk]], ids_[members[jj]], cos[kk, jj].astype(np.float64), run_, common, share)
+                    yield pa.RecordBatch.from_arrays([pa.array(o, f.type) for o, f in zip(got, schema)], schema=schema)
 
     return found.where("words is not null").select("doc_id", "words").mapInArrow(run, _LEAKS)
 
@@ -302,8 +299,8 @@ def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", column: s
     """``doc_id, item_id`` of every candidate, with its best evidence.
 
     ``items``: ``item_id, text``. Result columns: ``cosine`` (latent), ``longest_run``
-    (shared consecutive words, up to a window) and ``lcs_share`` (part of the window that
-    is a common subsequence). Null and empty texts have no passages; empty tables give
+    (shared consecutive words, up to a window), ``common`` and ``lcs_share`` (words, and part,
+    of the window that are a common subsequence). Null and empty texts have no passages; empty tables give
     an empty result; repeated documents count once per id.
 
     The items are the stated query set: they are read by the driver and broadcast in
@@ -320,7 +317,7 @@ def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", column: s
     if out is None:
         out = spark.createDataFrame([], _LEAKS)
     return out.groupBy(F.col("doc_id").alias(key), "item_id").agg(
-        F.max("cosine").alias("cosine"), F.max("longest_run").alias("longest_run"), F.max("lcs_share").alias("lcs_share")
+        F.max("cosine").alias("cosine"), F.max("longest_run").alias("longest_run"), F.max("common").alias("common"), F.max("lcs_share").alias("lcs_share")
     )
 
 
@@ -329,6 +326,7 @@ def verbatim(found: DataFrame, words: int = 13) -> DataFrame:
     return found.where(F.col("longest_run") >= words)
 
 
-def kinds(found: DataFrame, words: int = 13, share: float = 0.7) -> DataFrame:
-    """Verbatim leaks and paraphrases: most words of a window in the item's order."""
-    return found.withColumn("kind", F.when(F.col("longest_run") >= words, "verbatim").when(F.col("lcs_share") >= share, "paraphrase")).where("kind is not null")
+def kinds(found: DataFrame, words: int = 13, share: float = 0.8) -> DataFrame:
+    """Verbatim leaks and paraphrases: enough words of a window in the item's order, but no run of ``words``."""
+    paraphrase = (F.col("lcs_share") >= share) & (F.col("common") >= words)
+    return found.withColumn("kind", F.when(F.col("longest_run") >= words, "verbatim").when(paraphrase, "paraphrase")).where("kind is not null")

@@ -86,7 +86,7 @@ def p7_found(spark: SparkSession, root: str) -> DataFrame:
 
 def p7_kinds(spark: SparkSession, root: str) -> DataFrame:
     """Verbatim leaks and paraphrases, with their evidence."""
-    found = contamination.leaks(table(spark, root, "documents"), table(spark, root, "eval_items"), p=contamination.LeakSearch(min_run=8, cosine=0.6))
+    found = contamination.leaks(table(spark, root, "documents"), table(spark, root, "eval_items"), p=contamination.LeakSearch(min_run=8, cosine=0.7))
     return contamination.kinds(found).select("doc_id", "item_id", "kind", "longest_run", F.round("lcs_share", 4).alias("lcs_share"))
 
 
