@@ -9,6 +9,7 @@ one machine) a folder is made once per process and set as the checkpoint folder.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -39,14 +40,30 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass
 
 
-def write_through(df: DataFrame, name: str) -> DataFrame:
+def write_through(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     The table is removed when the Python process ends; until then any number of
-    lazily evaluated plans may read it.
+    lazily evaluated plans may read it. Shuffle files of plans that nobody holds any
+    more are released at once, as the cut would else double what lies on disk.
     """
-    spark = df.sparkSession
+    spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.mode("error").parquet(path)
+    df.write.mode("error").option("compression", compression).parquet(path)
     atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    del df
+    release(spark)
+    return spark.read.schema(schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files and broadcasts that are no longer referred to.
+
+    Events that wait for their listeners still hold plans, so they are waited for.
+    """
+    gc.collect()
+    try:
+        spark._jsc.sc().listenerBus().waitUntilEmpty(5000)
+    except Exception:  # slow listeners only delay the deletion
+        pass
+    spark._jvm.System.gc()
