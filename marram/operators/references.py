@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 #: Width of a time slice. A key's slices are bounded by the span of the data, not by its rows.
 SLICE_MINUTES = 10
 
-_FOREVER = F.lit("9999-12-31 23:59:59").cast("timestamp_ntz")
+_FOREVER = "9999-12-31 23:59:59"
 
 
 def time_slice(ts: Column, minutes: int = SLICE_MINUTES) -> Column:
@@ -57,7 +57,7 @@ def orphan_references(references: DataFrame, parents: DataFrame, separator: str
     p = parents.select(
         F.col("id").alias("key"),
         F.col("ingested_at").cast("timestamp_ntz").alias("t"),
-        F.coalesce(F.col("deleted_at").cast("timestamp_ntz"), _FOREVER).alias("until"),
+        F.coalesce(F.col("deleted_at").cast("timestamp_ntz"), F.lit(_FOREVER).cast("timestamp_ntz")).alias("until"),
     ).where(F.col("key").isNotNull())
     p = p.select(
         F.explode(

@@ -69,10 +69,12 @@ def test_oversized(spark):
     assert [(r["id"], r["part"]) for r in got] == [("d::a::part-1", 1), ("d::a::part-2", 2)]
     assert got[0]["content"].count(FENCE) == 2
     rows = "\n".join(f"| {words(100)} | b |" for _ in range(12))
-    got = chunks(spark, f"# T\n\n| a | b |\n|---|---|\n{rows}")
-    assert len(got) > 1 and all(r["content"].startswith("| a | b |\n|---|---|") for r in got if r["table_part"])
+    got = chunks(spark, f"# T\n\n{words(300)}\n\n| a | b |\n|---|---|\n{rows}")
+    assert [r["id"] for r in got] == ["d::t::part-1", *(f"d::t::part-2::table-{i}" for i in (1, 2, 3))]
+    assert all(r["content"].startswith("| a | b |\n|---|---|\n") for r in got[1:])
     items = "\n".join(f"<ApiItem n>{words(30)}</ApiItem>" for _ in range(23))
     got = chunks(spark, f"# L\n<ApiList>\n{items}\n</ApiList>")
+    assert got[0]["content"].startswith("# L\n<ApiList>\n\n<ApiItem ") and got[0]["content"].endswith("</ApiList>")
     assert [r["content"].count("<ApiItem ") for r in got if r["api_items_part"]] == [10, 10, 3]
     got = chunks(spark, "# M\n" + "\n".join(f"@method {words(90)}" for _ in range(12)))
     assert [r["content"].count("@method") for r in got if r["method_annotations_part"]] == [5, 5, 2]
