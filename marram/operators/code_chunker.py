@@ -46,18 +46,6 @@ def parse_methods(files: DataFrame) -> DataFrame:
     return _stage(files.select("file", "content"), _METHODS, rows)
 
 
-def code_ranges(methods: DataFrame, config: RetrievalConfig = RetrievalConfig()) -> DataFrame:
-    """``key, chunk_index, start, end`` of the parts of each method's content."""
-
-    def rows(key, text):
-        text = text or ""
-        r = S.merge_small(S.structural_ranges(text, config.max_code_chars), config.min_code_chars, config.max_code_chars)
-        for i, (s, e) in enumerate(r):
-            yield key, i, s, e
-
-    return _stage(methods.select("key", "content"), "key long, chunk_index int, start int, end int", rows)
-
-
 def chunk_methods(methods: DataFrame, config: RetrievalConfig = RetrievalConfig()) -> DataFrame:
     """Chunks of ``id, name, content, start_line, end_line, file``.
 

@@ -88,29 +88,30 @@ def search(queries: DataFrame, vectors: DataFrame, k: int, block: int = BLOCK) -
         sent = spark.sparkContext.broadcast(([r["query_id"] for r in rows], np.array([r["embedding"] for r in rows], np.float64)))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            import pandas as pd
+
             ids, q = sent.value
-            ids = np.array(ids, dtype=object)
-            best_s, best_d = np.full((len(ids), 0), 0.0), np.full((len(ids), 0), None, dtype=object)
-            types = None
+            best, types = None, None
             for b in batches:
                 types = b.schema.field(0).type
-                docs = np.array(b.column(0).to_pylist(), dtype=object)
-                m = np.array(b.column(1).to_pylist(), np.float64).reshape(len(docs), -1)
-                s = np.concatenate([best_s, np.round(q @ m.T, 9)], axis=1)
-                d = np.concatenate([best_d, np.broadcast_to(docs, (len(ids), len(docs)))], axis=1)
-                # by score, then by doc: all of a tie at the end must be seen before it is cut
-                keep = min(k, s.shape[1])
-                floor = -np.partition(-s, keep - 1, axis=1)[:, keep - 1]
-                rows_s, rows_d = np.full((len(ids), keep), -np.inf), np.full((len(ids), keep), None, dtype=object)
-                for i in range(len(ids)):
-                    at = np.flatnonzero(s[i] >= floor[i])
-                    at = sorted(at, key=lambda j: (-s[i, j], d[i, j]))[:keep]
-                    rows_s[i], rows_d[i] = s[i, at], d[i, at]
-                best_s, best_d = rows_s, rows_d
-            if types is not None:
-                n = best_s.shape[1]
+                # few vectors at a time: the matrix of scores stays small
+                step = max(k, 4_000_000 // len(ids))
+                for at in range(0, b.num_rows, step):
+                    part = b.slice(at, step)
+                    docs = part.column(0).to_pylist()
+                    m = np.array(part.column(1).to_pylist(), np.float64).reshape(len(docs), -1)
+                    s = np.round(q @ m.T, 9)
+                    if len(docs) > k:  # with all of a tie at the end
+                        i, j = np.nonzero(s >= -np.partition(-s, k - 1, axis=1)[:, k - 1 : k])
+                    else:
+                        i, j = np.nonzero(np.ones_like(s, bool))
+                    found = pd.DataFrame({"i": i, "score": s[i, j], "doc": [docs[x] for x in j]})
+                    both = found if best is None else pd.concat([best, found])
+                    both = both.sort_values(["i", "score", "doc"], ascending=[True, False, True])
+                    best = both[both.groupby("i").cumcount() < k]
+            if best is not None and len(best):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(ids, n).tolist()), pa.array(best_d.ravel().tolist(), types), pa.array(best_s.ravel())], names=["query_id", "doc", "score"]
+                    [pa.array([ids[x] for x in best["i"]]), pa.array(best["doc"].tolist(), types), pa.array(best["score"].to_numpy())], names=["query_id", "doc", "score"]
                 )
 
         return vectors.where("embedding is not null").select("doc", "embedding").mapInArrow(run, ddl)

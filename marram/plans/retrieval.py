@@ -188,6 +188,18 @@ def dense_top10(spark, root):
     return dense.search(q, v, 10).select("query_id", "doc", F.round("score", 6).alias("score"), "rank")
 
 
+def embedding_texts(spark, root):
+    """Text that is embedded or reranked for each chunk."""
+    c = corpus(spark, root)
+    return c.select("doc", F.md5(T.embedding_text(F.col("source"), F.col("file"), F.col("method"), F.col("text"))).alias("text_md5"))
+
+
+def query_texts(spark, root):
+    """Questions in the forms that model families expect."""
+    q = asked(spark, root)
+    return q.select("query_id", *(dense.format_query(s, F.col("query")).alias(s) for s in dense.QUERY_FORMATS))
+
+
 def hashed_embeddings(spark, root):
     e = dense.embed(corpus(spark, root).where("source = 'code'"))
     return e.select("doc", F.posexplode("embedding").alias("dim", "x")).where("x <> 0").select("doc", F.col("dim").cast("long").alias("dim"), F.round("x", 6).alias("x"))
@@ -366,6 +378,13 @@ def citation_sources(spark, root):
     )
 
 
+def graded_runs(spark, root):
+    """Rubric totals per model with answer length as the grade: 0 without text, 1 in short, 2 from ten words on."""
+    r = table(spark, root, "rag_results").select(F.coalesce("model", F.lit("none")).alias("model"), T.word_count(F.coalesce("answer", F.lit(""))).alias("n"))
+    grade = F.when(F.col("n") == 0, 0).when(F.col("n") < 10, 1).otherwise(2)
+    return r.groupBy("model").agg(F.sum(grade).alias("score"), (2 * F.count(F.lit(1))).alias("out_of"), F.round(F.avg(grade / 2.0), 6).alias("share"))
+
+
 def generation_records(spark, root):
     """Evaluation records of generated answers, open for manual grades."""
     r = table(spark, root, "rag_results").select("result_id", "model", "question_id", "answer", "chunks")
@@ -378,10 +397,10 @@ QUERIES = {
     f.__name__: f
     for f in (
         word_count, slugify, clean_text, front_matter, skip_filter, noise_filter, link_text, dup_id_suffix, greedy_pack_parts, prev_next_links, hard_split_ranges,
-        method_chunks, parsed_methods, document_chunks, heading_sections, tokenize_stats, postings_df, bm25_top10, dense_top10, hashed_embeddings, hybrid_topk,
+        method_chunks, parsed_methods, document_chunks, heading_sections, tokenize_stats, postings_df, bm25_top10, dense_top10, embedding_texts, query_texts, hashed_embeddings, hybrid_topk,
         rrf_weighted, multi_source_union, source_quota_select, reranked, first_relevant_rank, recall_mrr_bm25, recall_by_category, recall_mrr_dense,
         pairwise_compare, expected_source_recall, prefix_match_recall, token_length_stats, oversized_top30, prompt_context, answers, ask_validation,
-        rewritten, citation_sources, generation_records,
+        rewritten, citation_sources, graded_runs, generation_records,
     )
 }
 

@@ -114,6 +114,15 @@ SELECT term, CAST(count(DISTINCT doc) AS BIGINT) AS df, CAST(count(*) AS BIGINT)
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE embedding IS NOT NULL),
 s AS (SELECT a.vec_id AS query_id, b.vec_id AS doc, round(list_inner_product(a.e, b.e), 9) AS score FROM v a, v b WHERE a.vec_id % 100 = 0)
 SELECT query_id, doc, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS rank FROM s) WHERE rank <= 10""",
+    "embedding_texts": """
+SELECT chunk_no AS doc, md5(CASE lower(trim(source)) WHEN 'code' THEN 'File: ' || coalesce(CASE WHEN metadata.file_path <> '' THEN metadata.file_path ELSE metadata.file END, '') || chr(10) || 'Method: ' || coalesce(metadata.method, '') || chr(10) || chr(10) || content
+  WHEN 'docs' THEN content ELSE '' END) AS text_md5 FROM chunks WHERE content IS NOT NULL""",
+    "query_texts": _with(_ASKED) + """
+SELECT query_id, query AS raw, 'Represent this sentence for searching relevant passages: ' || query AS prefix,
+  'Instruct: Retrieve passages that answer the question.' || chr(10) || 'Query: ' || query AS instruct FROM asked""",
+    "graded_runs": f"""
+SELECT model, CAST(sum(g) AS BIGINT) AS score, CAST(2 * count(*) AS BIGINT) AS out_of, round(avg(g / 2.0), 6) AS share
+FROM (SELECT coalesce(model, 'none') AS model, CASE WHEN n = 0 THEN 0 WHEN n < 10 THEN 1 ELSE 2 END AS g FROM (SELECT model, {_WORDS.format("coalesce(answer, '')")} AS n FROM rag_results)) GROUP BY model""",
     "hashed_embeddings": _with(_CORPUS, _CODE, _embed("e", "doc", "text", "code")) + "SELECT doc, dim, round(x, 6) AS x FROM e",
     "hybrid_topk": _with(_CORPUS, _ASKED, _embed("eq", "query_id", "query", "asked"), _embed("ed", "doc", "text", "corpus"), f"""
 dots AS (SELECT q.query_id, d.doc, sum(q.x * d.x) AS s FROM eq q JOIN ed d USING (dim) GROUP BY ALL),
