@@ -222,6 +222,8 @@ def broken(text: str, model: Endings, common: int = 3) -> tuple[str | None, str
         return all_("sentence")
     if last.count("(") > last.count(")"):
         return all_("sentence")
+    if re.search(r"\]\([^()\s]+\)$", last):  # a link
+        return _NONE
     bullet, heading, prose = bool(_BULLET.match(last)), last[0] == "#", prose_line(last)
     h, k = model.tokens(t[-TAIL:])
     if k[-1] != WORD:
@@ -240,7 +242,8 @@ def broken(text: str, model: Endings, common: int = 3) -> tuple[str | None, str
         cut = "sentence" if we * 50 < wm and pe * 50 < pm else None
         return (cut, cut, cut or ("sentence" if pe * 4 < pm else None))
     share = pe / (pe + pm) if pe + pm >= 2 else we / (we + wm + 4)
-    lenient = None if share >= (0.02 if heading else 0.25) else "sentence"
+    # titles are free in form: only words that practically never end anything tell against one
+    lenient = None if share >= 0.25 or heading and not (we * 50 < wm and wm >= 100) else "sentence"
     # a mark earlier in the same line shows that its author sets them
     marks = prose and re.search(r"\w[\w`)\"']*[.!?]\s+\S", last)
     strict = "sentence" if prose else lenient
@@ -248,7 +251,7 @@ def broken(text: str, model: Endings, common: int = 3) -> tuple[str | None, str
         lenient = None
     # a long line that begins like a written sentence should end like one
     marks = marks or prose and last[0].isupper() and len(last.split()) >= 7
-    return (strict if marks else lenient, strict, None if heading and share >= 0.5 else "sentence" if prose or share < 0.5 else None)
+    return (strict if marks else lenient, strict, lenient if heading else "sentence" if prose or share < 0.5 else None)
 
 
 def blank_text(c: Column) -> Column:
