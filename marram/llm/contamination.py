@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marram.llm.counts import add_up, pack_part, task_number
 from marram.llm.words import WORD
 from marram.storage import write_through
 
@@ -110,25 +111,16 @@ def passages(documents: DataFrame, key: str, column: str, items: Items, p: LeakS
 
 
 def _sum(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], np.ndarray]], size: int, dtype: type) -> np.ndarray:
-    """Sum over all rows of a vector of fixed size: per task, then over tasks in a stream."""
+    """Sum over all rows of a vector of fixed size: per task, then over tasks in streams."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f, total = make(), np.zeros(size, dtype)
         for b in batches:
             if b.num_rows:
                 total += f(b)
-        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=["v"])
+        yield pack_part(0, task_number(), total)
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, dtype)
-        for b in batches:
-            for raw in b.column(0):
-                total += np.frombuffer(zlib.decompress(raw.as_py()), dtype)
-        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=["v"])
-
-    tasks = df.mapInArrow(local, "v binary")
-    got = tasks.repartition(4).mapInArrow(merge, "v binary").collect()
-    return sum((np.frombuffer(zlib.decompress(bytes(r["v"])), dtype) for r in got), np.zeros(size, dtype))
+    return add_up(df.mapInArrow(local, "slice int, part int, counts binary"), dtype).get(0, np.zeros(size, dtype))
 
 
 def _windows(n: int, width: int, step: int) -> np.ndarray:
@@ -150,6 +142,10 @@ def _cut(texts: list[np.ndarray], width: int, step: int) -> tuple[np.ndarray, np
     return (np.array(rows, np.int64).reshape(len(rows), width), np.array(owner, np.int64))
 
 
+#: Windows that are multiplied at once; a very long text has many.
+_ROWS = 2048
+
+
 class Weights:
     """TF-IDF rows of windows, as sparse as they are: a window has at most its width of terms."""
 
@@ -168,16 +164,22 @@ class Weights:
         return v / np.maximum(length, 1e-12)[:, None]
 
     def times(self, w: np.ndarray, m: np.ndarray) -> np.ndarray:
-        """Rows times a matrix with one row per term."""
+        """Rows times a matrix with one row per term, a bounded number of rows at a time."""
         padded = np.concatenate([m, np.zeros((1, m.shape[1]), m.dtype)])
-        return np.einsum("ij,ijk->ik", self.scales(w), padded[w])
+        out = np.empty((len(w), m.shape[1]))
+        for at in range(0, len(w), _ROWS):
+            x = w[at : at + _ROWS]
+            out[at : at + _ROWS] = np.einsum("ij,ijk->ik", self.scales(x), padded[x])
+        return out
 
     def transposed_times(self, w: np.ndarray, y: np.ndarray, terms: int) -> np.ndarray:
         """Transposed rows times a matrix with one row per window."""
         out = np.zeros((terms + 1, y.shape[1]))
-        s = self.scales(w)
-        for j in range(w.shape[1]):
-            np.add.at(out, w[:, j], s[:, j, None] * y)
+        for at in range(0, len(w), _ROWS):
+            x, part = w[at : at + _ROWS], y[at : at + _ROWS]
+            s = self.scales(x)
+            for j in range(w.shape[1]):
+                np.add.at(out, x[:, j], s[:, j, None] * part)
         return out[:-1]
 
 
@@ -279,18 +281,19 @@ def _search(documents: DataFrame, key: str, column: str, items: Items, p: LeakSe
         for b in batches:
             docs, texts = np.array(b.column(0).to_pylist(), np.int64), [np.frombuffer(x, np.int32) for x in b.column(1).to_pylist()]
             for at in range(0, len(texts), 500):
-                w, of = _cut(texts[at : at + 500], p.window, p.step)
-                v = wt.times(w, basis_).astype(np.float32)
-                v /= np.maximum(np.linalg.norm(v, axis=1), 1e-12)[:, None]
-                # best cosine of any of an item's windows
-                cos = np.maximum.reduceat((v @ latent_.T)[:, order], starts, axis=1)
-                k, j = np.nonzero(cos >= p.cosine)
-                for lo in range(0, len(k), 5000):
-                    kk, jj = k[lo : lo + 5000], j[lo : lo + 5000]
-                    run_, common = align(w[kk], padded[members[jj]])
-                    share = common / np.maximum((w[kk] >= 0).sum(axis=1), 1)
-                    got = (docs[at + of[kk]], ids_[members[jj]], cos[kk, jj].astype(np.float64), run_, common, share)
-                    yield pa.RecordBatch.from_arrays([pa.array(o, f.type) for o, f in zip(got, schema)], schema=schema)
+                all_windows, all_of = _cut(texts[at : at + 500], p.window, p.step)
+                for w, of in ((all_windows[x : x + _ROWS], all_of[x : x + _ROWS]) for x in range(0, len(all_of), _ROWS)):
+                    v = wt.times(w, basis_).astype(np.float32)
+                    v /= np.maximum(np.linalg.norm(v, axis=1), 1e-12)[:, None]
+                    # best cosine of any of an item's windows
+                    cos = np.maximum.reduceat((v @ latent_.T)[:, order], starts, axis=1)
+                    k, j = np.nonzero(cos >= p.cosine)
+                    for lo in range(0, len(k), 5000):
+                        kk, jj = k[lo : lo + 5000], j[lo : lo + 5000]
+                        run_, common = align(w[kk], padded[members[jj]])
+                        share = common / np.maximum((w[kk] >= 0).sum(axis=1), 1)
+                        got = (docs[at + of[kk]], ids_[members[jj]], cos[kk, jj].astype(np.float64), run_, common, share)
+                        yield pa.RecordBatch.from_arrays([pa.array(o, f.type) for o, f in zip(got, schema)], schema=schema)
 
     return found.where("words is not null").select("doc_id", "words").mapInArrow(run, _LEAKS)
 

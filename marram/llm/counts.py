@@ -14,17 +14,54 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 _SLICES = 64
-_SCHEMA = "slice int, counts binary"
-_ARROW = pa.schema([("slice", pa.int32()), ("counts", pa.binary())])
+#: Tasks whose sums are merged by one task of the first level.
+_FAN = 64
+_SCHEMA = "slice int, part int, counts binary"
+_ARROW = pa.schema([("slice", pa.int32()), ("part", pa.int32()), ("counts", pa.binary())])
 
 
-def _emit(table: np.ndarray) -> Iterator[pa.RecordBatch]:
-    parts = table.reshape(table.shape[0], _SLICES, -1)
-    for s in range(_SLICES):
-        if (x := np.ascontiguousarray(parts[:, s])).any():
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([zlib.compress(x.tobytes(), 1)], pa.binary())], schema=_ARROW)
+def pack_part(s: int, part: int, x: np.ndarray) -> pa.RecordBatch:
+    """One compressed piece of a table of sums."""
+    return pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([part], pa.int32()), pa.array([zlib.compress(np.ascontiguousarray(x).tobytes(), 1)], pa.binary())], schema=_ARROW)
+
+
+def add_up(parts: DataFrame, dtype: type) -> dict[int, np.ndarray]:
+    """Sums of ``slice, part, counts`` by slice.
+
+    Two levels of streams: the parts of 64 tasks are summed where many tasks can do
+    it, then their sums; no task holds more than the slices it sums, and what comes
+    to the driver is one table.
+    """
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        for b in batches:
+            for s, part, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                x, k = np.frombuffer(zlib.decompress(raw.as_py()), dtype), (s, part // _FAN)
+                if k in sums:
+                    sums[k] += x
+                else:
+                    sums[k] = x.copy()
+        for (s, part), x in sums.items():
+            yield pack_part(s, part, x)
+
+    first = parts.repartition("slice", F.floor(F.col("part") / _FAN)).mapInArrow(merge, _SCHEMA)
+    last = first.repartition(8, "slice").mapInArrow(merge, _SCHEMA)
+    out: dict[int, np.ndarray] = {}
+    for r in last.collect():
+        x = np.frombuffer(zlib.decompress(bytes(r["counts"])), dtype)
+        out[r["slice"]] = out[r["slice"]] + x if r["slice"] in out else x
+    return out
+
+
+def task_number() -> int:
+    from pyspark import TaskContext
+
+    c = TaskContext.get()
+    return c.partitionId() if c else 0
 
 
 def count_table(df: DataFrame, channels: int, bits: int, make: Callable[[], Callable[[pa.RecordBatch], list[np.ndarray]]]) -> np.ndarray:
@@ -46,22 +83,12 @@ def count_table(df: DataFrame, channels: int, bits: int, make: Callable[[], Call
                     table[c, at] += n.astype(np.uint32)
                 elif len(h):
                     table[c] += np.bincount((h & mask).astype(np.int64), minlength=size).astype(np.uint32)
-        yield from _emit(table)
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for b in batches:
-            for s, raw in zip(b.column(0).to_pylist(), b.column(1)):
-                x = np.frombuffer(zlib.decompress(raw.as_py()), np.uint32)
-                if s in sums:
-                    sums[s] += x
-                else:
-                    sums[s] = x.copy()
-        for s, x in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([zlib.compress(x.tobytes(), 1)], pa.binary())], schema=_ARROW)
+        parts = table.reshape(channels, _SLICES, -1)
+        for s in range(_SLICES):
+            if parts[:, s].any():
+                yield pack_part(s, task_number(), parts[:, s])
 
-    got = df.mapInArrow(local, _SCHEMA).repartition(8, "slice").mapInArrow(merge, _SCHEMA).collect()
     out = np.zeros((channels, _SLICES, size // _SLICES), np.uint32)
-    for r in got:
-        out[:, r["slice"]] += np.frombuffer(zlib.decompress(bytes(r["counts"])), np.uint32).reshape(channels, -1)
+    for s, x in add_up(df.mapInArrow(local, _SCHEMA), np.uint32).items():
+        out[:, s] = x.reshape(channels, -1)
     return out.reshape(channels, size)

@@ -25,6 +25,8 @@ _LEX = re.compile(
 )
 _SIGNATURE = re.compile(r"(?<![\w$])(?:(?:abstract|final|public|protected|private|internal|static|inline|deprecated|scoped)\s+)*function\s+&?\s*(?P<name>[^\W\d]\w*)\s*\(", re.I)
 _CLOSES = {"(": ")", "[": "]", "{": "}"}
+_MARK = re.compile(r"[()\[\]{}]")
+_HEAD = re.compile(r"\s*(?:(?:->|:)[^{};]*)?\{")
 _TAG = re.compile(r"\{?@\w+.*")
 # fixed values: phrases that mark a comment as holding no description
 _PLACEHOLDER = re.compile(
@@ -70,27 +72,25 @@ def blank(text: str) -> tuple[str, list[tuple[int, int]]]:
     return "".join(out), spans
 
 
-def _close(masked: str, at: int) -> int:
-    """Position after the mark that closes the one at ``at``; -1 when there is none."""
-    stack = []
-    for m in re.compile(r"[()\[\]{}]").finditer(masked, at):
+def _matches(masked: str) -> dict[int, int]:
+    """Position after the closing mark of each opening mark that is closed, in one pass.
+
+    A closing brace ends brackets left open inside its body; other stray marks are ignored.
+    """
+    out: dict[int, int] = {}
+    stack: list[tuple[str, int]] = []
+    braces = 0
+    for m in _MARK.finditer(masked):
         c = m.group()
         if c in _CLOSES:
-            stack.append(_CLOSES[c])
-        elif stack and c == stack[-1]:
-            stack.pop()
-            if not stack:
-                return m.end()
-        elif c == "}" and "}" in stack:  # an unclosed bracket inside a body ends with it
-            while stack.pop() != "}":
-                pass
-            if not stack:
-                return m.end()
-        elif c in ")]":
-            continue
-        else:
-            return -1
-    return -1
+            stack.append((_CLOSES[c], m.start()))
+            braces += c == "{"
+        elif stack and c == stack[-1][0] or c == "}" and braces:
+            while stack[-1][0] != c:
+                stack.pop()
+            out[stack.pop()[1]] = m.end()
+            braces -= c == "}"
+    return out
 
 
 def functions(text: str | None) -> list[Function]:
@@ -100,18 +100,16 @@ def functions(text: str | None) -> list[Function]:
     masked, comments = blank(text)
     found, at = [], 0
     ends = {b: a for a, b in comments}
-    marks = sorted(ends)
+    closed = _matches(masked)
     while m := _SIGNATURE.search(masked, at):
         at = m.end()
-        args = _close(masked, m.end() - 1)
-        if args < 0:
+        args = closed.get(m.end() - 1)
+        if args is None:
             continue
         # up to the body stand only a return type and white space
-        head = re.compile(r"\s*(?:(?:->|:)[^{};]*)?\{").match(masked, args)
-        if not head:
-            continue
-        end = _close(masked, head.end() - 1)
-        if end < 0:
+        head = _HEAD.match(masked, args)
+        end = closed.get(head.end() - 1) if head else None
+        if end is None:
             continue
         run, edge = [], m.start()
         while True:

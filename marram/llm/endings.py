@@ -12,8 +12,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from marram.llm.counts import count_table
 from marram.llm.words import hash_text, mix
@@ -161,7 +160,7 @@ def open_braces(text: str) -> int:
 
 
 _SOURCE = re.compile(r"\A\s*(?:<\?php|namespace\s+[\w\\]+\s*;|/\*|//|#!)", re.I)
-_CLASS = re.compile(r"^\s*(?:(?:abstract|final)\s+)?(?:class|interface|trait)\s+\w+", re.I | re.M)
+_CLASS = re.compile(r"^[ \t]*(?:(?:abstract|final)\s+)?(?:class|interface|trait)\s+\w+", re.I | re.M)
 _BULLET = re.compile(r"^\s*(?:[-*+•]|\d+[.)])\s+")
 _FOOTER = re.compile(
     # fixed values: line shapes that stand at the end of a complete text
@@ -252,8 +251,3 @@ def broken(text: str, model: Endings, common: int = 3) -> tuple[str | None, str
     # a long line that begins like a written sentence should end like one
     marks = marks or prose and last[0].isupper() and len(last.split()) >= 7
     return (strict if marks else lenient, strict, lenient if heading else "sentence" if prose or share < 0.5 else None)
-
-
-def blank_text(c: Column) -> Column:
-    """True for null and for nothing but white space."""
-    return c.isNull() | (F.regexp_replace(c, r"[\s ​﻿]+", "") == "")

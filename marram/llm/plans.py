@@ -116,4 +116,19 @@ QUERIES = {
     "p8_by_source": p8_by_source,
 }
 
-SQL: dict[str, str] = {}
+_WS = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}_]+')"
+
+SQL: dict[str, str] = {
+    "p5_found": f"""
+WITH w AS (SELECT chunk_no, {_WS.format('content')} AS ws FROM chunks WHERE content IS NOT NULL),
+s AS (SELECT DISTINCT chunk_no, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) AS g FROM w WHERE len(ws) >= 20),
+n AS (SELECT chunk_no, count(*) AS n FROM s GROUP BY chunk_no),
+c AS (SELECT a.chunk_no AS x, b.chunk_no AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.chunk_no < b.chunk_no GROUP BY ALL)
+SELECT x AS chunk_no_a, y AS chunk_no_b FROM c JOIN n p ON p.chunk_no = x JOIN n q ON q.chunk_no = y WHERE 5 * k >= 3 * (p.n + q.n - k)""",
+    "p7_found": f"""
+WITH d AS (SELECT doc_id, {_WS.format('text')} AS ws FROM documents WHERE text IS NOT NULL),
+e AS (SELECT item_id, {_WS.format('text')} AS ws FROM eval_items WHERE text IS NOT NULL),
+dg AS (SELECT doc_id, unnest(list_transform(range(1, len(ws) - 11), lambda i: array_to_string(ws[i:i + 12], ' '))) AS g FROM d),
+eg AS (SELECT item_id, unnest(list_transform(range(1, len(ws) - 11), lambda i: array_to_string(ws[i:i + 12], ' '))) AS g FROM e)
+SELECT DISTINCT doc_id, item_id FROM dg JOIN eg USING (g)""",
+}

@@ -104,7 +104,7 @@ _FUNCTION = {w: [l for l, ws in FUNCTION_WORDS.items() if w in ws.split()] for w
 _CODE = re.compile(r"```.*?(?:```|\Z)|`[^`\n]*`", re.S)
 _QUOTE = re.compile("\"[^\"\n]*\"|“[^”\n]*”|„[^“”\n]*[“”]|«[^»\n]*»|^>[^\n]*$", re.M)
 _IDENT = re.compile(r"[\w$]+(?:(?:::|->|\.|_|/|\\)[\w$()]+)+|\b\w*[a-z][A-Z]\w*|\$\w+")
-_ITEM = re.compile(r"^\s*(?:[-*+•]|\d+[.)])\s+\S+(?:\s+\S+){0,3}\s*$", re.M)
+_ITEM = re.compile(r"^[ \t]*(?:[-*+•]|\d+[.)])[ \t]+\S+(?:[ \t]+\S+){0,3}[ \t]*$", re.M)
 _SENTENCES = re.compile(r"(?<=[.!?…。！？])\s+|\n+")
 _LETTER = re.compile(r"[^\W\d_]")
 
