@@ -11,10 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marram.functions.text import terms
-from marram.operators.lexical import top_k
-
-#: Queries that one pass over the vectors serves; what is broadcast is this many vectors.
-BLOCK = 4096
+from marram.operators.ranking import BLOCK, CELLS, better, blocks, top_k
 
 # fixed values: how queries are put to models of these families
 QUERY_FORMATS = {"raw": "{q}", "prefix": "Represent this sentence for searching relevant passages: {q}", "instruct": "Instruct: {i}\nQuery: {q}"}
@@ -82,33 +79,23 @@ def search(queries: DataFrame, vectors: DataFrame, k: int, block: int = BLOCK) -
     spark = vectors.sparkSession
     kinds = dict(queries.dtypes)["query_id"], dict(vectors.dtypes)["doc"]
     ddl = f"query_id {kinds[0]}, doc {kinds[1]}, score double"
-    out, held = None, []
+    out = None
 
     def one(rows: list) -> DataFrame:
         sent = spark.sparkContext.broadcast(([r["query_id"] for r in rows], np.array([r["embedding"] for r in rows], np.float64)))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            import pandas as pd
-
             ids, q = sent.value
             best, types = None, None
             for b in batches:
                 types = b.schema.field(0).type
                 # few vectors at a time: the matrix of scores stays small
-                step = max(k, 4_000_000 // len(ids))
+                step = max(k, CELLS // len(ids))
                 for at in range(0, b.num_rows, step):
                     part = b.slice(at, step)
                     docs = part.column(0).to_pylist()
                     m = np.array(part.column(1).to_pylist(), np.float64).reshape(len(docs), -1)
-                    s = np.round(q @ m.T, 9)
-                    if len(docs) > k:  # with all of a tie at the end
-                        i, j = np.nonzero(s >= -np.partition(-s, k - 1, axis=1)[:, k - 1 : k])
-                    else:
-                        i, j = np.nonzero(np.ones_like(s, bool))
-                    found = pd.DataFrame({"i": i, "score": s[i, j], "doc": [docs[x] for x in j]})
-                    both = found if best is None else pd.concat([best, found])
-                    both = both.sort_values(["i", "score", "doc"], ascending=[True, False, True])
-                    best = both[both.groupby("i").cumcount() < k]
+                    best = better(best, np.round(q @ m.T, 9), docs, k)
             if best is not None and len(best):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([ids[x] for x in best["i"]]), pa.array(best["doc"].tolist(), types), pa.array(best["score"].to_numpy())], names=["query_id", "doc", "score"]
@@ -116,10 +103,6 @@ def search(queries: DataFrame, vectors: DataFrame, k: int, block: int = BLOCK) -
 
         return vectors.where("embedding is not null").select("doc", "embedding").mapInArrow(run, ddl)
 
-    for r in queries.where("embedding is not null").select("query_id", "embedding").toLocalIterator():
-        held.append(r)
-        if len(held) == block:
-            out, held = (one(held) if out is None else out.unionByName(one(held))), []
-    if held:
+    for held in blocks(queries.where("embedding is not null").select("query_id", "embedding").toLocalIterator(), block):
         out = one(held) if out is None else out.unionByName(one(held))
     return top_k(out if out is not None else spark.createDataFrame([], ddl), k)

@@ -19,7 +19,8 @@ def fuse(rankings: list[tuple[DataFrame, float]], k: int, top: int | None = None
     give an empty result.
     """
     parts = [r.select("query_id", "doc", F.col("rank").cast("long").alias("r"), F.lit(i).alias("list"), F.lit(float(w)).alias("w")) for i, (r, w) in enumerate(rankings)]
-    both = reduce(DataFrame.unionByName, parts)
+    # rankings arrive partitioned by query, but each in its own way: a union must not pass for one partitioning
+    both = reduce(DataFrame.unionByName, parts).repartition("query_id")
     scored = both.groupBy("query_id", "doc").agg(F.round(F.sum(F.col("w") / (k + F.col("r"))), 9).alias("score"), F.min(F.struct("list", "r")).alias("first"))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("first"), F.col("doc"))
     ranked = scored.select("query_id", "doc", "score", F.row_number().over(w).cast("long").alias("rank"))

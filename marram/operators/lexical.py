@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marram.config import RetrievalConfig
 from marram.functions.text import terms
+from marram.operators.ranking import BLOCK, CELLS, better, blocks, top_k
 
 
 def postings(corpus: DataFrame) -> DataFrame:
@@ -34,31 +39,75 @@ def statistics(corpus: DataFrame) -> DataFrame:
     return corpus.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(terms(F.coalesce("text", F.lit("")))).cast("double")).alias("avgdl"))
 
 
-def search(queries: DataFrame, corpus: DataFrame, k: int, config: RetrievalConfig = RetrievalConfig(), index: DataFrame | None = None) -> DataFrame:
+def weighted_terms(queries: DataFrame, corpus: DataFrame) -> DataFrame:
+    """``query_id, ts, ws, avgdl``: terms of each query that the corpus has, with count times rarity."""
+    q = queries.select("query_id", F.explode(terms(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    df = corpus.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.log(1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    w = q.join(df, "term").join(F.broadcast(statistics(corpus)))  # one row
+    w = w.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("term", (F.col("qtf") * idf).alias("w")))).alias("t"), F.first("avgdl").alias("avgdl"))
+    return w.select("query_id", F.col("t.term").alias("ts"), F.col("t.w").alias("ws"), "avgdl")
+
+
+def search(queries: DataFrame, corpus: DataFrame, k: int, config: RetrievalConfig = RetrievalConfig(), block: int = BLOCK) -> DataFrame:
     """Best ``k`` texts of each query: ``query_id, doc, score, rank``.
 
     ``queries``: ``query_id, query``; ``corpus``: ``doc, text``. A query term counts as
     often as it stands in the query. Texts that share no term are left out. Ties go to
-    the smaller ``doc``. Queries meet postings by term only; the k best are kept before
-    rows are gathered by query.
+    the smaller ``doc``.
+
+    Queries are weighted by a join of terms, then read block by block; each block is
+    broadcast, and tasks score their texts against it and keep each query's ``k`` best.
+    Matches of queries and texts, which grow with both, so never move: only ``k`` rows
+    a query and task do.
     """
-    index = postings(corpus) if index is None else index
-    q = queries.select("query_id", F.explode(terms(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    df = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    stats = statistics(corpus)
-    asked = q.join(df, "term")
-    idf = F.log(1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    tf = F.col("tf") / (F.col("tf") + config.bm25_k1 * (1.0 - config.bm25_b + config.bm25_b * F.col("dl") / F.col("avgdl")))
-    scored = (
-        asked.join(index, "term")
-        .join(F.broadcast(stats))  # one row
-        .groupBy("query_id", "doc")
-        .agg(F.round(F.sum(F.col("qtf") * idf * tf), 9).alias("score"))
-    )
-    return top_k(scored, k)
+    spark = corpus.sparkSession
+    kinds = dict(queries.dtypes)["query_id"], dict(corpus.dtypes)["doc"]
+    ddl = f"query_id {kinds[0]}, doc {kinds[1]}, score double"
+    texts = corpus.where("text is not null").select("doc", terms(F.col("text")).alias("ts")).where(F.size("ts") > 0)
+    k1, b_ = config.bm25_k1, config.bm25_b
+    out = None
+
+    def one(rows: list) -> DataFrame:
+        number: dict[str, int] = {}
+        asks: list[tuple[list[int], list[float]]] = []
+        for i, r in enumerate(rows):
+            for t, w in zip(r["ts"], r["ws"]):
+                n = number.setdefault(t, len(number))
+                if n == len(asks):
+                    asks.append(([], []))
+                asks[n][0].append(i)
+                asks[n][1].append(w)
+        held = [(np.array(i), np.array(w)) for i, w in asks]
+        sent = spark.sparkContext.broadcast(([r["query_id"] for r in rows], number, held, rows[0]["avgdl"]))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, number_, asks_, avgdl = sent.value
+            best, types, step = None, None, max(k, CELLS // len(ids))
+            for batch in batches:
+                types = batch.schema.field(0).type
+                for at in range(0, batch.num_rows, step):
+                    part = batch.slice(at, step)
+                    docs, lists = part.column(0).to_pylist(), part.column(1).to_pylist()
+                    dl = np.array([len(x) for x in lists], np.float64)
+                    found = np.array([number_.get(t, -1) for x in lists for t in x], np.int64)
+                    of = np.repeat(np.arange(len(docs)), dl.astype(np.int64))[found >= 0]
+                    key, tf = np.unique(found[found >= 0] * len(docs) + of, return_counts=True)
+                    term, doc = key // len(docs), key % len(docs)
+                    weight = tf / (tf + k1 * (1.0 - b_ + b_ * dl[doc] / avgdl))
+                    scores = np.zeros((len(ids), len(docs)))
+                    edges = np.flatnonzero(np.diff(term, prepend=-1, append=-1))
+                    for s, e in zip(edges[:-1], edges[1:]):
+                        i, w = asks_[term[s]]
+                        scores[i[:, None], doc[s:e]] += w[:, None] * weight[s:e]
+                    best = better(best, np.round(scores, 9), docs, k, positive=True)
+            if best is not None and len(best):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([ids[x] for x in best["i"]]), pa.array(best["doc"].tolist(), types), pa.array(best["score"].to_numpy())], names=["query_id", "doc", "score"]
+                )
 
+        return texts.mapInArrow(run, ddl)
 
-def top_k(scored: DataFrame, k: int) -> DataFrame:
-    """Ranks ``query_id, doc, score`` within each query, ties to the smaller ``doc``, and keeps ``k``."""
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("doc"))
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
+    for rows in blocks(weighted_terms(queries, corpus).toLocalIterator(), block):
+        out = one(rows) if out is None else out.unionByName(one(rows))
+    return top_k(out if out is not None else spark.createDataFrame([], ddl), k)

@@ -233,10 +233,11 @@ def multi_source_union(spark, root):
 
 def _selected(spark, root):
     """Two documents and five pieces of code per question: both sources ranked apart, documents first."""
-    c = corpus(spark, root)
-    both = fusion.multi_source(_lexical_sources(spark, root), C).select("query_id", "doc", F.col("rank").alias("tie"))
-    again = lexical.search(asked(spark, root), c, 10**6).select("query_id", "doc", "score")
-    scored = both.join(again, ["query_id", "doc"]).join(c.select("doc", "source"), "doc")
+    docs, code = _lexical_sources(spark, root)
+    fused = fusion.multi_source([docs, code], C).select("query_id", "doc", F.col("rank").alias("tie"))
+    own = lambda r, name: r.select("query_id", "doc", F.col("score").alias(name))
+    scored = fused.join(own(docs, "docs_score"), ["query_id", "doc"], "left").join(own(code, "code_score"), ["query_id", "doc"], "left")
+    scored = scored.select("query_id", "doc", "tie", F.coalesce("docs_score", "code_score").alias("score"), F.when(F.col("docs_score").isNotNull(), "docs").otherwise("code").alias("source"))
     return fusion.select_by_source(scored, {"docs": C.docs_kept, "code": C.code_kept})
 
 

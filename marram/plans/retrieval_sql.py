@@ -138,8 +138,9 @@ un AS (SELECT category, query_id, round(sum(w / (60 + rank)), 9) AS score, min(s
   (SELECT *, 4.0 AS w, 0 AS l FROM a WHERE rank <= 50 UNION ALL SELECT *, 1.0, 1 FROM b WHERE rank <= 50) GROUP BY ALL)
 SELECT category AS query_id, query_id AS doc, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY score DESC, first, query_id) AS rank FROM un) WHERE rank <= 10""",
     "multi_source_union": _with(*_TWO) + f"SELECT query_id, doc, round(score, 6) AS score, rank FROM ur WHERE rank <= {2 * C.top_k}",
-    "source_quota_select": _with(*_TWO, _bm25("ba", "asked", "corpus", 10**6), f"""
-sc AS (SELECT u.query_id, u.doc, c.source, a.score, u.rank AS tie FROM ur u JOIN ba a USING (query_id, doc) JOIN corpus c USING (doc) WHERE u.rank <= {2 * C.top_k} AND c.source IN ('docs', 'code')),
+    "source_quota_select": _with(*_TWO, f"""
+own AS (SELECT query_id, doc, 'docs' AS source, score FROM b1 UNION ALL SELECT query_id, doc, 'code', score FROM b2),
+sc AS (SELECT u.query_id, u.doc, o.source, o.score, u.rank AS tie FROM ur u JOIN own o USING (query_id, doc) WHERE u.rank <= {2 * C.top_k}),
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, tie) AS in_source FROM sc)""") + f"""
 SELECT query_id, doc, source, in_source, row_number() OVER (PARTITION BY query_id ORDER BY source = 'code', in_source) AS position
 FROM k WHERE in_source <= CASE source WHEN 'docs' THEN {C.docs_kept} ELSE {C.code_kept} END""",
