@@ -19,6 +19,8 @@ from marram.storage import write_through
 SPIKE_TEXTS, SPIKE_RISE, NEIGHBOURS = 5, 8.0, 40
 #: Share of prose lines without a terminal mark up to which a source counts as strict.
 STRICT_SHARE = 0.1
+#: One in so many texts must end in the same two words before these count as a usual ending.
+COMMON_SHARE = 2000
 
 
 def spikes(lengths: DataFrame) -> DataFrame:
@@ -53,6 +55,8 @@ def endings_of(texts: DataFrame, key: str, column: str) -> DataFrame:
     """
     texts = texts.select(F.col(key).cast("long").alias("key"), F.col("source").cast("string").alias("source"), F.col(column).cast("string").alias("text"))
     model = texts.sparkSession.sparkContext.broadcast(E.fit(texts, "text"))
+    # the more texts, the more of them are cut after the same two words by chance
+    common = max(3, texts.count() // COMMON_SHARE)
 
     def make():
         m = E.Endings(model.value)
@@ -60,7 +64,7 @@ def endings_of(texts: DataFrame, key: str, column: str) -> DataFrame:
         def run(cols):
             out = {k: [] for k in ("key", "source", "n_chars", "n_bytes", "text_hash", "lenient", "strict", "at_limit", "n_lines", "n_unmarked")}
             for k, s, t, b, h in zip(cols["key"], cols["source"], cols["text"], cols["n_bytes"], cols["text_hash"]):
-                lenient, strict, limit = E.broken(t, m)
+                lenient, strict, limit = E.broken(t, m, common)
                 lines = unmarked = 0
                 for x in E._BREAK.split(t)[:-1]:
                     if x and E.prose_line(x):
