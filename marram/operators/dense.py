@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marram.functions.text import terms
-from marram.operators.ranking import BLOCK, CELLS, better, blocks, top_k
+from marram.operators.ranking import BLOCK, CELLS, better, blocks, pa_type, top_k
 
 # fixed values: how queries are put to models of these families
 QUERY_FORMATS = {"raw": "{q}", "prefix": "Represent this sentence for searching relevant passages: {q}", "instruct": "Instruct: {i}\nQuery: {q}"}
@@ -106,3 +106,74 @@ def search(queries: DataFrame, vectors: DataFrame, k: int, block: int = BLOCK) -
     for held in blocks(queries.where("embedding is not null").select("query_id", "embedding").toLocalIterator(), block):
         out = one(held) if out is None else out.unionByName(one(held))
     return top_k(out if out is not None else spark.createDataFrame([], ddl), k)
+
+
+def first_ranks(queries: DataFrame, vectors: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Rank of the best other vector of a query's label among all other vectors: ``query_id, first_rank``.
+
+    ``queries``: ``query_id, embedding, label``; ``vectors``: ``doc, embedding, label``,
+    with ``query_id`` as a query's own ``doc``. Order and null vectors are as in
+    :func:`search`, whatever the depth: one pass finds the best vector of the label, one
+    counts those before it. Queries without another vector of their label have no row.
+    """
+    spark = vectors.sparkSession
+    kinds = dict(queries.dtypes)["query_id"], dict(vectors.dtypes)["doc"]
+    given = vectors.where("embedding is not null").select("doc", "embedding", "label")
+    types = pa_type(kinds[0]), pa_type(kinds[1])
+    out, ddl = None, f"query_id {kinds[0]}, n long"
+
+    def one(rows: list) -> DataFrame:
+        number: dict = {}
+        labels = np.array([-2 if r["label"] is None else number.setdefault(r["label"], len(number)) for r in rows])
+        sent = spark.sparkContext.broadcast(([r["query_id"] for r in rows], np.array([r["embedding"] for r in rows], np.float64), labels, number))
+
+        def parts(batches: Iterator[pa.RecordBatch]):
+            """Docs, scores and labels of few vectors at a time; a query's own score is below all others."""
+            ids, q, _, number_ = sent.value
+            at_ = {x: i for i, x in enumerate(ids)}
+            step = max(1, CELLS // len(ids))
+            for b in batches:
+                for at in range(0, b.num_rows, step):
+                    part = b.slice(at, step)
+                    docs = part.column(0).to_pylist()
+                    scores = np.round(q @ np.array(part.column(1).to_pylist(), np.float64).reshape(len(docs), -1).T, 9)
+                    for j, d in enumerate(docs):
+                        if d in at_:
+                            scores[at_[d], j] = -np.inf
+                    yield docs, scores, np.array([number_.get(x, -1) for x in part.column(2).to_pylist()])
+
+        def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, _, labels_, _ = sent.value
+            best: dict = {}
+            for docs, scores, of in parts(batches):
+                scores = np.where(labels_[:, None] == of, scores, -np.inf)
+                top = scores.max(axis=1, initial=-np.inf)
+                for i, j in zip(*np.nonzero((scores == top[:, None]) & (top > -np.inf)[:, None])):
+                    best[i] = min(best.get(i, (np.inf, None)), (-top[i], docs[j]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([ids[i] for i in best], types[0]), pa.array([d for _, d in best.values()], types[1]), pa.array([float(s) for s, _ in best.values()], pa.float64())],
+                names=["query_id", "doc", "s"],
+            )
+
+        judged = given.mapInArrow(judge, f"query_id {kinds[0]}, doc {kinds[1]}, s double")
+        goal = spark.sparkContext.broadcast(
+            {r["query_id"]: (-r["b"]["s"], r["b"]["doc"]) for r in judged.groupBy("query_id").agg(F.min(F.struct("s", "doc")).alias("b")).toLocalIterator()}
+        )
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids = sent.value[0]
+            goals = [goal.value.get(q, (np.inf, None)) for q in ids]
+            least, n = np.array([s for s, _ in goals])[:, None], np.zeros(len(ids), np.int64)
+            for docs, scores, _ in parts(batches):
+                n += (scores > least).sum(axis=1)
+                for i, j in zip(*np.nonzero(scores == least)):
+                    n[i] += docs[j] < goals[i][1]
+            own = [i for i, q in enumerate(ids) if q in goal.value]
+            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in own], types[0]), pa.array(n[own], pa.int64())], names=["query_id", "n"])
+
+        return given.mapInArrow(count, ddl)
+
+    for held in blocks(queries.where("embedding is not null").select("query_id", "embedding", "label").toLocalIterator(), block):
+        out = one(held) if out is None else out.unionByName(one(held))
+    out = out if out is not None else spark.createDataFrame([], ddl)
+    return out.groupBy("query_id").agg((F.sum("n") + 1).alias("first_rank"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from marram.config import RetrievalConfig
 from marram.functions.text import terms
-from marram.operators.ranking import BLOCK, CELLS, better, blocks, top_k
+from marram.operators.ranking import BLOCK, CELLS, better, blocks, pa_type, top_k
 
 
 def postings(corpus: DataFrame) -> DataFrame:
@@ -49,6 +49,38 @@ def weighted_terms(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     return w.select("query_id", F.col("t.term").alias("ts"), F.col("t.w").alias("ws"), "avgdl")
 
 
+def _asks(rows: list) -> tuple[list, dict[str, int], list, float]:
+    """A block of weighted queries as it is broadcast: ids, numbers of terms, each term's queries and weights, mean length."""
+    number: dict[str, int] = {}
+    asks: list[tuple[list[int], list[float]]] = []
+    for i, r in enumerate(rows):
+        for t, w in zip(r["ts"], r["ws"]):
+            n = number.setdefault(t, len(number))
+            if n == len(asks):
+                asks.append(([], []))
+            asks[n][0].append(i)
+            asks[n][1].append(w)
+    return [r["query_id"] for r in rows], number, [(np.array(i), np.array(w)) for i, w in asks], rows[0]["avgdl"]
+
+
+def _scores(lists: list[list[str]], asks: tuple, config: RetrievalConfig) -> np.ndarray:
+    """Scores ``[query, text]`` of a block of queries and some texts' terms."""
+    ids, number, held, avgdl = asks
+    k1, b_ = config.bm25_k1, config.bm25_b
+    dl = np.array([len(x) for x in lists], np.float64)
+    found = np.array([number.get(t, -1) for x in lists for t in x], np.int64)
+    of = np.repeat(np.arange(len(lists)), dl.astype(np.int64))[found >= 0]
+    key, tf = np.unique(found[found >= 0] * len(lists) + of, return_counts=True)
+    term, doc = key // len(lists), key % len(lists)
+    weight = tf / (tf + k1 * (1.0 - b_ + b_ * dl[doc] / avgdl))
+    scores = np.zeros((len(ids), len(lists)))
+    edges = np.flatnonzero(np.diff(term, prepend=-1, append=-1))
+    for s, e in zip(edges[:-1], edges[1:]):
+        i, w = held[term[s]]
+        scores[i[:, None], doc[s:e]] += w[:, None] * weight[s:e]
+    return np.round(scores, 9)
+
+
 def search(queries: DataFrame, corpus: DataFrame, k: int, config: RetrievalConfig = RetrievalConfig(), block: int = BLOCK) -> DataFrame:
     """Best ``k`` texts of each query: ``query_id, doc, score, rank``.
 
@@ -65,42 +97,19 @@ def search(queries: DataFrame, corpus: DataFrame, k: int, config: RetrievalConfi
     kinds = dict(queries.dtypes)["query_id"], dict(corpus.dtypes)["doc"]
     ddl = f"query_id {kinds[0]}, doc {kinds[1]}, score double"
     texts = corpus.where("text is not null").select("doc", terms(F.col("text")).alias("ts")).where(F.size("ts") > 0)
-    k1, b_ = config.bm25_k1, config.bm25_b
     out = None
 
     def one(rows: list) -> DataFrame:
-        number: dict[str, int] = {}
-        asks: list[tuple[list[int], list[float]]] = []
-        for i, r in enumerate(rows):
-            for t, w in zip(r["ts"], r["ws"]):
-                n = number.setdefault(t, len(number))
-                if n == len(asks):
-                    asks.append(([], []))
-                asks[n][0].append(i)
-                asks[n][1].append(w)
-        held = [(np.array(i), np.array(w)) for i, w in asks]
-        sent = spark.sparkContext.broadcast(([r["query_id"] for r in rows], number, held, rows[0]["avgdl"]))
+        sent = spark.sparkContext.broadcast(_asks(rows))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, number_, asks_, avgdl = sent.value
+            ids = sent.value[0]
             best, types, step = None, None, max(k, CELLS // len(ids))
             for batch in batches:
                 types = batch.schema.field(0).type
                 for at in range(0, batch.num_rows, step):
                     part = batch.slice(at, step)
-                    docs, lists = part.column(0).to_pylist(), part.column(1).to_pylist()
-                    dl = np.array([len(x) for x in lists], np.float64)
-                    found = np.array([number_.get(t, -1) for x in lists for t in x], np.int64)
-                    of = np.repeat(np.arange(len(docs)), dl.astype(np.int64))[found >= 0]
-                    key, tf = np.unique(found[found >= 0] * len(docs) + of, return_counts=True)
-                    term, doc = key // len(docs), key % len(docs)
-                    weight = tf / (tf + k1 * (1.0 - b_ + b_ * dl[doc] / avgdl))
-                    scores = np.zeros((len(ids), len(docs)))
-                    edges = np.flatnonzero(np.diff(term, prepend=-1, append=-1))
-                    for s, e in zip(edges[:-1], edges[1:]):
-                        i, w = asks_[term[s]]
-                        scores[i[:, None], doc[s:e]] += w[:, None] * weight[s:e]
-                    best = better(best, np.round(scores, 9), docs, k, positive=True)
+                    best = better(best, _scores(part.column(1).to_pylist(), sent.value, config), part.column(0).to_pylist(), k, positive=True)
             if best is not None and len(best):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([ids[x] for x in best["i"]]), pa.array(best["doc"].tolist(), types), pa.array(best["score"].to_numpy())], names=["query_id", "doc", "score"]
@@ -111,3 +120,64 @@ def search(queries: DataFrame, corpus: DataFrame, k: int, config: RetrievalConfi
     for rows in blocks(weighted_terms(queries, corpus).toLocalIterator(), block):
         out = one(rows) if out is None else out.unionByName(one(rows))
     return top_k(out if out is not None else spark.createDataFrame([], ddl), k)
+
+
+def first_ranks(queries: DataFrame, corpus: DataFrame, relevant: DataFrame, config: RetrievalConfig = RetrievalConfig(), block: int = BLOCK) -> DataFrame:
+    """Rank of each query's best relevant text among all texts: ``query_id, first_rank``.
+
+    ``relevant``: ``query_id, doc``; order and texts left out are those of :func:`search`
+    at any depth, so queries none of whose relevant texts shares a term have no row.
+
+    No ranking is made: the relevant texts of a block of queries are scored first, and a
+    pass over all texts counts those that stand before the best one. Only one row a
+    query and task moves.
+    """
+    spark = corpus.sparkSession
+    kinds = dict(queries.dtypes)["query_id"], dict(corpus.dtypes)["doc"]
+    texts = corpus.where("text is not null").select("doc", terms(F.col("text")).alias("ts")).where(F.size("ts") > 0)
+    wanted = texts.join(relevant.groupBy("doc").agg(F.collect_set("query_id").alias("of")), "doc").select("doc", "ts", "of")
+    types = pa_type(kinds[0]), pa_type(kinds[1])
+    out, ddl = None, f"query_id {kinds[0]}, n long"
+
+    def one(rows: list) -> DataFrame:
+        sent = spark.sparkContext.broadcast(_asks(rows))
+
+        def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids = sent.value[0]
+            at_ = {q: i for i, q in enumerate(ids)}
+            step = max(1, CELLS // len(ids))
+            for batch in batches:
+                for at in range(0, batch.num_rows, step):
+                    part = batch.slice(at, step)
+                    scores = _scores(part.column(1).to_pylist(), sent.value, config)
+                    cells = [(at_[q], j) for j, of in enumerate(part.column(2).to_pylist()) for q in of if q in at_]
+                    cells = [(i, j) for i, j in cells if scores[i, j] > 0]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([ids[i] for i, _ in cells], types[0]), part.column(0).take(pa.array([j for _, j in cells], pa.int64())), pa.array([scores[c] for c in cells], pa.float64())],
+                        names=["query_id", "doc", "score"],
+                    )
+
+        judged = wanted.mapInArrow(judge, f"query_id {kinds[0]}, doc {kinds[1]}, score double")
+        best = {r["query_id"]: (-r["b"]["s"], r["b"]["doc"]) for r in judged.groupBy("query_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "doc")).alias("b")).toLocalIterator()}
+        goal = spark.sparkContext.broadcast(best)
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids = sent.value[0]
+            goals = [goal.value.get(q, (np.inf, None)) for q in ids]
+            least, n, step = np.array([s for s, _ in goals])[:, None], np.zeros(len(ids), np.int64), max(1, CELLS // len(ids))
+            for batch in batches:
+                for at in range(0, batch.num_rows, step):
+                    part = batch.slice(at, step)
+                    docs, scores = part.column(0).to_pylist(), _scores(part.column(1).to_pylist(), sent.value, config)
+                    n += (scores > least).sum(axis=1)
+                    for i, j in zip(*np.nonzero(scores == least)):
+                        n[i] += docs[j] < goals[i][1]
+            own = [i for i, q in enumerate(ids) if q in goal.value]
+            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in own], types[0]), pa.array(n[own], pa.int64())], names=["query_id", "n"])
+
+        return texts.mapInArrow(count, ddl)
+
+    for rows in blocks(weighted_terms(queries, corpus).toLocalIterator(), block):
+        out = one(rows) if out is None else out.unionByName(one(rows))
+    out = out if out is not None else spark.createDataFrame([], ddl)
+    return out.groupBy("query_id").agg((F.sum("n") + 1).alias("first_rank"))

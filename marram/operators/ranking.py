@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,3 +44,11 @@ def blocks(rows, size: int):
             held = []
     if held:
         yield held
+
+
+def pa_type(kind: str) -> pa.DataType:
+    """The Arrow type of a key column of Spark's type ``kind``."""
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import _parse_datatype_string
+
+    return to_arrow_type(_parse_datatype_string(kind))

@@ -265,12 +265,19 @@ def _bm25(spark, root, k=10):
     return lexical.search(asked(spark, root), corpus(spark, root), k)
 
 
+def _first_ranks(spark, root, source=None):
+    """First relevant rank of every question among all texts that share a term with it, at any depth."""
+    q, c = asked(spark, root), corpus(spark, root, source)
+    relevant = judged(spark, root).join(c.select("doc", "id"), "id").select("query_id", "doc")
+    return q.select("query_id").join(lexical.first_ranks(q, c, relevant), "query_id", "left")
+
+
 def first_relevant_rank(spark, root):
-    return _ranks(spark, root, _bm25(spark, root))
+    return _first_ranks(spark, root)
 
 
 def recall_mrr_bm25(spark, root):
-    return evaluate.hit_metrics(_ranks(spark, root, _bm25(spark, root)), (1, 2, 3, 5, 10))
+    return evaluate.hit_metrics(_first_ranks(spark, root), (1, 2, 3, 5, 10))
 
 
 def recall_by_category(spark, root):
@@ -280,17 +287,15 @@ def recall_by_category(spark, root):
 
 
 def recall_mrr_dense(spark, root):
-    """Neighbours of the same label among a vector's ten nearest, itself apart."""
-    labels = table(spark, root, "embeddings").select(F.col("vec_id").alias("v"), "label")
-    top = dense_top10(spark, root).where("query_id <> doc")
-    a, b = labels.select(F.col("v").alias("query_id"), F.col("label").alias("la")), labels.select(F.col("v").alias("doc"), F.col("label").alias("lb"))
-    hits = top.join(a, "query_id").join(b, "doc").where("la = lb").groupBy("query_id").agg((F.min("rank") - 1).alias("first_rank"))
-    return evaluate.hit_metrics(a.where("query_id % 100 = 0").select("query_id").join(hits, "query_id", "left"), (5, 9))
+    """Rank of the nearest vector of the same label among all others, for every vector whose id is divisible by 100."""
+    v = table(spark, root, "embeddings").select(F.col("vec_id").alias("doc"), F.col("embedding").cast("array<double>").alias("embedding"), "label")
+    q = v.where("doc % 100 = 0").withColumnRenamed("doc", "query_id")
+    return evaluate.hit_metrics(q.select("query_id").join(dense.first_ranks(q, v), "query_id", "left"), (5, 9))
 
 
 def pairwise_compare(spark, root):
     """The lexical run over everything against the one over documents only."""
-    return evaluate.compare(_ranks(spark, root, _bm25(spark, root)), _ranks(spark, root, lexical.search(asked(spark, root), corpus(spark, root, "docs"), 10)))
+    return evaluate.compare(_first_ranks(spark, root), _first_ranks(spark, root, "docs"))
 
 
 def _multi_questions(spark, root):

@@ -96,3 +96,36 @@ def test_engine(spark):
     assert got["q3"]["reject"] == "question" and got["q3"]["answer"] is None
     assert {s["id"] for s in got["q1"]["sources"]} >= {"a::x", "b::y"} and got["q1"]["answer"].startswith("Open a window with openWindow. [1]")
     assert "Code of the user" in got["q2"]["prompt"]
+
+
+def test_first_ranks_have_no_depth(spark):
+    words = ["red", "fox", "blue", "sky", "tree"]
+    rows = [(d, " ".join(words[(d * 7 + i * i) % 5] for i in range(1 + d % 9)) + f" w{d % 4}") for d in range(60)] + [(60, "the"), (61, None)]
+    corpus = spark.createDataFrame(rows, "doc long, text string").repartition(5)
+    q = spark.createDataFrame([(f"q{i}", " ".join(words[i % 5 :][:2]) + f" w{i % 4}") for i in range(8)] + [("none", "zebra")], "query_id string, query string")
+    relevant = [(f"q{i}", d) for i in range(8) for d in ((i * 11 + 40) % 60, (i * 17 + 53) % 60, 60)] + [("none", 3)]
+    all_ = {}
+    for r in lexical.search(q, corpus, 1000).collect():
+        if (r["query_id"], r["doc"]) in relevant:
+            all_[r["query_id"]] = min(r["rank"], all_.get(r["query_id"], 9999))
+    assert max(all_.values()) > 10
+    rel = spark.createDataFrame(relevant, "query_id string, doc long")
+    for block in (4096, 3):
+        got = {r["query_id"]: r["first_rank"] for r in lexical.first_ranks(q, corpus, rel, block=block).collect()}
+        assert got == all_
+
+
+def test_dense_first_ranks_have_no_depth(spark):
+    v = [(i, [float(i % 6), float(i % 10), 1.0], "rare" if i % 29 == 0 else None if i % 7 == 0 else "often") for i in range(90)] + [(99, None, "rare"), (98, [1.0, 1.0, 1.0], "single")]
+    want = {}
+    for i, e, l in v:
+        if e is None or i % 2:
+            continue
+        order = sorted((-round(sum(a * b for a, b in zip(e, f)), 9), j, m) for j, f, m in v if f is not None and j != i)
+        hit = [n for n, (_, _, m) in enumerate(order, 1) if m == l and l is not None]
+        want |= {i: hit[0]} if hit else {}
+    assert max(want.values()) > 10 and min(want.values()) == 1
+    df = spark.createDataFrame(v, "doc long, embedding array<double>, label string").repartition(5)
+    q = df.where("doc % 2 = 0").withColumnRenamed("doc", "query_id")
+    for block in (4096, 7):
+        assert {r["query_id"]: r["first_rank"] for r in dense.first_ranks(q, df, block=block).collect()} == want
