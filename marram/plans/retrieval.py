@@ -201,7 +201,7 @@ def query_texts(spark, root):
 
 
 def hashed_embeddings(spark, root):
-    e = dense.embed(corpus(spark, root).where("source = 'code'"))
+    e = dense.embed(corpus(spark, root))
     return e.select("doc", F.posexplode("embedding").alias("dim", "x")).where("x <> 0").select("doc", F.col("dim").cast("long").alias("dim"), F.round("x", 6).alias("x"))
 
 

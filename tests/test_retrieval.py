@@ -2,7 +2,9 @@ import math
 
 from marram.config import RetrievalConfig
 from marram.engine import Engine
+from marram.functions import text as T
 from marram.operators import dense, evaluate, fusion, generate, lexical
+from marram.plans import retrieval as R
 from pyspark.sql import functions as F
 
 
@@ -129,3 +131,12 @@ def test_dense_first_ranks_have_no_depth(spark):
     q = df.where("doc % 2 = 0").withColumnRenamed("doc", "query_id")
     for block in (4096, 7):
         assert {r["query_id"]: r["first_rank"] for r in dense.first_ranks(q, df, block=block).collect()} == want
+
+
+def test_hashed_embeddings_cover_all_sources(spark, small):
+    rows = R.corpus(spark, small).select("doc", "source", T.terms(F.col("text")).alias("ts")).collect()
+    vectors = dense.HashedEmbedder(R.C.dims).make()([r["ts"] for r in rows])
+    want = {(r["doc"], j): round(x, 6) for r, v in zip(rows, vectors) for j, x in enumerate(v) if x}
+    got = {(r["doc"], r["dim"]): r["x"] for r in R.hashed_embeddings(spark, small).collect()}
+    assert {r["source"] for r in rows} > {"code"} and set(got) == set(want)
+    assert all(abs(got[k] - x) < 2e-6 for k, x in want.items())
