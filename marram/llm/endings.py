@@ -9,10 +9,12 @@ single words, how often a sentence or a line ends after them and how often it go
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from marram.llm.counts import count_table
 from marram.llm.words import hash_text, mix
@@ -106,7 +108,7 @@ class Endings:
         self.tokens = Tokens()
 
     def at(self, h: np.ndarray) -> tuple[int, int, int, int, int]:
-        """(pair ends, pair goes on, word ends, word goes on, texts with the same last two tokens)."""
+        """(pair ends, pair goes on, word ends, word goes on, distinct texts with the same last two tokens)."""
         if len(h) < 2:
             h = np.concatenate([np.array([_LINE], np.uint64), h])
         p, w = _contexts(h)
@@ -118,7 +120,8 @@ def fit(texts: DataFrame, column: str, bits: int = BITS) -> np.ndarray:
     """The table for :class:`Endings` over all rows of ``texts``; its size depends on ``bits`` only.
 
     The last word of a text without a mark after it teaches nothing about sentences,
-    as the text may be cut there; it counts only among the last words of texts.
+    as the text may be cut there; it counts only among the last words of texts, where
+    copies of a text count once: a cut text that is stored often is no usual ending.
     """
 
     def make():
@@ -136,14 +139,38 @@ def fit(texts: DataFrame, column: str, bits: int = BITS) -> np.ndarray:
                 p, w = p[:-1], w[:-1]
                 for c, x in ((END, p[ends]), (MID, p[goes]), (WORD_END, w[ends]), (WORD_MID, w[goes])):
                     got[c].append(x)
-                if k[-1] == WORD:
-                    got[LAST].append(_closing(h))
             one = [np.concatenate(x) if x else np.empty(0, np.uint64) for x in got]
             return one + [x >> _SHIFT for x in one]
 
         return run
 
-    return count_table(texts.select(column), 2 * CHANNELS, bits, make)
+    def closing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tok = Tokens()
+        for b in batches:
+            copies, last = [], []
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                h, k = tok(t.strip(_SPACE)[-TAIL:])
+                if len(h) >= 2 and k[-1] == WORD:
+                    copies.append(i)
+                    last.append(int(_closing(h)[0].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(copies, pa.int64()), pa.array(last, pa.int64())], names=["copy", "last"])
+
+    def count_last():
+        def run(b: pa.RecordBatch) -> list[np.ndarray]:
+            x = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            return [x, x >> _SHIFT]
+
+        return run
+
+    table = count_table(texts.select(column), 2 * CHANNELS, bits, make)
+    ends = texts.where(F.col(column).isNotNull()).select(F.xxhash64(column), column).mapInArrow(closing, "copy long, last long").distinct()
+    table[[LAST, LAST + CHANNELS]] = count_table(ends.select("last"), 2, bits, count_last)
+    return table
+
+
+def usual(texts: DataFrame, column: str, share: int) -> int:
+    """How many texts must share an ending before it is usual: one in ``share`` distinct ones, at least three."""
+    return max(3, texts.agg(F.count_distinct(F.xxhash64(column))).first()[0] // share)
 
 
 def open_braces(text: str) -> int:
@@ -231,12 +258,12 @@ def broken(text: str, model: Endings, common: int = 3) -> tuple[str | None, str
             return all_("sentence")
         return (None, None, None if last[-1] in ")]>" and not prose else "sentence")
     pe, pm, we, wm, same = model.at(h)
-    if same > common and not pm:
-        return (None, None, "sentence" if prose and same < 10 * common else None)
     if re.fullmatch(r"`[^`]+`|[\w$]+(?:(?:::|->|\.)\w+)+(?:\(\))?", t):  # nothing but a name
         return _NONE
     if last[-1] not in "`)" and not last[-1].isdigit() and we + wm < 1:
         return all_("word")
+    if same > common and not pm:
+        return (None, None, "sentence" if prose and same < 10 * common else None)
     if bullet and len(last.split()) <= 4:
         cut = "sentence" if we * 50 < wm and pe * 50 < pm else None
         return (cut, cut, cut or ("sentence" if pe * 4 < pm else None))

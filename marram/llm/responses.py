@@ -287,7 +287,7 @@ def defects(results: DataFrame, questions: DataFrame) -> DataFrame:
     """
     answers = results.select(F.col("answer").cast("string").alias("answer"))
     model = results.sparkSession.sparkContext.broadcast(E.fit(answers, "answer"))
-    common = results.sparkSession.sparkContext.broadcast(max(3, answers.count() // 2000))
+    common = results.sparkSession.sparkContext.broadcast(E.usual(answers, "answer", 2000))
 
     def make():
         endings, refusals = E.Endings(model.value), Refusals()

@@ -19,7 +19,7 @@ from marram.storage import write_through
 SPIKE_TEXTS, SPIKE_RISE, NEIGHBOURS = 5, 8.0, 40
 #: Share of prose lines without a terminal mark up to which a source counts as strict.
 STRICT_SHARE = 0.1
-#: One in so many texts must end in the same two words before these count as a usual ending.
+#: One in so many distinct texts must end in the same two words before these count as a usual ending.
 COMMON_SHARE = 2000
 
 
@@ -56,7 +56,7 @@ def endings_of(texts: DataFrame, key: str, column: str) -> DataFrame:
     texts = texts.select(F.col(key).cast("long").alias("key"), F.col("source").cast("string").alias("source"), F.col(column).cast("string").alias("text"))
     model = texts.sparkSession.sparkContext.broadcast(E.fit(texts, "text"))
     # the more texts, the more of them are cut after the same two words by chance
-    common = max(3, texts.count() // COMMON_SHARE)
+    common = E.usual(texts, "text", COMMON_SHARE)
 
     def make():
         m = E.Endings(model.value)

@@ -60,3 +60,11 @@ def test_spikes_and_cases(spark):
 def test_copies_are_no_spike(spark):
     rows = [("s", 100, 100, 1)] * 50 + [("s", n, n, n) for n in range(200, 400)]
     assert X.spikes(spark.createDataFrame(rows, "source string, n_chars long, n_bytes long, text_hash long")).collect() == []
+
+
+def test_copies_make_no_usual_ending(spark):
+    whole = [f"{SENTENCES[i % 3]} {SENTENCES[i // 3 % 3]} Part {i}." for i in range(40)]
+    word, sentence = SENTENCES[0] + " The reader opens the window and returns an empty li", SENTENCES[1] + " The writer keeps the cache in stream"
+    rows = [(i, t, "s") for i, t in enumerate(whole + [word] * 20 + [sentence] * 20)]
+    got = {r["doc_id"]: r["kind"] for r in X.truncated(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got == {i: "word" if t == word else "sentence" for i, t, _ in rows if t in (word, sentence)}
