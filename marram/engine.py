@@ -19,14 +19,16 @@ class Engine:
     def __init__(self, corpus: DataFrame, config: RetrievalConfig = RetrievalConfig()) -> None:
         self.corpus, self.config = corpus, config
 
+    def search(self, queries: DataFrame) -> DataFrame:
+        """``query_id, doc, score, rank``: hybrid search of each source, fused."""
+        c = self.config
+        return fusion.multi_source([fusion.hybrid(queries, self.corpus.where(F.col("source") == s), c) for s in ("docs", "code")], c)
+
     def retrieve(self, queries: DataFrame) -> DataFrame:
-        """``query_id, doc, source, position`` of the chunks chosen for ``query_id, query``."""
+        """``query_id, doc, source, in_source, position`` of the chunks chosen for ``query_id, query``."""
         c = self.config
-        per = {s: self.corpus.where(F.col("source") == s) for s in ("docs", "code")}
-        lists = [fusion.hybrid(queries, part, c) for part in per.values()]
-        fused = fusion.multi_source(lists, c)
-        scored = fusion.rerank(fused, self.corpus, queries).join(self.corpus.select("doc", "source"), "doc")
-        return fusion.select_by_source(scored.withColumn("tie", F.col("rank")), {"docs": c.docs_kept, "code": c.code_kept}).select("query_id", "doc", "source", "position")
+        scored = fusion.rerank(self.search(queries), self.corpus, queries).join(self.corpus.select("doc", "source"), "doc")
+        return fusion.select_by_source(scored.withColumn("tie", F.col("rank")), {"docs": c.docs_kept, "code": c.code_kept}).select("query_id", "doc", "source", "in_source", "position")
 
     def ask(self, requests: DataFrame) -> DataFrame:
         """``query_id, answer, sources`` of ``query_id, question, context``; rejected requests have null answers.

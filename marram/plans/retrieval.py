@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marram.config import RetrievalConfig
+from marram.engine import Engine
 from marram.functions import text as T
 from marram.functions.packer import greedy
 from marram.operators import code_chunker, dense, evaluate, fusion, generate, lexical
@@ -222,27 +223,17 @@ def rrf_weighted(spark, root):
     return fusion.fuse([(a, C.dense_weight), (b, C.lexical_weight)], C.rrf_k, 10).select("query_id", "doc", F.round("score", 6).alias("score"), "rank")
 
 
-def _lexical_sources(spark, root):
-    q = asked(spark, root)
-    return [lexical.search(q, corpus(spark, root, s), C.top_k) for s in ("docs", "code")]
+def _engine(spark, root):
+    return Engine(corpus(spark, root), C)
 
 
 def multi_source_union(spark, root):
-    return fusion.multi_source(_lexical_sources(spark, root), C).select("query_id", "doc", F.round("score", 6).alias("score"), "rank")
-
-
-def _selected(spark, root):
-    """Two documents and five pieces of code per question: both sources ranked apart, documents first."""
-    docs, code = _lexical_sources(spark, root)
-    fused = fusion.multi_source([docs, code], C).select("query_id", "doc", F.col("rank").alias("tie"))
-    own = lambda r, name: r.select("query_id", "doc", F.col("score").alias(name))
-    scored = fused.join(own(docs, "docs_score"), ["query_id", "doc"], "left").join(own(code, "code_score"), ["query_id", "doc"], "left")
-    scored = scored.select("query_id", "doc", "tie", F.coalesce("docs_score", "code_score").alias("score"), F.when(F.col("docs_score").isNotNull(), "docs").otherwise("code").alias("source"))
-    return fusion.select_by_source(scored, {"docs": C.docs_kept, "code": C.code_kept})
+    return _engine(spark, root).search(asked(spark, root)).select("query_id", "doc", F.round("score", 6).alias("score"), "rank")
 
 
 def source_quota_select(spark, root):
-    return _selected(spark, root).select("query_id", "doc", "source", "in_source", "position")
+    """Two documents and five pieces of code per question: both sources reranked, documents first."""
+    return _engine(spark, root).retrieve(asked(spark, root))
 
 
 def reranked(spark, root):
@@ -317,9 +308,8 @@ def expected_source_recall(spark, root):
 
 
 def prefix_match_recall(spark, root):
-    """Expected sources that lead to one of the seven best chunks."""
-    c = corpus(spark, root)
-    top = lexical.search(_multi_questions(spark, root), c, 7).join(c.select("doc", "id"), "doc")
+    """Expected sources that lead to one of the seven chunks that the pipeline selects."""
+    top = _engine(spark, root).retrieve(_multi_questions(spark, root)).join(corpus(spark, root).select("doc", "id"), "doc")
     return evaluate.prefix_recall(_expected(spark, root), top.select("query_id", "id"))
 
 
@@ -350,14 +340,10 @@ def prompt_context(spark, root):
 
 
 def answers(spark, root):
-    """Offline pipeline for every question: select, build the prompt, extract an answer."""
-    c = corpus(spark, root)
-    chosen = _selected(spark, root).select("query_id", "doc", "position").join(c, "doc")
-    chunk = F.struct("source", "file", "section", "method", "start_line", "end_line", F.col("text").alias("content"))
-    got = chosen.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("position", chunk.alias("chunk")))).alias("cs"))
-    cs = F.transform("cs", lambda x: x["chunk"])
-    j = asked(spark, root).join(got, "query_id")
-    return j.select("query_id", F.size("cs").cast("long").alias("n_chunks"), F.length(generate.prompt(F.col("query"), generate.context(cs))).cast("long").alias("prompt_chars"), generate.extract_answer(cs).alias("answer"))
+    """Offline pipeline for every question: retrieve, rerank, select, build the prompt, extract an answer."""
+    q = asked(spark, root).select("query_id", F.col("query").alias("question"), F.lit(None).cast("string").alias("context"))
+    got = _engine(spark, root).ask(q)
+    return got.select("query_id", F.array_size("sources").cast("long").alias("n_chunks"), F.length("prompt").cast("long").alias("prompt_chars"), "answer")
 
 
 def ask_validation(spark, root):

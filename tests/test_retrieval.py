@@ -140,3 +140,22 @@ def test_hashed_embeddings_cover_all_sources(spark, small):
     got = {(r["doc"], r["dim"]): r["x"] for r in R.hashed_embeddings(spark, small).collect()}
     assert {r["source"] for r in rows} > {"code"} and set(got) == set(want)
     assert all(abs(got[k] - x) < 2e-6 for k, x in want.items())
+
+
+def test_queries_run_the_whole_pipeline(spark, monkeypatch):
+    rows = [
+        (1, "a::x", "Open a window with openWindow. More text.", "docs", "a", "X", None, None, None),
+        (2, "b::y", "function other() { return 1; }", "code", "b", None, "other", 1, 2),
+        (3, "c::z", "Nothing here.", "docs", "c", "Z", None, None, None),
+    ]
+    df = spark.createDataFrame(rows, "doc long, id string, text string, source string, file string, section string, method string, start_line int, end_line int")
+    q = spark.createDataFrame([("q", "how to open a window", None)], "query_id string, query string, category string")
+    monkeypatch.setattr(R, "corpus", lambda *_: df)
+    for name in ("asked", "_multi_questions"):
+        monkeypatch.setattr(R, name, lambda *_: q)
+    monkeypatch.setattr(R, "_expected", lambda *_: spark.createDataFrame([("q", "b"), ("q", "a")], "query_id string, expected string"))
+    # chunks that share no term with the question come from dense search alone
+    assert {r["doc"] for r in R.multi_source_union(spark, "").collect()} == {1, 2, 3}
+    assert [r["doc"] for r in R.source_quota_select(spark, "").orderBy("position").collect()] == [1, 3, 2]
+    assert R.answers(spark, "").first()["n_chunks"] == 3
+    assert R.prefix_match_recall(spark, "").first()["n_found"] == 2
