@@ -1,146 +1,102 @@
 """Broken prompt and response pairs.
 
 Method: prompt and response tokens are aligned by shingle containment and longest
-common subsequence, which flags copies; sentences are aligned the same way against
-refusal templates; the language of the prose is told from function words; the ending
-is judged as in :mod:`marram.llm.endings`.
+common subsequence, which flags copies; sentences, as sequences of kinds of words, are
+aligned the same way against refusal templates. Three kinds of defect need another
+method: empty answers are told by what is left without marks and placeholders, the
+language of the prose by :mod:`marram.llm.languages`, and endings as in
+:mod:`marram.llm.endings`.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marram.llm import endings as E
 from marram.llm.arrow import stage
+from marram.llm.languages import Languages
 from marram.llm.words import WORD
 from marram.storage import write_through
 
-# fixed values: ways to say that no answer is given; * stands for any words
-REFUSALS = (
-    "there is not enough information in the * to respond",
-    "there is not enough information to answer *",
-    "i do not have enough information *",
-    "it isn't possible for me to give a response here *",
-    "it is not possible for me to answer *",
-    "regrettably this request has to be turned down",
-    "i am unable to answer this *",
-    "i'm unable to help with *",
-    "no reliable statement about * can be made *",
-    "answering would require knowledge i do not have *",
-    "i would rather not speculate about * please ask the maintainers",
-    "i'm sorry but i can't help with *",
-    "i am sorry but i cannot help with *",
-    "as an automated assistant i must decline to comment on *",
-    "as an ai language model i cannot *",
-    "i don't know",
-    "i do not know",
-    "no answer is possible because *",
-    "my apologies i won't be able to assist with *",
-    "unfortunately * so i have to pass",
-    "unfortunately i cannot answer *",
-    "the * is not something i may talk about",
-    "i cannot * an answer for that *",
-    "i can't answer that *",
-    "sorry nothing retrieved deals with the matter",
-    "sorry it might be unsafe to guess",
-    "sorry that is outside of my remit",
-    "sorry i was not given the relevant pages",
-    "sorry the passages above lack the details",
-    "sorry this needs a human maintainer",
-    "sorry my instructions rule this topic out",
-    "sorry the excerpts are silent on it",
-    "sorry the sources contradict each other too much",
-    "sorry i have no access to that material",
-    "désolé je ne peux pas répondre à cela",
-    "je ne dispose pas d'informations suffisantes",
-    "les extraits ne suffisent pas pour parler de *",
-    "es tut mir leid die auszüge reichen für eine antwort nicht aus",
-    "dazu kann ich leider keine auskunft geben",
-    "diese frage zur * kann ich nicht beantworten",
-    "lo siento no puedo responder a eso",
-    "no dispongo de información suficiente",
-    "los fragmentos no bastan para contestar sobre *",
-    "к сожалению я не могу ответить на этот вопрос",
-    "не могу помочь с этим запросом",
-    "в отрывках недостаточно данных для ответа",
-    "我无法回答这个问题",
-    "抱歉 没有足够的信息",
-)
-# fixed values: what may follow a refusal without answering anything
-CLOSERS = (
-    "feel free to ask me something else",
-    "try again with more context on *",
-    "please consult the * manual or rephrase the question",
-    "perhaps a maintainer of the * can tell you more",
-    "nothing retrieved deals with the matter",
-    "it might be unsafe to guess",
-    "that is outside of my remit",
-    "i was not given the relevant pages",
-    "the passages above lack the details",
-    "this needs a human maintainer",
-    "my instructions rule this topic out",
-    "the excerpts are silent on it",
-    "the sources contradict each other too much",
-    "i have no access to that material",
-    "sorry",
-    "i'm sorry",
-)
+# fixed values: what words say about answering, by stems, in English, German, French, Spanish, Russian and Chinese
+LEXICON = {
+    # the one who answers, and the one who asks
+    "I": r"(?:i|i'm|i've|i'd|i'll|we|we're|me|my|us|our|ich|wir|mir|mich|uns|je|j|nous|me|yo|nos|я|мы|мне|нас)\b|我",
+    "U": r"(?:you|your|sie|ihnen|ihre|vous|votre|usted|le|su|вы|вам|вас|ваш\w*)\b|您|你",
+    # what is denied, missing or impossible
+    "N": r"(?:not|no|none|nothing|nor|cannot|can't|cant|won't|don't|doesn't|didn't|isn't|aren't|wasn't|weren't|couldn't|wouldn't|shouldn't|haven't|hasn't|never|unable|without|hardly|neither|impossible|unsafe|unwise|inappropriate|wrong"
+         r"|nicht|kein\w*|ohne|ne|n|pas|aucun\w*|impossible|sans|sin|ningun\w*|imposible|не|нет|без|невозможно)\b|无法|不能|不可|没有|没|不",
+    "E": r"(?:enough|insufficient\w*|suffic\w*|lack\w*|missing|silent|contradict\w*|conflict\w*|incomplete|inconclusive|unavailable|unclear|ausreich\w*|reich\w*|genüg\w*|unzureichend\w*|fehl\w*|suffi\w*|insuffi\w*|manqu\w*|bast\w*|suficient\w*|insuficient\w*|falt\w*|недостаточн\w*|достаточн\w*|хвата\w*)\b|足够|不足",
+    # the act of answering
+    "A": r"(?:answer\w*|respond\w*|repl(?:y|ies)|help|assist\w*|comment\w*|tell|say|speculat\w*|guess\w*|advise|discuss\w*|talk\w*|address|statements?|explain|elaborate|clarify|weigh|opine|confirm|verify|determine"
+         r"|beantwort\w*|antworten|helf\w*|auskunft\w*|hilf\w*|äußern|sagen|répond\w*|aider|renseign\w*|dire|parler|contest\w*|responder\w*|ayud\w*|decir|hablar|orientar|ответ\w*|помо\w*|сказать|говорить|подсказ\w*)\b|回答|答复|帮助|协助|解答",
+    # what an answer would rest on
+    "S": r"(?:informations?|info|context|details?|data|knowledge|access|excerpts?|passages?|sources?|documents?|documentation|pages|material\w*|evidence|chunks?|snippets?|retriev\w*|provided|given|instructions?|guidelines?|polic(?:y|ies)|manual"
+         r"|angaben|auszüg\w*|kontext|quellen?|unterlagen|abschnitt\w*|kenntnis\w*|informationen|informations?|extraits?|contexte|données|sources|información|informaciones|datos|fragmentos?|contexto|fuentes?|detalles|информаци\w*|данны\w*|отрыв\w*|источник\w*|контекст\w*|сведени\w*)\b|信息|资料|内容|上下文",
+    "D": r"(?:declin\w*|refus\w*|abstain\w*|refrain\w*|pass|turned|turn|reject\w*|withhold|avoid|prevent\w*|prohibit\w*|forbid\w*|rules?|verweiger\w*|ablehn\w*|lehne|refuser|décliner|rechazar|declinar|negarme|отказ\w*|воздерж\w*)\b|拒绝",
+    "B": r"(?:outside|beyond|außerhalb|hors|fuera|вне|пределами)\b|超出",
+    "O": r"(?:scope|remit|competence|expertise|area|abilit\w*|capabilit\w*|zuständig\w*|bereich\w*|compétence\w*|domaine|alcance|ámbito|competencia\w*|компетенци\w*|рам(?:ок|ки|ками))\b|范围|能力",
+    "K": r"(?:know|knows|sure|certain|idea|aware|familiar|comfortable|allowed|permitted|able|possible|position|made|weiß|möglich|sicher|sais|possible|sé|seguro|posible|знаю|уверен\w*|возможно|могу)\b|知道|清楚",
+    # being sorry, and sending the reader elsewhere
+    "P": r"(?:sorry|apolog\w*|unfortunately|regret\w*|afraid|pardon|leider|tut|leid|entschuldig\w*|bedau\w*|désolé\w*|malheureusement|regrette|siento|lament\w*|disculp\w*|perdón|сожалени\w*|извин\w*|прост\w*)\b|抱歉|对不起|遗憾",
+    "R": r"(?:please|consult|ask|asking|contact|rephras\w*|try|check|refer|feel|free|maintainers?|human|colleague|someone|question|request|topic|subject|matter|bitte|wend\w*|frag\w*|s'il|veuillez|demand\w*|question|favor|pregunt\w*|consulte|пожалуйста|обрат\w*|спрос\w*|вопрос\w*|запрос\w*)\b|请|问题",
+}
+# fixed values: refusals as sequences of these kinds; a sentence refuses when it holds one in order
+REFUSALS = ("INA", "NIA", "NKA", "NAK", "KNA", "KA", "NES", "SNE", "SE", "ES", "NSA", "INS", "ID", "RD", "INK", "BO", "BIO", "SNS", "SNA", "ASN", "NA", "NR", "SER", "DA", "NKI", "SD", "NANA", "PRR", "RNA", "KIN")
+# fixed values: refusals that hold only beside a word for the one who answers, an apology or a request
+_NEEDS_PERSON = frozenset(("NA", "KA", "NR", "SE", "ES", "NKA", "ID", "SER", "NSA", "DA", "RD", "SNS", "SD"))
+# fixed values: of these, those that a short sentence may say of its sources alone
+_SHORT = frozenset(("SE", "ES", "SER", "NKA"))
+SHORT_WORDS = 12
+_KINDS = re.compile("|".join(f"(?P<{k}>(?<!\\w){v})" for k, v in LEXICON.items()))
+_TOKENS = re.compile(r"[^\W_]+(?:'[^\W_]+)*")
+# fixed values: words that open a condition
+_IF = re.compile(r"\W*(?:if|when|unless|wenn|falls|si|quand|lorsque|cuando|если|когда)(?!\w)|如果")
+# fixed values: words that turn from a reservation to an answer
+_TURN = re.compile(r"(?<!\w)(?:but|however|still|nevertheless|nonetheless|though|although|aber|jedoch|trotzdem|mais|cependant|toutefois|pero|sin embargo|aunque|но|однако|但|不过)(?!\w)|但是")
 # fixed values: words that introduce a question rather than add to it
 INTRODUCTIONS = frozenset("so the question is was you asked ask would like to know let me repeat q a answer your again in other words that want wanted vous avez demandé sie haben gefragt usted preguntó вы спросили вопрос frage question pregunta".split())
 # fixed values: strings that stand for nothing
 PLACEHOLDERS = frozenset("n a|na|tbd|todo|null|none|nil|nan|undefined|answer|response|br|empty|no answer|placeholder|lorem ipsum|xxx".split("|"))
-# fixed values: function words of the languages told apart
-FUNCTION_WORDS = {
-    "en": "the a an and or of to in is are be it its this that with for on by from as at when if which will what how why who where does do can before after than then has have was were not but only each every your you while during whether there these without never both neither nor instead under until into once any every",
-    "de": "der die das den dem des ein eine einen einem einer und oder zu im in ist sind wird werden mit für von auf bei nach wenn wie was warum welche kann nicht nur jede jeder jedes damit bevor sonst danach ohne diese dieser sie ich legen fest lange beachten dass wer wo rufen",
-    "fr": "le la les l un une des du de et ou à au aux en est sont sera soit que qui quoi quand comment pourquoi quelle quel avec pour par sur dans ne pas plus ce cette cet sans si sinon avant après puis chaque nous vous il elle se",
-    "es": "el la los las un una unos de del y o a al en es son está que qué cuando cómo por para con sin no se lo su si esta este cada antes después toda todo cuánto tiempo sigue siendo hay falta usted recuerde puedo llame",
-}
-_FUNCTION = {w: [l for l, ws in FUNCTION_WORDS.items() if w in ws.split()] for ws_ in FUNCTION_WORDS.values() for w in ws_.split()}
-_CODE = re.compile(r"```.*?(?:```|\Z)|`[^`\n]*`", re.S)
-_QUOTE = re.compile("\"[^\"\n]*\"|“[^”\n]*”|„[^“”\n]*[“”]|«[^»\n]*»|^>[^\n]*$", re.M)
-_IDENT = re.compile(r"[\w$]+(?:(?:::|->|\.|_|/|\\)[\w$()]+)+|\b\w*[a-z][A-Z]\w*|\$\w+")
-_ITEM = re.compile(r"^[ \t]*(?:[-*+•]|\d+[.)])[ \t]+\S+(?:[ \t]+\S+){0,3}[ \t]*$", re.M)
+# what is no prose (code, quotations, names, short list items), or a word of prose
+_PROSE = re.compile(
+    r"```.*?(?:```|\Z)|`[^`\n]*`|\"[^\"\n]*\"|“[^”\n]*”|„[^“”\n]*[“”]|«[^»\n]*»|(?m:^>[^\n]*$)"
+    r"|(?m:^[ \t]*(?:[-*+•]|\d+[.)])[ \t]+\S+(?:[ \t]+\S+){0,3}[ \t]*$)|[\w$]++(?:(?:::|->|[./\\])[\w$()]+)+|\$\w+|\w*_\w*|([^\W\d_]+(?:['’][^\W\d_]+)*)",
+    re.S,
+)
+_SOME_WORDS = re.compile(r"(?:[^\W_]++[\W_]++){3}[^\W_]")
 _SENTENCES = re.compile(r"(?<=[.!?…。！？])\s+|\n+")
-_LETTER = re.compile(r"[^\W\d_]")
+_NAMES = re.compile(r"```.*?(?:```|\Z)|`[^`\n]*`", re.S)
+_HAN = re.compile("[぀-鿿]")
 
 
-def _prose(text: str) -> str:
-    return _ITEM.sub(" ", _IDENT.sub(" ", _QUOTE.sub(" ", _CODE.sub(" ", text))))
+def prose(text: str) -> list[str]:
+    """Words of the prose of a text."""
+    return [w for w in _PROSE.findall(text) if w]
 
 
-def language(text: str) -> tuple[str | None, int]:
-    """Language of the prose and how many words speak for it; null when too little does.
+#: Log-likelihood by which an answer must speak for its own language, and a question for its own, and words an answer needs.
+EVIDENCE, LEAST_WORDS = 6.0, 3
 
-    Code, names, quotations and short list items are left out.
-    """
-    p = _prose(text).lower()
-    letters = _LETTER.findall(p)
-    if not letters:
-        return None, 0
-    cyrillic = sum("Ѐ" <= c <= "ӿ" for c in letters)
-    han = sum("぀" <= c <= "鿿" for c in letters)
-    if cyrillic * 2 > len(letters):
-        return "ru", cyrillic // 5 + 1
-    if han * 3 > len(letters):
-        return "zh", han // 2 + 1
-    n = dict.fromkeys(FUNCTION_WORDS, 0.0)
-    for w in WORD.findall(p):
-        ls = _FUNCTION.get(w, ())
-        for l in ls:
-            n[l] += 1 / len(ls)
-    # letters that some languages have and others have not
-    for l, cs in (("de", "äöüß"), ("fr", "àâçèêëîïôûœ"), ("es", "ñ¿¡áíóú")):
-        n[l] += 0.5 * sum(p.count(c) for c in cs)
-    best = max(n, key=n.get)
-    return (best, int(n[best])) if n[best] >= 1 else (None, 0)
-
-
-def lcs(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+
+def other_language(question: np.ndarray | str | None, answer: np.ndarray | str | None) -> bool:
+    """The evidence of :class:`Languages` for two proses speaks for two languages, on both sides clearly."""
+    if question is None or answer is None:
+        return False
+    if isinstance(question, str) or isinstance(answer, str):
+        same_kind = isinstance(question, str) and isinstance(answer, str)
+        return question != answer if same_kind else True
+    q, a = int(np.argmax(question)), int(np.argmax(answer))
+    return q != a and min(question[q] - question[a], answer[a] - answer[q]) >= EVIDENCE
+
+
+def lcs(a: Sequence[str], b: Sequence[str]) -> list[tuple[int, int]]:
     """Positions of a longest common subsequence (Hunt and Szymanski: near-linear when few tokens match)."""
     where: dict[str, list[int]] = {}
     for j, w in enumerate(b):
@@ -171,8 +127,14 @@ def _shingles(ws: list[str], n: int = 3) -> set[tuple[str, ...]]:
 
 def is_copy(question: list[str], answer: list[str]) -> bool:
     """The answer holds nothing beyond the question, perhaps altered, repeated or introduced."""
-    if len(question) < 2 or len(answer) > 4 * len(question) + len(INTRODUCTIONS) or len(answer) * 2 < len(question):
+    if len(question) < 2:
         return False
+    allowed, own = max(1, len(question) // 8), set(question) | INTRODUCTIONS
+    beyond = 0
+    for w in answer:  # most answers have more words of their own than a copy may
+        beyond += w not in own
+        if beyond > allowed + 0.4 * len(question):
+            return False
     q, a = _shingles(question), _shingles(answer)
     if len(q & a) * 4 < len(q):
         return False
@@ -185,40 +147,64 @@ def is_copy(question: list[str], answer: list[str]) -> bool:
         taken = {j for _, j in hit}
         rest = [w for j, w in enumerate(rest) if j not in taken]
     extra = [w for w in rest if w not in INTRODUCTIONS]
-    return not first and len(extra) <= max(1, len(question) // 8)
+    return not first and len(extra) <= allowed
 
 
 class Refusals:
-    """Aligns sentences with templates of refusals."""
+    """Aligns sentences with templates of refusals.
 
-    def __init__(self, refusals: tuple[str, ...] = REFUSALS, closers: tuple[str, ...] = CLOSERS) -> None:
-        self._t = [(self._parts(t), kind) for kind, ts in ((True, refusals), (False, closers)) for t in ts]
-        self._words = {w for (fixed, _), kind in self._t for w in fixed}
-
-    @staticmethod
-    def _parts(t: str) -> tuple[list[str], int]:
-        return WORD.findall(t.replace("*", " ")), 12 * t.count("*")
+    A sentence is read as the sequence of kinds of its words; templates are sequences
+    of kinds with slots in between, and a template holds when the longest common
+    subsequence of both is the template. An answer refuses when a sentence does and
+    no sentence says anything else.
+    """
 
-    def _match(self, ws: list[str]) -> bool | None:
-        """True: a refusal; False: a closer; null: neither."""
-        found = None
-        for (fixed, slack), kind in self._t:
-            if len(ws) < 0.8 * len(fixed) or len(ws) > len(fixed) + slack + 1 + len(fixed) // 6:
-                continue
-            need = len(fixed) - len(fixed) // 6
-            if sum(w in fixed for w in ws) >= need and len(lcs(fixed, ws)) >= need:
-                if kind:
-                    return True
-                found = False
-        return found
+    def __init__(self, templates: tuple[str, ...] = REFUSALS) -> None:
+        self._templates = templates
+        self._known: dict[str, str] = {}
+
+    def _kind(self, word: str) -> str:
+        """The kinds of a word, none in most cases; a word with an apostrophe may be two."""
+        m = _KINDS.fullmatch(word)
+        k = m.lastgroup if m else "".join(map(self._kind, word.split("'"))) if "'" in word else ""
+        if len(self._known) > 200_000:
+            self._known.clear()
+        self._known[word] = k
+        return k
+
+    def _match(self, sentence: str) -> bool | None:
+        """True: a refusal; False: speaks of answering and no more; null: says something."""
+        known = self._known
+        tokens = _TOKENS.findall(sentence)
+        if sentence.isascii() or not _HAN.search(sentence):
+            kinds = "".join([known[w] if w in known else self._kind(w) for w in tokens])
+        else:  # no spaces between words
+            kinds = "".join(m.lastgroup for m in _KINDS.finditer(sentence))
+        about = set(kinds) - {"N", "U"}
+        if not about:
+            return None
+        words = len(tokens) + len(_HAN.findall(sentence)) // 2
+        if len(kinds) < 2 and words > 2 or len(kinds) * 6 < words:
+            return None
+        if _IF.match(sentence) or _TURN.search(sentence) and not about & {"P"}:
+            return None
+        person, short = bool(about & {"I", "P"}), words <= SHORT_WORDS
+        for t in self._templates:
+            if len(t) <= len(kinds) and (t not in _NEEDS_PERSON or person or short and t in _SHORT) and len(lcs(t, kinds)) == len(t):
+                return True
+        return False
 
     def __call__(self, answer: str) -> bool:
-        refused = False
-        for s in _SENTENCES.split(_CODE.sub(" x ", answer)):
-            ws = WORD.findall(s.lower())
-            if not ws:
+        refused, text = False, answer.lower().replace("’", "'")
+        # most answers say something at once
+        end = _SENTENCES.search(text)
+        first = text[: end.start()] if end else text
+        if "```" not in first and WORD.search(first) and self._match(_NAMES.sub("x", first)) is None:
+            return False
+        for s in _SENTENCES.split(_NAMES.sub("x", text)):
+            if not WORD.search(s):
                 continue
-            m = self._match(ws)
+            m = self._match(s)
             if m is None:
                 return False
             refused |= m
@@ -229,29 +215,46 @@ def is_empty(answer: str | None) -> bool:
     """Null, or nothing but white space, marks or a placeholder."""
     if answer is None:
         return True
+    if "<" not in answer and "`" not in answer and _SOME_WORDS.search(answer):  # more words than any placeholder has
+        return False
     text = re.sub(r"^```\w*$|<[^>]*>", " ", answer, flags=re.M)
     ws = [w for w in WORD.findall(text.lower()) if w.strip("_")]
     return not ws or " ".join(ws) in PLACEHOLDERS
 
 
-def defect(question: str | None, answer: str | None, endings: E.Endings, refusals: Refusals, common: int = 3) -> str | None:
-    """The defect of one answer, or null.
-
-    Tested in the order ``empty, copy, refusal, other_language, truncated``; the first
-    that holds is the kind. A null question can be neither copied nor differ in language.
-    """
-    if is_empty(answer):
-        return "empty"
-    a = WORD.findall(answer.lower())
-    if question and is_copy(WORD.findall(question.lower()), a):
-        return "copy"
-    if refusals(answer):
-        return "refusal"
-    if question:
-        (lq, nq), (la, na) = language(question), language(answer)
-        if lq and la and lq != la and nq >= 1 and na >= 2:
-            return "other_language"
-    return "truncated" if E.broken(answer, endings, common)[E.LENIENT] else None
+class Defects:
+    """Tells what is wrong with an answer beside its question, the ending apart; made once per task."""
+
+    def __init__(self, limit: int = 50_000) -> None:
+        self._refusals, self._languages = Refusals(), Languages()
+        self._questions: dict[str, tuple] = {}
+        self._limit = limit
+
+    def _question(self, q: str) -> tuple:
+        if q not in self._questions:
+            if len(self._questions) > self._limit:
+                self._questions.clear()
+            self._questions[q] = WORD.findall(q.lower()), self._languages.evidence(prose(q))
+        return self._questions[q]
+
+    def __call__(self, question: str | None, answer: str | None) -> str | None:
+        """The defect of one answer, or null; tested in the order ``empty, copy, refusal, other_language``.
+
+        A null question can be neither copied nor differ in language.
+        """
+        if is_empty(answer):
+            return "empty"
+        if question:
+            words, language = self._question(question)
+            if is_copy(words, WORD.findall(answer.lower())):
+                return "copy"
+        if self._refusals(answer):
+            return "refusal"
+        if question:
+            said = prose(answer)
+            if (len(said) >= LEAST_WORDS or any(map(_HAN.search, said))) and other_language(language, self._languages.evidence(said)):
+                return "other_language"
+        return None
 
 
 def with_question(results: DataFrame, questions: DataFrame, hot_share: int = 1000) -> DataFrame:
@@ -282,24 +285,29 @@ def defects(results: DataFrame, questions: DataFrame) -> DataFrame:
     ``results``: ``result_id, question_id, answer``; ``questions``: ``id, question``;
     other columns are ignored. A result whose question is unknown or null is tested
     for what does not need the question. Repeated questions count once; repeated
-    results are repeated. Empty tables give an empty result. How answers end is
-    counted over all answers first.
+    results are repeated. Empty tables give an empty result. An answer without another
+    defect is ``truncated`` when its ending is broken off; how words go on is counted
+    over all answers.
     """
-    answers = results.select(F.col("answer").cast("string").alias("answer"))
-    model = results.sparkSession.sparkContext.broadcast(E.fit(answers, "answer"))
-    common = results.sparkSession.sparkContext.broadcast(E.usual(answers, "answer", 2000))
 
     def make():
-        endings, refusals = E.Endings(model.value), Refusals()
+        tokens, first = E.Tokens(), Defects()
 
         def run(cols):
-            out = {"result_id": [], "defect": []}
-            for i, q, a in zip(cols["result_id"], cols["question"], cols["answer"]):
-                if d := defect(q, a, endings, refusals, common.value):
-                    out["result_id"].append(i)
-                    out["defect"].append(d)
-            return out
+            rows = []
+            for i, q, a, h in zip(cols["result_id"], cols["question"], cols["answer"], cols["text_hash"]):
+                d = first(q, a)
+                shape = E.COMPLETE if d else E.shape(a, tokens)
+                if d or shape is not E.COMPLETE:
+                    rows.append((i, d, h, *shape))
+            return dict(zip(("result_id", "defect", "text_hash", *E.SHAPE), zip(*rows) if rows else ((),) * (len(E.SHAPE) + 3)))
 
         return run
 
-    return stage(with_question(results, questions), "result_id long, defect string", make)
+    given = with_question(results, questions).withColumn("text_hash", F.xxhash64("answer"))
+    shaped = write_through(stage(given, f"result_id long, defect string, text_hash long, {E.SHAPE_DDL}", make), "defects")
+    answers = results.select(F.col("answer").cast("string").alias("answer"))
+    n = answers.agg(F.count_distinct(F.xxhash64("answer"))).first()[0]
+    judged = E.resolve(shaped.where("defect is null"), answers, "answer", n)
+    broken = judged.where("lenient is not null").select("result_id", F.lit("truncated").alias("defect"))
+    return shaped.where("defect is not null").select("result_id", "defect").unionByName(broken)

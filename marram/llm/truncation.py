@@ -19,8 +19,6 @@ from marram.storage import write_through
 SPIKE_TEXTS, SPIKE_RISE, NEIGHBOURS = 5, 8.0, 40
 #: Share of prose lines without a terminal mark up to which a source counts as strict.
 STRICT_SHARE = 0.1
-#: One in so many distinct texts must end in the same two words before these count as a usual ending.
-COMMON_SHARE = 2000
 
 
 def spikes(lengths: DataFrame) -> DataFrame:
@@ -50,40 +48,36 @@ def spikes(lengths: DataFrame) -> DataFrame:
 def endings_of(texts: DataFrame, key: str, column: str) -> DataFrame:
     """Verdicts on the ending of each non-empty text, with its lengths and line counts.
 
-    The model of sentence ends is counted over all rows first; the verdicts are
-    written to the shared folder, since several aggregates read them.
+    The verdicts are written to the shared folder, since several aggregates read them.
     """
-    texts = texts.select(F.col(key).cast("long").alias("key"), F.col("source").cast("string").alias("source"), F.col(column).cast("string").alias("text"))
-    model = texts.sparkSession.sparkContext.broadcast(E.fit(texts, "text"))
-    # the more texts, the more of them are cut after the same two words by chance
-    common = E.usual(texts, "text", COMMON_SHARE)
+    texts = texts.select(F.col(key).cast("long").alias("key"), F.col("source").cast("string").alias("source"), F.col(column).cast("string").alias("text")).where(F.trim("text") != "")
 
     def make():
-        m = E.Endings(model.value)
+        tokens = E.Tokens()
+        own = ("key", "source", "n_chars", "n_bytes", "text_hash", "n_lines", "n_unmarked")
 
         def run(cols):
-            out = {k: [] for k in ("key", "source", "n_chars", "n_bytes", "text_hash", "lenient", "strict", "at_limit", "n_lines", "n_unmarked")}
+            out = {k: [] for k in own}
+            shapes = []
             for k, s, t, b, h in zip(cols["key"], cols["source"], cols["text"], cols["n_bytes"], cols["text_hash"]):
-                lenient, strict, limit = E.broken(t, m, common)
+                shapes.append(E.shape(t, tokens))
                 lines = unmarked = 0
                 for x in E._BREAK.split(t)[:-1]:
                     if x and E.prose_line(x):
                         lines += 1
                         y = x.rstrip()
                         unmarked += not (E.TERMINAL.search(y) or y[-1] in ":,;")
-                for name, v in zip(out, (k, s, len(t), b, h, lenient, strict, limit, lines, unmarked)):
+                for name, v in zip(own, (k, s, len(t), b, h, lines, unmarked)):
                     out[name].append(v)
-            return out
+            return out | dict(zip(E.SHAPE, zip(*shapes) if shapes else ((),) * len(E.SHAPE)))
 
         return run
 
-    given = texts.where(F.trim("text") != "").select("key", "source", "text", F.octet_length("text").cast("long").alias("n_bytes"), F.xxhash64("text").alias("text_hash"))
-    judged = stage(
-        given,
-        "key long, source string, n_chars long, n_bytes long, text_hash long, lenient string, strict string, at_limit string, n_lines long, n_unmarked long",
-        make,
-    )
-    return write_through(judged, "endings")
+    given = texts.select("key", "source", "text", F.octet_length("text").cast("long").alias("n_bytes"), F.xxhash64("text").alias("text_hash"))
+    ddl = f"key long, source string, n_chars long, n_bytes long, text_hash long, n_lines long, n_unmarked long, {E.SHAPE_DDL}"
+    shaped = write_through(stage(given, ddl, make), "endings-shapes")
+    n = shaped.agg(F.count_distinct("text_hash")).first()[0]
+    return write_through(E.resolve(shaped, texts, "text", n), "endings")
 
 
 def truncated(texts: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:

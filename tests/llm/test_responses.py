@@ -1,7 +1,7 @@
 import random
 
-from marram.llm import endings as E
 from marram.llm import responses as R
+from marram.llm.languages import Languages
 
 
 def test_lcs_against_the_table():
@@ -30,21 +30,82 @@ ANSWERS = {
     "The reader opens the window.\n\n- empty list\n- `a.b` = 4": None, "Only during bootstrap.": None,
 }
 Q = "Which option controls the window of a reader?"
-COMMON = ["The reader opens the window and returns an empty list. The option decides that and it is clear."] * 30
 
 
-def test_kinds(spark):
-    m = E.Endings(E.fit(spark.createDataFrame([(t,) for t in COMMON], "t string"), "t"))
+# refusals in words of their own, written apart from the templates
+HELD_OUT = """I'm sorry, but I can't assist with that request.
+As an AI language model, I don't have access to real-time data, so I can't answer this.
+I'm afraid I don't have that information.
+The provided context does not contain the answer.
+This falls outside of what I am able to discuss.
+I must refrain from commenting on that.
+I don't feel comfortable answering this question.
+It would be inappropriate for me to respond to that.
+Sorry, I do not know.
+I have no idea.
+Unfortunately, the documents given do not cover this, so I am not able to help.
+There isn't sufficient context for me to determine that.
+I won't be answering that.
+I'm not sure about that, please check the documentation.
+We are unable to provide any details on this topic.
+That question is beyond my scope.
+I cannot confirm this from the sources.
+My guidelines do not allow me to discuss it.
+I lack the knowledge needed to reply.
+Your request cannot be answered with the information at hand.
+Ich kann Ihnen dabei leider nicht helfen.
+Dazu liegen mir keine Informationen vor.
+Das weiß ich leider nicht.
+Der Kontext reicht nicht aus, um die Frage zu beantworten.
+Je ne sais pas.
+Je suis désolé, mais je ne suis pas en mesure de vous aider.
+Le contexte ne suffit pas pour répondre à la question.
+Lo siento, pero no puedo ayudarle con eso.
+No tengo suficiente información para responder.
+No lo sé.
+Извините, я не знаю ответа.
+У меня недостаточно информации, чтобы ответить.
+К сожалению, я не могу помочь с этим вопросом.
+对不起，我不知道。
+抱歉，我无法提供帮助。
+根据提供的资料，无法回答该问题。""".split("\n")
+ANSWERING = """No, that option was removed and does nothing now.
+The handler cannot respond to requests after shutdown.
+You cannot open the window without a token.
+It is not possible to pass null here; use an empty list.
+The context does not contain a session id until `start()` is called.
+I would use `Cache::get()` for that.
+Yes, we support it since version 4.
+Without a valid response the client retries up to three times.
+The question of ordering does not matter because the set is sorted.
+I can't see your full setup; still, this should work. Set `ttl` to 5.
+If the help page is missing, check the documentation folder.
+Access is denied when no policy is given.
+The data source returns no details when the table is empty.
+Unfortunately the old API was removed; call `boot()` with the new options instead.""".split("\n")
+
+
+def test_refusals_of_their_own_words():
     f = R.Refusals()
-    for a, want in ANSWERS.items():
-        assert R.defect(Q, a, m, f) == want, a
-    assert R.defect(None, Q, m, f) is None
+    assert sum(map(f, HELD_OUT)) >= 0.9 * len(HELD_OUT)
+    assert not [a for a in ANSWERING if f(a)]
+
+
+def test_copies_of_any_length():
+    q = "which option controls the window of a reader".split()
+    assert R.is_copy(q, q * 40) and R.is_copy(q, ("you asked".split() + q) * 9)
+    assert not R.is_copy(q, q * 40 + "it is the cache".split()) and not R.is_copy(q, q[:3]) and not R.is_copy(q, ["x"] * 100000)
 
 
 def test_language():
-    assert R.language("The window is open and the reader waits for it")[0] == "en"
-    assert R.language("Wie kann ich die Datei laden, wenn sie nicht da ist")[0] == "de"
-    assert R.language("`a b c` $x foo::bar")[0] is None
+    best = Languages().best
+    for want, text in (
+        ("en", "The window is open and the reader waits for it"), ("de", "Wie kann ich die Datei laden, wenn sie nicht da ist"), ("fr", "Comment faut-il charger le fichier quand il manque"), ("es", "Cómo puedo cargar el archivo cuando falta"),
+        ("it", "Come posso caricare il file quando manca la chiave"), ("pt", "Como posso carregar o arquivo quando falta a chave"), ("nl", "Hoe kan ik het bestand laden als de sleutel ontbreekt"), ("ru", "Как загрузить файл, если его нет"), ("uk", "Як завантажити файл, якщо його немає"), ("zh", "如何加载文件"), ("ja", "ファイルを読み込む方法"),
+    ):
+        assert best(text) == want, text
+    assert best("12 ...") is None
+    assert R.prose("`a b` $x foo::bar a_b \"quoted words\"") == []
 
 
 def test_frame(spark):
