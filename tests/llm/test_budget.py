@@ -3,7 +3,7 @@ from collections import Counter
 import pytest
 
 from marram.llm import budget as B
-from marram.llm.tokenizers import FOLDER, Tokenizer
+from marram.llm.tokenizers import FOLDER, Tokenizer, Words
 
 pytest.importorskip("tiktoken")
 SCHEMA = "doc string, content string, source string, language string, domain string, n_tokens long"
@@ -40,6 +40,28 @@ def test_deltas_equal_a_fresh_count(spark):
     assert everything[("all", "all", "all")] == sum(n for _, n in want(b, count).values())
 
 
+def test_change_sets_and_saved_states(spark, tmp_path):
+    count = Tokenizer().counter()
+    frame = lambda rows: spark.createDataFrame(rows, SCHEMA)
+    a = [("1", "red fox", "s", "en", "d", 9), ("2", "blue sky", "s", "en", "d", 9), ("2", "blue sky", "s", "en", "d", 9), ("3", None, "s", "en", "x", 9)]
+    path = str(tmp_path / "budget")
+    B.TokenBudget(Tokenizer()).update(frame(a)).save(path)
+    again = B.TokenBudget.load(spark, path, Tokenizer())
+    same = again.update(frame(a))
+    # a later process encodes nothing that is known
+    assert same.fresh.count() == 0 and sums(same.cube) == want(a, count)
+    changed = [("2", "red fox jumps", "t", "en", "d", 9), ("7", "blue sky", "s", "de", "d", 9)]
+    next_ = again.change(frame(changed), spark.createDataFrame([("1",), ("99",)], "doc string"))
+    left = [a[3], *changed]
+    assert next_.fresh.count() == 1 and sums(next_.cube) == want(left, count)
+    assert sorted(r["doc"] for r in next_.members.collect()) == ["2", "3", "7"]
+    assert next_.save(path).endswith("state-000002")
+    assert sums(B.TokenBudget.load(spark, path, Tokenizer()).update(frame(left)).cube) == want(left, count)
+    other = B.TokenBudget.load(spark, path, Words())
+    assert other.cube is None and sums(other.update(frame(left)).cube) == want(left, lambda t: len(t.split()))
+    assert B.TokenBudget.load(spark, path + "-none", Tokenizer()).cube is None
+
+
 def test_labels(spark):
     rows = [(1, "a", "x::y", " Docs ", (None, None, "EN-us")), (2, "b", "guides/a.mdx::z", None, ("guides/a.mdx", None, None)), (3, "c", None, "", (None, "Queue/x.zep", "und"))]
     c = spark.createDataFrame(rows, "chunk_no long, content string, id string, source string, metadata struct<file_path:string,file:string,language:string>")
