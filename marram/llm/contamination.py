@@ -15,13 +15,14 @@ from __future__ import annotations
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marram.llm.counts import add_up, pack_part, task_number
+from marram.llm.counts import _SLICES, add_up, pack_part, task_number
 from marram.llm.words import WORD
 from marram.storage import write_through
 
@@ -30,7 +31,9 @@ from marram.storage import write_through
 class LeakSearch:
     """Parameters of the search.
 
-    ``min_run``: consecutive evaluation words a passage needs; ``window``/``step``: words
+    ``min_run``: evaluation words a passage, and a window of it, needs; ``bridge``: other
+    words in a row that a passage may step over (none: all its words are evaluation
+    words, which loses no verbatim leak); ``window``/``step``: words
     of a document window and how far apart windows start, so that any ``window - step +
     1`` words lie inside one; ``query``/``query_step``: the same for items; ``rank``,
     ``oversample``, ``power``: of the SVD; ``cosine``: least latent cosine of candidates;
@@ -38,6 +41,7 @@ class LeakSearch:
     """
 
     min_run: int = 13
+    bridge: int = 0
     window: int = 20
     step: int = 8
     query: int = 13
@@ -99,8 +103,14 @@ def passages(documents: DataFrame, key: str, column: str, items: Items, p: LeakS
                 inside = w >= 0
                 df[np.unique(w[inside]) + 1] += 1
                 edges = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8)))
-                for s, e in zip(edges[::2], edges[1::2]):
-                    if e - s >= p.min_run:
+                starts, ends = edges[::2], edges[1::2]
+                if p.bridge and len(starts):
+                    apart = np.flatnonzero(starts[1:] - ends[:-1] > p.bridge)
+                    starts, ends = starts[np.concatenate([[0], apart + 1])], ends[np.concatenate([apart, [len(ends) - 1]])]
+                    w[~inside] = size  # other words have a number without weight
+                words = np.concatenate([[0], np.cumsum(inside)])
+                for s, e in zip(starts, ends):
+                    if words[e] - words[s] >= p.min_run:
                         docs.append(i)
                         found.append(w[s:e].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(found, pa.binary()), pa.nulls(len(docs), pa.binary())], schema=schema)
@@ -111,16 +121,22 @@ def passages(documents: DataFrame, key: str, column: str, items: Items, p: LeakS
 
 
 def _sum(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], np.ndarray]], size: int, dtype: type) -> np.ndarray:
-    """Sum over all rows of a vector of fixed size: per task, then over tasks in streams."""
+    """Sum over all rows of a vector of fixed size: per task, then slice by slice over tasks in streams."""
+    edges = np.linspace(0, size, min(_SLICES, size) + 1).astype(np.int64)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f, total = make(), np.zeros(size, dtype)
         for b in batches:
             if b.num_rows:
                 total += f(b)
-        yield pack_part(0, task_number(), total)
+        for k, (s, e) in enumerate(zip(edges[:-1], edges[1:])):
+            if total[s:e].any():
+                yield pack_part(k, task_number(), total[s:e])
 
-    return add_up(df.mapInArrow(local, "slice int, part int, counts binary"), dtype).get(0, np.zeros(size, dtype))
+    out = np.zeros(size, dtype)
+    for k, x in add_up(df.mapInArrow(local, "slice int, part int, counts binary"), dtype).items():
+        out[edges[k] : edges[k + 1]] = x
+    return out
 
 
 def _windows(n: int, width: int, step: int) -> np.ndarray:
@@ -282,6 +298,9 @@ def _search(documents: DataFrame, key: str, column: str, items: Items, p: LeakSe
             docs, texts = np.array(b.column(0).to_pylist(), np.int64), [np.frombuffer(x, np.int32) for x in b.column(1).to_pylist()]
             for at in range(0, len(texts), 500):
                 all_windows, all_of = _cut(texts[at : at + 500], p.window, p.step)
+                if p.bridge:  # windows of too few evaluation words
+                    enough = ((all_windows >= 0) & (all_windows < len(idf_))).sum(axis=1) >= p.min_run
+                    all_windows, all_of = all_windows[enough], all_of[enough]
                 for w, of in ((all_windows[x : x + _ROWS], all_of[x : x + _ROWS]) for x in range(0, len(all_of), _ROWS)):
                     v = wt.times(w, basis_).astype(np.float32)
                     v /= np.maximum(np.linalg.norm(v, axis=1), 1e-12)[:, None]
@@ -306,14 +325,14 @@ def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", column: s
     of the window that are a common subsequence). Null and empty texts have no passages; empty tables give
     an empty result; repeated documents count once per id.
 
-    The items are the stated query set: they are read by the driver and broadcast in
-    passes of ``items_a_pass``, so what is broadcast has a fixed bound.
+    The items are the stated query set: the driver reads and broadcasts them pass by
+    pass, ``items_a_pass`` at a time, so what it holds and sends has a fixed bound.
     """
     spark = documents.sparkSession
-    rows = [(r["item_id"], r["text"]) for r in items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).toLocalIterator()]
+    rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).toLocalIterator()
     out = None
-    for at in range(0, len(rows), p.items_a_pass):
-        block = read_items(rows[at : at + p.items_a_pass])
+    while held := list(islice(rows, p.items_a_pass)):
+        block = read_items([(r["item_id"], r["text"]) for r in held])
         if block.ids:
             part = _search(documents, key, column, block, p)
             out = part if out is None else out.unionByName(part)
