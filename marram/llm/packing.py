@@ -1,10 +1,12 @@
 """Filling fixed-capacity containers with items.
 
-Method: optimal length buckets. The global histogram of item lengths decides, by
-dynamic programming, on the bucket boundaries that minimise padding; containers are
-then filled inside each bucket from a token budget. What a container has left over is
-topped up from the buckets of shorter items, so space is lost only where nothing fits.
-An item is never split unless it alone is larger than a container.
+Method: optimal length buckets. A bucket whose longest items have length u cuts a
+container into ``capacity // u`` equal slots, one item a slot. The global histogram of
+item lengths decides, by dynamic programming, on the bucket boundaries that minimise
+the padding of all slots; token-budget batches, of as many items as a container has
+slots at least, are then formed inside each bucket. What a batch leaves open is topped
+up with items of shorter buckets, which then form fewer batches of their own. An item is
+never split unless it alone is larger than a container.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from __future__ import annotations
 from bisect import bisect_right
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marram.llm.arrow import stage
@@ -28,8 +30,10 @@ _PLACED = "capacity long, shard int, container int, item long, piece int, tokens
 def token_lengths(texts: DataFrame, key: str, column: str, tokenizer: Tokenizer) -> DataFrame:
     """``item, tokens`` of all texts; null and empty texts have no tokens."""
 
+    vocabulary = texts.sparkSession.sparkContext.broadcast(tokenizer.data)
+
     def make():
-        count = tokenizer.counter()
+        count = tokenizer.counter(vocabulary.value)
 
         def run(cols):
             return {"item": cols["item"], "tokens": [count(t) if t else 0 for t in cols["text"]]}
@@ -40,11 +44,17 @@ def token_lengths(texts: DataFrame, key: str, column: str, tokenizer: Tokenizer)
     return write_through(stage(given, "item long, tokens long", make), "token-lengths")
 
 
+def slots(capacity: int, upper: int) -> int:
+    """Items of a bucket with the upper end ``upper`` that fill a container, whichever they are."""
+    return capacity // upper
+
+
 def boundaries(lengths: np.ndarray, counts: np.ndarray, capacity: int, buckets: int = BUCKETS) -> list[int]:
     """Upper ends of at most ``buckets`` buckets with the least padding over a histogram.
 
-    Lengths are at most ``capacity``; above ``STEPS`` distinct steps they are rounded up
-    to a multiple of ``capacity / STEPS``. The last boundary is the largest length.
+    An item of a bucket takes a slot, so its padding is ``capacity / slots`` less its
+    length. Lengths are at most ``capacity``; above ``STEPS`` distinct steps they are
+    rounded up to a multiple of ``capacity / STEPS``. The last boundary is the largest length.
     """
     step = max(1, -(-capacity // STEPS))
     ends = np.minimum(-(-lengths // step) * step, capacity)
@@ -57,7 +67,8 @@ def boundaries(lengths: np.ndarray, counts: np.ndarray, capacity: int, buckets:
         return [int(x) for x in axis]
     # cost[i, j]: padding of one bucket over steps i..j
     i, j = np.arange(m)[:, None], np.arange(m)[None, :]
-    cost = np.where(i <= j, axis[None, :] * (cn[1:][None, :] - cn[:-1][:, None]) - (cs[1:][None, :] - cs[:-1][:, None]), np.inf)
+    slot = capacity / (capacity // axis)
+    cost = np.where(i <= j, slot[None, :] * (cn[1:][None, :] - cn[:-1][:, None]) - (cs[1:][None, :] - cs[:-1][:, None]), np.inf)
     best, cut = cost[0].copy(), []
     for _ in range(buckets - 1):
         # best of one bucket more: the last one starts at k
@@ -80,33 +91,38 @@ def boundaries(lengths: np.ndarray, counts: np.ndarray, capacity: int, buckets:
 def fill(tokens: list[int], capacity: int, ends: list[int]) -> list[int]:
     """Container number of each item, items of at most ``capacity`` tokens.
 
-    Buckets are taken from long to short. A container takes items of its bucket while
-    they fit, then of each shorter bucket, longest first; equal lengths go in the
-    given order.
+    Buckets are taken from long to short. Inside a bucket batches form in the given
+    order: a batch takes items while the token budget lasts, as many as the container
+    has slots at least. What stays open is topped up from shorter buckets, the longest
+    that fit first; so these have fewer batches, or none, when their turn comes.
     """
     inside: list[list[tuple[int, int]]] = [[] for _ in ends]
     for i in sorted(range(len(tokens)), key=lambda i: (tokens[i], -i)):
         inside[min(bisect_right(ends, tokens[i] - 1), len(ends) - 1)].append((tokens[i], -i))
     where = [0] * len(tokens)
     number = 0
-    top = len(ends) - 1
-    while True:
-        while top >= 0 and not inside[top]:
-            top -= 1
-        if top < 0:
-            return where
-        room, b = capacity, top
-        while b >= 0 and room > 0:
-            items = inside[b]
-            # the longest of this bucket that still fits
-            k = bisect_right(items, (room, 1)) - 1 if items else -1
-            if k < 0:
-                b -= 1
-                continue
-            size, i = items.pop(k)
-            where[-i] = number
-            room -= size
-        number += 1
+    for top in range(len(ends) - 1, -1, -1):
+        own = sorted(-i for _, i in inside[top])
+        at = 0
+        while at < len(own):
+            room = capacity
+            while at < len(own) and tokens[own[at]] <= room:
+                where[own[at]] = number
+                room -= tokens[own[at]]
+                at += 1
+            b = top - 1
+            while b >= 0 and room > 0:
+                items = inside[b]
+                # the longest of this bucket that still fits
+                k = bisect_right(items, (room, 1)) - 1 if items else -1
+                if k < 0:
+                    b -= 1
+                    continue
+                size, i = items.pop(k)
+                where[-i] = number
+                room -= size
+            number += 1
+    return where
 
 
 def pack(lengths: DataFrame, capacities: list[int]) -> DataFrame:
@@ -185,3 +201,34 @@ def containers(placed: DataFrame) -> DataFrame:
         )
         .withColumn("unused", F.col("capacity") - F.col("used"))
     )
+
+
+def padding(placed: DataFrame) -> DataFrame:
+    """Padding of the slots of each bucket, before topping up, and what one bucket for all would have.
+
+    Result: ``capacity, bucket, slots, n_items, used, padding, padding_in_one``.
+    """
+    w = Window.partitionBy("capacity")
+    of = lambda upper: F.floor(F.col("capacity") / upper)
+    per = placed.where("shard >= 0").groupBy("capacity", "bucket").agg(F.count(F.lit(1)).alias("n_items"), F.sum("tokens").alias("used"))
+    room = lambda upper: F.round(F.col("n_items") * F.col("capacity") / of(upper) - F.col("used"), 3)
+    # a handful of buckets a capacity
+    return per.withColumn("longest", F.max("bucket").over(w)).select(
+        "capacity", "bucket", of(F.col("bucket")).alias("slots"), "n_items", "used", room(F.col("bucket")).alias("padding"), room(F.col("longest")).alias("padding_in_one")
+    )
+
+
+def rules(placed: DataFrame) -> DataFrame:
+    """What must hold of any packing, counted per capacity.
+
+    Result: ``capacity, n_items, used, n_overfull`` (containers beyond their capacity),
+    ``n_split`` (items in more than one piece), ``n_split_needlessly`` (of these, items
+    that one container could hold).
+    """
+    over = containers(placed).where("used > capacity").groupBy(F.col("capacity").alias("c")).agg(F.count(F.lit(1)).alias("n_overfull"))
+    items = placed.groupBy("capacity", "item").agg(F.sum("tokens").alias("used"), F.count(F.lit(1)).alias("pieces"))
+    several = F.col("pieces") > 1
+    per = items.groupBy("capacity").agg(
+        F.count(F.lit(1)).alias("n_items"), F.sum("used").alias("used"), F.count(F.when(several, 1)).alias("n_split"), F.count(F.when(several & (F.col("used") <= F.col("capacity")), 1)).alias("n_split_needlessly")
+    )
+    return per.join(over, F.col("capacity") == F.col("c"), "left").select("capacity", "n_items", "used", F.coalesce("n_overfull", F.lit(0)).cast("long").alias("n_overfull"), "n_split", "n_split_needlessly")

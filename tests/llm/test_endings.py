@@ -20,7 +20,6 @@ def test_kinds(spark):
 
     complete = ("", "  ", SENTENCES[0], "# Window", "x.\n\n- empty list\n- open window", "x.\n\nTags: a, b", "x\n| a | b |\n|--|--|\n| 1 | 2 |", "x.\n```php\ny\n```", "x.\n-- \nuser12", "a: works now", "`Foo::bar()`", "See [a](b.md)")
     broken = {
-        text: None, text,
         "The reader opens the window and returns an empty li": "word",
         "The reader opens the window and returns an": "sentence",
         SENTENCES[0] + " The writer closes the": "sentence",
