@@ -14,7 +14,11 @@ CELLS = 4_000_000
 
 
 def top_k(scored: DataFrame, k: int) -> DataFrame:
-    """Ranks ``query_id, doc, score`` within each query, ties to the smaller ``doc``, and keeps ``k``."""
+    """Ranks ``query_id, doc, score`` within each query, ties to the smaller ``doc``, and keeps ``k``.
+
+    The filter on the rank is pushed below the exchange, so that each task that reads
+    scores passes on ``k`` rows a query at most.
+    """
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("doc"))
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
 
@@ -52,3 +56,23 @@ def pa_type(kind: str) -> pa.DataType:
     from pyspark.sql.types import _parse_datatype_string
 
     return to_arrow_type(_parse_datatype_string(kind))
+
+
+def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a list column, one list after the other, and the length of each list; a null list is empty."""
+    sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return column.flatten().to_numpy(zero_copy_only=False), sizes
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` on as many tasks as there are cores at least.
+
+    Costly narrow stages over a table of fewer splits than cores would leave cores idle;
+    tables of many splits, which is what large ones are, stay where they lie. Plans that
+    move their rows already are left alone.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    if any(x in plan for x in ("Join", "Aggregate", "Repartition", "Window", "Sort", "Distinct", "Union", "LogicalRDD", "Limit")):
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

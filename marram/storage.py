@@ -2,8 +2,8 @@
 
 A long plan is cut by writing a table into the folder that the cluster names in
 ``spark.checkpoint.dir`` and reading it back: every executor sees that folder, so a
-lost executor costs nothing but a re-read. Where the setting is absent (tests on
-one machine) a folder is made once per process and set as the checkpoint folder.
+lost executor costs nothing but a re-read. Where the setting is absent, a local master
+gets a folder once per application, and any other master an error.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
     already = spark.sparkContext._jsc.sc().getCheckpointDir()
     if already.isDefined():
         return already.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = tempfile.mkdtemp(prefix="marram-")
@@ -56,6 +58,19 @@ def write_through(df: DataFrame, name: str, compression: str = "snappy") -> Data
     return spark.read.schema(schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Removes the table that :func:`write_through` made for ``df``; no plan may read it any more."""
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        _drop(df.sparkSession, path)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder for files of another form; removed when the process ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_drop, spark, path)
+    return path
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark delete shuffle files and broadcasts that are no longer referred to.
 
