@@ -21,10 +21,3 @@ class RetrievalConfig:
     max_code_chars: int = 1500
     min_code_chars: int = 300
     dims: int = 64
-
-    def lexical_only_can_lose(self) -> bool:
-        """True when no lexical-only hit can outrank a dense candidate.
-
-        Then lexical ranks need only be joined onto the dense candidates.
-        """
-        return self.dense_weight / (self.rrf_k + self.candidates) > self.lexical_weight / (self.rrf_k + 1)

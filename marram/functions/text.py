@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,13 +12,14 @@ STOP_WORDS = (
     "a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "if", "in", "into", "is", "it", "no", "not",
     "of", "on", "or", "such", "that", "the", "their", "then", "there", "these", "they", "this", "to", "was", "will", "with",
 )
-#: Texts that are boilerplate and nothing else (a regular expression over the trimmed text).
-NOISE = r"^:::info\[NOTE\]\nAll classes are prefixed with `\w+`\n:::$"
+# fixed values: white space of any script, as Java reads it, and as Python strips it
+SPACE = r"(?U)[\s\x1c-\x1f]"
+SPACES = " \t\n\r\f\v\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def words(c: Column) -> Column:
     """White-space separated words."""
-    return F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    return F.filter(F.split(c, SPACE + "+"), lambda w: w != "")
 
 
 def word_count(c: Column) -> Column:
@@ -29,6 +32,11 @@ def slug(c: Column) -> Column:
     return F.regexp_replace(dashed, "^-+|-+$", "")
 
 
+def slug_text(x: str) -> str:
+    """:func:`slug` of a Python string."""
+    return re.sub("[^a-z0-9_]+", "-", x.strip(" ").lower()).strip("-")
+
+
 def front_matter(c: Column) -> Column:
     """The block between leading ``---`` marks; null where there is none or it is not closed."""
     parts = F.split(c, "---", 3)
@@ -53,6 +61,7 @@ def body(c: Column) -> Column:
 
 def clean(c: Column) -> Column:
     """Without link definitions, usage lists and long trees; at most one blank line in a row."""
+    # fixed values: what is taken out of a page
     c = F.regexp_replace(c, r"(?m)^\s*\[[^\]]+\]:\s+\S+.*$", "")
     c = F.regexp_replace(c, r"(?s)<ApiUses>.*?</ApiUses>", "")
     c = F.regexp_replace(c, r"(?s)<ApiUsedBy>.*?</ApiUsedBy>", "")
@@ -61,8 +70,9 @@ def clean(c: Column) -> Column:
     return F.regexp_replace(c, r"\n{3,}", "\n\n")
 
 
-def is_noise(c: Column, pattern: str = NOISE) -> Column:
-    return F.coalesce(F.trim(c).rlike(pattern), F.lit(False))
+def is_noise(c: Column, noise: tuple[str, ...]) -> Column:
+    """The text is one of the given boilerplate texts and nothing else; white space around it does not count."""
+    return F.coalesce(trim_all(c).isin(*(x.strip(SPACES) for x in noise)), F.lit(False)) if noise else F.lit(False)
 
 
 def link_text(c: Column) -> Column:
@@ -86,6 +96,7 @@ def terms(c: Column) -> Column:
 
 def substantive(content: Column) -> Column:
     """Something is left without headings, images, empty links, self-closing tags and rules."""
+    # fixed values: what is no substance
     c = F.regexp_replace(content, r"(?m)^#{1,6}\s+.*$", "")
     c = F.regexp_replace(c, r"!\[[^\]]*\]\([^)]+\)", "")
     c = F.regexp_replace(c, r"\[\s*\]\[[^\]]+\]", "")
@@ -102,7 +113,7 @@ def keep_chunk(section: Column, content: Column) -> Column:
 
 def trim_all(c: Column) -> Column:
     """Without white space of any kind at the ends."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.regexp_replace(c, f"(?U)^[\\s\\x1c-\\x1f]+|[\\s\\x1c-\\x1f]+\\z", "")
 
 
 def embedding_text(source: Column, file: Column, method: Column, content: Column) -> Column:

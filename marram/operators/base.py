@@ -16,10 +16,14 @@ class Retriever(Protocol):
 
 
 class HybridRetriever:
-    """Dense and lexical search over ``doc, text``, fused."""
+    """Dense and lexical search over ``doc, text``, fused; index and vectors are made once."""
 
     def __init__(self, corpus: DataFrame) -> None:
+        from marram.operators import dense, lexical
+        from marram.storage import write_through
+
         self.corpus = corpus
+        self._index, self._vectors = lexical.Index.build(corpus), write_through(dense.embed(corpus), "vectors")
 
     def search(self, queries: DataFrame, candidates: int = 50, top_k: int = 10) -> DataFrame:
         from dataclasses import replace
@@ -27,4 +31,4 @@ class HybridRetriever:
         from marram.config import RetrievalConfig
         from marram.operators.fusion import hybrid
 
-        return hybrid(queries, self.corpus, replace(RetrievalConfig(), candidates=candidates, top_k=top_k))
+        return hybrid(queries, self.corpus, replace(RetrievalConfig(), candidates=candidates, top_k=top_k), index=self._index, vectors=self._vectors)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marram.functions.text import terms
-from marram.operators.ranking import BLOCK, CELLS, better, blocks, pa_type, top_k
+from marram.operators.ranking import BLOCK, CELLS, better, blocks, flat, pa_type, spread, top_k
 
 # fixed values: how queries are put to models of these families
 QUERY_FORMATS = {"raw": "{q}", "prefix": "Represent this sentence for searching relevant passages: {q}", "instruct": "Instruct: {i}\nQuery: {q}"}
@@ -26,10 +26,11 @@ def format_query(style: str, query, instruction: str = "Retrieve passages that a
 class HashedEmbedder:
     """Feature hashing of index terms into ``dims`` signed counts, of length one.
 
-    A stand-in with the interface of a model: ``make()`` is called once per task and
-    returns a function from lists of terms to a matrix.
+    A stand-in with the interface of a model (:class:`marram.operators.models.Embedder`).
     """
 
+    reads = "terms"
+
     def __init__(self, dims: int = 64) -> None:
         self.dims = dims
 
@@ -61,11 +62,14 @@ def embed(rows: DataFrame, embedder: HashedEmbedder = HashedEmbedder()) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = embedder.make()
         for b in batches:
-            v = f([x or [] for x in b.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(v), pa.list_(pa.float64()))], names=["doc", "embedding"])
+            v = np.asarray(f([x or [] for x in b.column(1).to_pylist()]), np.float64)
+            ends = pa.array(np.arange(len(v) + 1, dtype=np.int32) * np.int32(v.shape[1]))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(ends, pa.array(v.ravel()))], names=["doc", "embedding"])
 
     key = dict(rows.dtypes)["doc"]
-    return rows.select("doc", terms(F.col("text")).alias("ts")).mapInArrow(run, f"doc {key}, embedding array<double>")
+    given = spread(rows.select("doc", "text"))
+    read = F.coalesce("text", F.lit("")) if getattr(embedder, "reads", "terms") == "text" else terms(F.col("text"))
+    return given.select("doc", read.alias("given")).mapInArrow(run, f"doc {key}, embedding array<double>")
 
 
 def search(queries: DataFrame, vectors: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
@@ -79,6 +83,7 @@ def search(queries: DataFrame, vectors: DataFrame, k: int, block: int = BLOCK) -
     spark = vectors.sparkSession
     kinds = dict(queries.dtypes)["query_id"], dict(vectors.dtypes)["doc"]
     ddl = f"query_id {kinds[0]}, doc {kinds[1]}, score double"
+    given = spread(vectors.where("embedding is not null").select("doc", F.col("embedding").cast("array<double>").alias("embedding")))
     out = None
 
     def one(rows: list) -> DataFrame:
@@ -94,14 +99,14 @@ def search(queries: DataFrame, vectors: DataFrame, k: int, block: int = BLOCK) -
                 for at in range(0, b.num_rows, step):
                     part = b.slice(at, step)
                     docs = part.column(0).to_pylist()
-                    m = np.array(part.column(1).to_pylist(), np.float64).reshape(len(docs), -1)
+                    m = flat(part.column(1))[0].reshape(len(docs), -1)
                     best = better(best, np.round(q @ m.T, 9), docs, k)
             if best is not None and len(best):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([ids[x] for x in best["i"]]), pa.array(best["doc"].tolist(), types), pa.array(best["score"].to_numpy())], names=["query_id", "doc", "score"]
                 )
 
-        return vectors.where("embedding is not null").select("doc", "embedding").mapInArrow(run, ddl)
+        return given.mapInArrow(run, ddl)
 
     for held in blocks(queries.where("embedding is not null").select("query_id", "embedding").toLocalIterator(), block):
         out = one(held) if out is None else out.unionByName(one(held))
@@ -118,7 +123,7 @@ def first_ranks(queries: DataFrame, vectors: DataFrame, block: int = BLOCK) -> D
     """
     spark = vectors.sparkSession
     kinds = dict(queries.dtypes)["query_id"], dict(vectors.dtypes)["doc"]
-    given = vectors.where("embedding is not null").select("doc", "embedding", "label")
+    given = spread(vectors.where("embedding is not null").select("doc", F.col("embedding").cast("array<double>").alias("embedding"), "label"))
     types = pa_type(kinds[0]), pa_type(kinds[1])
     out, ddl = None, f"query_id {kinds[0]}, n long"
 
@@ -136,7 +141,7 @@ def first_ranks(queries: DataFrame, vectors: DataFrame, block: int = BLOCK) -> D
                 for at in range(0, b.num_rows, step):
                     part = b.slice(at, step)
                     docs = part.column(0).to_pylist()
-                    scores = np.round(q @ np.array(part.column(1).to_pylist(), np.float64).reshape(len(docs), -1).T, 9)
+                    scores = np.round(q @ flat(part.column(1))[0].reshape(len(docs), -1).T, 9)
                     for j, d in enumerate(docs):
                         if d in at_:
                             scores[at_[d], j] = -np.inf

@@ -1,18 +1,25 @@
 """Structure-aware chunking of Markdown documents.
 
-Every step is a column expression that turns one row into an array of chunks, so a
-whole corpus is chunked in one narrow stage: no shuffle, no Python. Sections and method
-blocks are found by splitting in front of their first line, paths and groups by folds.
+A whole corpus is chunked in narrow stages. Sections, whose paths and ids depend on all
+headings before them, are found in one Arrow pass that is linear in the text; every
+further step is a column expression that turns one chunk into an array of chunks.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from marram.config import RetrievalConfig
 from marram.functions import text as T
 from marram.functions.packer import greedy
+from marram.operators.ranking import spread
 
 MAX_ITEMS = 10
 
@@ -22,7 +29,6 @@ _API_METHOD = r'<h4 id="[^"\n]+"><code>[^\n]+?</code></h4>(?=\n|\z)'
 _SIGNATURE = r"(?:final\s+)?(?:public|protected|private)\s+(?:static\s+)?function\s+[a-zA-Z_][a-zA-Z0-9_]*\s*\("
 _FENCE = r"[ \t]*```php[ \t]*\n"
 
-_TEXT = ("id", "content", "section", "method", "event_component")
 _PARTS = ("part", "api_items_part", "method_annotations_part", "method_signatures_part", "examples_part", "table_part")
 FIELDS = ("id", "content", "section", "heading_path", "method", "event_component", *_PARTS)
 
@@ -45,46 +51,37 @@ def _row() -> dict[str, Column]:
     return {f: F.col(f) for f in FIELDS}
 
 
-def sections(document: Column, content: Column) -> Column:
-    """Chunks of a document by heading, each with its path of titles and a unique id.
+_HEAD = re.compile(r"^(#{1,6})[^\S\n]+([^\n]+)", re.M)
+_SECTION = "doc string, id string, content string, section string, heading_path array<string>"
+
+
+def sections(document: str, content: str) -> list[tuple[str, str, str | None, list[str]]]:
+    """``id, content, section, heading_path`` of a document by heading, in one pass.
 
     A heading closes all open headings of its level or deeper. Text before the first
     heading is the root. Fences are not looked at: a comment line in a code block that
     looks like a heading opens a section. The n-th chunk of one id gets ``-n``.
     """
-    pieces = F.transform(
-        _before(content, _HEADING),
-        lambda p: F.struct(
-            p.alias("content"),
-            F.length(F.regexp_extract(p, rf"^(#{{1,6}})(?=[^\S\n]+[^\n]+)", 1)).alias("level"),
-            F.trim(F.regexp_extract(p, r"^#{1,6}[^\S\n]+([^\n]+)", 1)).alias("title"),
-        ),
-    )
-    titles = "array<struct<level:int,title:string>>"
-    start = F.struct(F.array().cast("array<array<string>>").alias("paths"), F.array().cast(titles).alias("open"))
-
-    def step(s: Column, p: Column) -> Column:
-        stack = F.when(
-            p["level"] > 0,
-            F.concat(F.filter(s["open"], lambda o: o["level"] < p["level"]), F.array(F.struct(p["level"].alias("level"), p["title"].alias("title")))),
-        ).otherwise(s["open"])
-        return F.struct(F.concat(s["paths"], F.array(F.transform(stack, lambda o: o["title"]))).alias("paths"), stack.alias("open"))
-
-    paths = F.aggregate(pieces, start, step, lambda s: s["paths"])
-    ids = F.transform(paths, lambda p: T.chunk_id(document, p))
-    nulls = {f: F.lit(None).cast("int") for f in _PARTS} | {f: F.lit(None).cast("string") for f in _TEXT}
-
-    def build(p: Column, i: Column) -> Column:
-        path, base = F.get(paths, i), F.get(ids, i)
-        seen = F.size(F.filter(F.slice(ids, 1, i + 1), lambda x: x == base))
-        return _chunk(
-            nulls | {"heading_path": path},
-            id=F.when(seen > 1, F.concat(base, F.lit("-"), seen.cast("string"))).otherwise(base),
-            content=T.trim_all(p["content"]),
-            section=F.when(F.size(path) > 0, F.element_at(path, -1)),
-        )
-
-    return F.transform(pieces, build)
+    heads = list(_HEAD.finditer(content))
+    starts = [m.start() for m in heads]
+    out, open_, seen = [], [], {}
+
+    def add(text: str) -> None:
+        base = "::".join([document, *(slug for _, _, slug in open_)]) if open_ else f"{document}::root"
+        n = seen[base] = seen.get(base, 0) + 1
+        path = [title for _, title, _ in open_]
+        out.append((base if n == 1 else f"{base}-{n}", text.strip(T.SPACES), path[-1] if path else None, path))
+
+    before = content[: starts[0]] if starts else content
+    if before:
+        add(before)
+    for m, start, end in zip(heads, starts, [*starts[1:], len(content)]):
+        level, title = len(m[1]), m[2].strip(T.SPACES)
+        while open_ and open_[-1][0] >= level:
+            open_.pop()
+        open_.append((level, title, T.slug_text(title)))
+        add(content[start:end])
+    return out
 
 
 def _named(r: dict[str, Column], name: Column, content: Column, **more: Column) -> Column:
@@ -242,9 +239,18 @@ def _each(df: DataFrame, chunks: Column) -> DataFrame:
 
 
 def split_sections(documents: DataFrame) -> DataFrame:
-    """``doc, content`` by heading; see :func:`sections`."""
-    text = F.regexp_replace("content", r"\r\n?", "\n")
-    return _each(documents.where(F.col("content").isNotNull()), sections(F.col("doc").cast("string"), text))
+    """``doc, content`` by heading; see :func:`sections`. An Arrow stage, linear in the text."""
+    schema = to_arrow_schema(StructType.fromDDL(_SECTION))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(d, *x) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for x in sections(d, t)]
+            cols = zip(*rows) if rows else [()] * len(schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
+
+    given = documents.where("doc is not null and content is not null").select(F.col("doc").cast("string").alias("doc"), F.regexp_replace("content", r"\r\n?", "\n").alias("content"))
+    nulls = {f: F.lit(None).cast("int") for f in _PARTS} | {f: F.lit(None).cast("string") for f in ("method", "event_component")}
+    return spread(given).mapInArrow(run, _SECTION).select("doc", *(nulls[f].alias(f) if f in nulls else F.col(f) for f in FIELDS))
 
 
 def chunk_documents(documents: DataFrame, config: RetrievalConfig = RetrievalConfig()) -> DataFrame:

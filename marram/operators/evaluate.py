@@ -41,6 +41,43 @@ def source_recall(expected: DataFrame, ranking: DataFrame, cutoffs: tuple[int, .
     )
 
 
+def source_metrics(recall: DataFrame, questions: DataFrame, cutoffs: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
+    """One row over :func:`source_recall`: hit rates, mean source recall, reciprocal rank, and skipped questions.
+
+    ``questions``: ``query_id``; those without an expected source are skipped and only
+    counted. No question left is an error, raised when the row is read.
+    """
+    r, n = F.col("first_rank"), F.count(F.lit(1))
+    means = recall.agg(
+        F.when(n > 0, n).otherwise(F.raise_error("no question expects a source").cast("long")).alias("n_questions"),
+        *(F.round(F.avg(F.when(r <= k, 1.0).otherwise(0.0)), 6).alias(f"hit_at_{k}") for k in cutoffs),
+        *(F.round(F.avg(f"source_recall_at_{k}"), 6).alias(f"source_recall_at_{k}") for k in cutoffs),
+        F.round(F.avg(F.coalesce(1.0 / r, F.lit(0.0))), 6).alias("mrr"),
+    )
+    all_ = questions.select("query_id").distinct().agg(F.count(F.lit(1)).alias("n_all"))
+    # two frames of one row
+    return means.join(F.broadcast(all_)).withColumn("n_skipped", F.col("n_all") - F.col("n_questions")).drop("n_all")
+
+
+def prefix_metrics(recall: DataFrame) -> DataFrame:
+    """One row over :func:`prefix_recall`: questions, hit rate and mean source recall."""
+    return recall.agg(F.count(F.lit(1)).alias("n_questions"), F.round(F.avg(F.col("hit").cast("double")), 6).alias("hit_rate"), F.round(F.avg("source_recall"), 6).alias("source_recall"))
+
+
+def rubric(graded: DataFrame, criteria: tuple[str, ...], best: int = 2) -> DataFrame:
+    """``model``, the sum of each criterion, and the total with its share of what could be had.
+
+    ``graded``: ``model`` and a grade from 0 to ``best`` per criterion; a row with a null
+    grade is not graded yet and left out.
+    """
+    done = graded.dropna(subset=list(criteria))
+    total = sum((F.col(c) for c in criteria), F.lit(0))
+    out_of = best * len(criteria)
+    return done.groupBy("model").agg(
+        *(F.sum(c).cast("long").alias(c) for c in criteria), F.sum(total).cast("long").alias("score"), (out_of * F.count(F.lit(1))).cast("long").alias("out_of"), F.round(F.sum(total) / (out_of * F.count(F.lit(1))), 6).alias("share")
+    )
+
+
 def prefix_recall(expected: DataFrame, ranking: DataFrame, separator: str = "::") -> DataFrame:
     """Per question: expected sources found by id or by a leading part of an id.
 
@@ -75,6 +112,7 @@ def length_statistics(lengths: DataFrame, limit: int) -> DataFrame:
     """One row over ``id, tokens``: mean, quantiles (linear between ranks), extremes and what exceeds ``limit``."""
     t = F.col("tokens")
     q = F.percentile(t, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
+    # a length occurs often: the exact quantiles keep one entry a distinct length
     s = lengths.agg(
         F.count(F.lit(1)).alias("n"), F.avg(t).alias("mean"), q.alias("q"), F.min(t).alias("min"), F.max(t).alias("max"), F.count(F.when(t > limit, 1)).alias("over_limit")
     )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from marram.config import RetrievalConfig
 from marram.operators import dense, lexical
+from marram.operators.models import Embedder, Reranker, apply_model
 
 
 def fuse(rankings: list[tuple[DataFrame, float]], k: int, top: int | None = None) -> DataFrame:
@@ -27,15 +28,23 @@ def fuse(rankings: list[tuple[DataFrame, float]], k: int, top: int | None = None
     return ranked if top is None else ranked.where(F.col("rank") <= top)
 
 
-def hybrid(queries: DataFrame, corpus: DataFrame, config: RetrievalConfig = RetrievalConfig(), embedder: dense.HashedEmbedder | None = None) -> DataFrame:
+def hybrid(
+    queries: DataFrame,
+    corpus: DataFrame,
+    config: RetrievalConfig = RetrievalConfig(),
+    embedder: Embedder | None = None,
+    index: lexical.Index | None = None,
+    vectors: DataFrame | None = None,
+) -> DataFrame:
     """Dense and lexical candidates of ``query_id, query`` in ``doc, text``, fused and cut to the top.
 
-    Ranks are fused on keys alone; texts are joined by the caller where they are needed.
+    With a stored ``index`` and stored ``vectors`` (``doc, embedding``) the corpus is not
+    read. Ranks are fused on keys alone; texts are joined by the caller where they are needed.
     """
     e = embedder or dense.HashedEmbedder(config.dims)
     q = dense.embed(queries.select(F.col("query_id").alias("doc"), F.col("query").alias("text")), e).withColumnRenamed("doc", "query_id")
-    d = dense.search(q, dense.embed(corpus, e), config.candidates)
-    l = lexical.search(queries, corpus, config.candidates, config)
+    d = dense.search(q, vectors if vectors is not None else dense.embed(corpus, e), config.candidates)
+    l = lexical.search(queries, index or corpus, config.candidates, config)
     return fuse([(d, config.dense_weight), (l, config.lexical_weight)], config.rrf_k, config.top_k)
 
 
@@ -44,25 +53,31 @@ def multi_source(rankings: list[DataFrame], config: RetrievalConfig = RetrievalC
     return fuse([(r, 1.0) for r in rankings], config.rrf_k, len(rankings) * config.top_k)
 
 
-def rerank(candidates: DataFrame, corpus: DataFrame, queries: DataFrame) -> DataFrame:
-    """``query_id, doc, score, rank`` by the weighted share of query terms a candidate holds.
+def rerank(candidates: DataFrame, corpus: DataFrame, queries: DataFrame, index: lexical.Index | None = None, model: Reranker | None = None) -> DataFrame:
+    """``query_id, doc, score, rank`` of candidates in the order of a model's scores.
 
     ``candidates``: ``query_id, doc, rank``; ``corpus``: ``doc, text``; ``queries``:
-    ``query_id, query``. Terms are weighted by how rare they are among the candidates'
-    queries' own terms in the corpus; ties keep the candidates' order.
+    ``query_id, query``. Ties keep the candidates' order. Without a model a candidate
+    scores the share of the query's distinct terms that it holds, weighted by how rare
+    they are in the corpus (whose ``index`` may be given).
     """
-    from marram.functions.text import terms
+    if model is None:
+        scored = _term_share(candidates, index or lexical.Index.build(corpus), queries)
+    else:
+        pairs = candidates.select("query_id", "doc", F.col("rank").alias("before")).join(queries.select("query_id", "query"), "query_id").join(corpus.select("doc", "text"), "doc")
+        scored = apply_model(pairs, model, ["query", "text"], "score", "double").select("query_id", "doc", "before", "score")
+    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "before")
+    return scored.select("query_id", "doc", "score", F.row_number().over(w).cast("long").alias("rank"))
+
 
-    df = lexical.postings(corpus).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    q = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("query")))).alias("term")).join(df, "term", "left")
-    weights = q.groupBy("query_id").agg(F.collect_list(F.struct("term", (1.0 / F.log(F.lit(2.0) + F.coalesce("df", F.lit(0)))).alias("w"))).alias("ts"))
-    text = candidates.join(corpus.select("doc", F.array_distinct(terms(F.col("text"))).alias("have")), "doc").join(weights, "query_id")
+def _term_share(candidates: DataFrame, index: lexical.Index, queries: DataFrame) -> DataFrame:
+    q = queries.select("query_id", F.explode(F.array_distinct(lexical.hashed_terms(F.col("query")))).alias("term")).join(index.df, "term", "left")
+    weights = q.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("term", (1.0 / F.log(F.lit(2.0) + F.coalesce("df", F.lit(0)))).alias("w")))).alias("ts"))
+    text = candidates.join(index.forward.select("doc", F.col("terms").alias("have")), "doc").join(weights, "query_id")
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x["w"])
-    scored = text.select(
+    return text.select(
         "query_id", "doc", F.col("rank").alias("before"), F.round(total(F.filter("ts", lambda x: F.array_contains("have", x["term"]))) / total(F.col("ts")), 9).alias("score")
     )
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "before")
-    return scored.select("query_id", "doc", "score", F.row_number().over(w).cast("long").alias("rank"))
 
 
 def select_by_source(ranked: DataFrame, quotas: dict[str, int]) -> DataFrame:

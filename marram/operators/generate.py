@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marram.functions import text as T
+
 MAX_QUESTION = 2000
 
 RULES = (
@@ -16,24 +18,37 @@ RULES = (
 )
 
 
+# fixed values: the labels of an excerpt
+LABELS = {"docs": ("Type: DOCUMENTATION", "File: ", "Section: ", "Content: "), "code": ("Type: SOURCE CODE", "File: ", "Method: ", "Lines: ", "Content:")}
+
+
 def excerpt(chunk: Column) -> Column:
     """A chunk as the generator reads it; empty for a source that is neither docs nor code."""
     s = lambda f: F.coalesce(chunk[f].cast("string"), F.lit("None"))
-    docs = F.concat(F.lit("Type: DOCUMENTATION\nFile: "), s("file"), F.lit("\nSection: "), s("section"), F.lit("\nContent: "), chunk["content"])
+    d, k = LABELS["docs"], LABELS["code"]
+    docs = F.concat(F.lit(f"{d[0]}\n{d[1]}"), s("file"), F.lit(f"\n{d[2]}"), s("section"), F.lit(f"\n{d[3]}"), chunk["content"])
     code = F.concat(
-        F.lit("Type: SOURCE CODE\nFile: "), s("file"), F.lit("\nMethod: "), s("method"), F.lit("\nLines: "), s("start_line"), F.lit("-"), s("end_line"), F.lit("\nContent:\n"), chunk["content"]
+        F.lit(f"{k[0]}\n{k[1]}"), s("file"), F.lit(f"\n{k[2]}"), s("method"), F.lit(f"\n{k[3]}"), s("start_line"), F.lit("-"), s("end_line"), F.lit(f"\n{k[4]}\n"), chunk["content"]
     )
     return F.when(chunk["source"] == "docs", docs).when(chunk["source"] == "code", code).otherwise("")
 
 
+def rerank_text() -> Column:
+    """What a reranker reads of a row of the corpus."""
+    return T.embedding_text(F.col("source"), F.col("file"), F.col("method"), F.col("text"))
+
+
 def context(chunks: Column) -> Column:
     """Numbered excerpts of an ordered array of chunks; empty for an empty array."""
     return F.array_join(F.transform(chunks, lambda c, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("]\n"), excerpt(c), F.lit("\n\n"))), "")
 
 
+HEAD = "You answer questions about a software framework.\n" + "".join(f"- {r}\n" for r in RULES)
+
+
 def prompt(question: Column, numbered: Column, selected: Column | None = None) -> Column:
     """The whole prompt; the user's code comes in only when there is some."""
-    head = "You answer questions about a software framework.\n" + "".join(f"- {r}\n" for r in RULES)
+    head = HEAD
     code = F.lit("") if selected is None else F.when(selected.isNotNull() & (selected != ""), F.concat(F.lit("\nCode of the user:\n```\n"), selected, F.lit("\n```\n"))).otherwise("")
     return F.concat(F.lit(head + "\nQuestion:\n"), question, F.lit("\n"), code, F.lit("\nExcerpts:\n"), numbered)
 

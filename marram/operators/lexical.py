@@ -6,110 +6,165 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marram.config import RetrievalConfig
 from marram.functions.text import terms
-from marram.operators.ranking import BLOCK, CELLS, better, blocks, pa_type, top_k
+from marram.operators.ranking import BLOCK, CELLS, better, blocks, flat, pa_type, spread, top_k
+from marram.storage import write_through
 
 
 def postings(corpus: DataFrame) -> DataFrame:
     """``term, doc, tf, dl`` of ``doc, text``; texts without terms have no postings.
 
-    Counted inside each row by higher-order functions, so no shuffle is needed.
+    Terms are exploded and counted; the counts are combined before they move.
     """
-    t = corpus.select("doc", terms(F.col("text")).alias("ts")).where(F.size("ts") > 0)
-    sorted_ = t.select("doc", F.size("ts").cast("long").alias("dl"), F.array_sort("ts").alias("ts"))
-    firsts = F.array_distinct("ts")
-    # equal terms stand together: a count is the distance between first positions
-    return (
-        sorted_.select("doc", "dl", "ts", F.posexplode(firsts).alias("i", "term"), firsts.alias("us"))
-        .select(
-            "term",
-            "doc",
-            (F.coalesce(F.array_position("ts", F.get("us", F.col("i") + 1)), F.col("dl") + 1) - F.array_position("ts", F.col("term"))).cast("long").alias("tf"),
-            "dl",
-        )
-    )
-
-
-def statistics(corpus: DataFrame) -> DataFrame:
-    """One row: number of texts and mean length in terms, over texts with or without terms."""
-    return corpus.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(terms(F.coalesce("text", F.lit("")))).cast("double")).alias("avgdl"))
-
-
-def weighted_terms(queries: DataFrame, corpus: DataFrame) -> DataFrame:
-    """``query_id, ts, ws, avgdl``: terms of each query that the corpus has, with count times rarity."""
-    q = queries.select("query_id", F.explode(terms(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    df = corpus.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    w = q.join(df, "term").join(F.broadcast(statistics(corpus)))  # one row
-    w = w.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("term", (F.col("qtf") * idf).alias("w")))).alias("t"), F.first("avgdl").alias("avgdl"))
-    return w.select("query_id", F.col("t.term").alias("ts"), F.col("t.w").alias("ws"), "avgdl")
-
-
-def _asks(rows: list) -> tuple[list, dict[str, int], list, float]:
-    """A block of weighted queries as it is broadcast: ids, numbers of terms, each term's queries and weights, mean length."""
-    number: dict[str, int] = {}
-    asks: list[tuple[list[int], list[float]]] = []
-    for i, r in enumerate(rows):
-        for t, w in zip(r["ts"], r["ws"]):
-            n = number.setdefault(t, len(number))
-            if n == len(asks):
-                asks.append(([], []))
-            asks[n][0].append(i)
-            asks[n][1].append(w)
-    return [r["query_id"] for r in rows], number, [(np.array(i), np.array(w)) for i, w in asks], rows[0]["avgdl"]
-
-
-def _scores(lists: list[list[str]], asks: tuple, config: RetrievalConfig) -> np.ndarray:
-    """Scores ``[query, text]`` of a block of queries and some texts' terms."""
-    ids, number, held, avgdl = asks
-    k1, b_ = config.bm25_k1, config.bm25_b
-    dl = np.array([len(x) for x in lists], np.float64)
-    found = np.array([number.get(t, -1) for x in lists for t in x], np.int64)
-    of = np.repeat(np.arange(len(lists)), dl.astype(np.int64))[found >= 0]
-    key, tf = np.unique(found[found >= 0] * len(lists) + of, return_counts=True)
-    term, doc = key // len(lists), key % len(lists)
-    weight = tf / (tf + k1 * (1.0 - b_ + b_ * dl[doc] / avgdl))
-    scores = np.zeros((len(ids), len(lists)))
+    t = corpus.select("doc", terms(F.col("text")).alias("ts"))
+    exploded = t.select("doc", F.size("ts").cast("long").alias("dl"), F.explode("ts").alias("term"))
+    return exploded.groupBy("term", "doc", "dl").agg(F.count(F.lit(1)).alias("tf")).select("term", "doc", "tf", "dl")
+
+
+def hashed_terms(c: Column) -> Column:
+    """64-bit hashes of the index terms of a text."""
+    return F.transform(terms(c), lambda t: F.xxhash64(t))
+
+
+class Index:
+    """A lexical index: built once, kept as tables, searched many times.
+
+    ``forward``: ``doc, terms, tfs, dl`` with the hashes of a text's distinct terms and
+    their counts, sorted by hash; ``df``: ``term, df``; ``n`` and ``avgdl`` over all texts
+    with or without terms. Terms are known by 64-bit hashes.
+    """
+
+    def __init__(self, forward: DataFrame, df: DataFrame, n: int, avgdl: float) -> None:
+        self.forward, self.df, self.n, self.avgdl = forward, df, n, avgdl
+
+    @classmethod
+    def build(cls, corpus: DataFrame, path: str | None = None) -> "Index":
+        """The index of ``doc, text``, written below ``path`` or into the shared folder. Null texts have no entry."""
+        spark = corpus.sparkSession
+        kind = dict(corpus.dtypes)["doc"]
+        types = pa_type(kind)
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                hashes, sizes = flat(b.column(1))
+                doc = np.repeat(np.arange(b.num_rows), sizes)
+                order = np.lexsort((hashes, doc))
+                h, d = hashes[order], doc[order]
+                first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])])) if len(h) else np.empty(0, np.int64)
+                ends = np.concatenate([[0], np.cumsum(np.bincount(d[first], minlength=b.num_rows))]).astype(np.int32)
+                tf = np.diff(np.concatenate([first, [len(h)]])).astype(np.int32)
+                lists = (pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (h[first], tf))
+                yield pa.RecordBatch.from_arrays([b.column(0).cast(types), *lists, pa.array(sizes, pa.int32())], names=["doc", "terms", "tfs", "dl"])
+
+        given = spread(corpus.where("text is not null").select("doc", "text")).select("doc", hashed_terms(F.col("text")).alias("ts"))
+        forward = given.mapInArrow(count, f"doc {kind}, terms array<long>, tfs array<int>, dl int")
+        if path is None:
+            forward = write_through(forward, "index-forward")
+        else:
+            forward.write.mode("overwrite").parquet(f"{path}/forward")
+            forward = spark.read.parquet(f"{path}/forward")
+        df = forward.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        if path is None:
+            df = write_through(df, "index-df")
+        else:
+            df.write.mode("overwrite").parquet(f"{path}/df")
+        return cls.load(spark, path) if path else cls._with_statistics(forward, df)
+
+    @classmethod
+    def _with_statistics(cls, forward: DataFrame, df: DataFrame) -> "Index":
+        r = forward.agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("dl")).first()
+        return cls(forward, df, r["n"], r["dl"] / r["n"] if r["n"] else 0.0)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "Index":
+        """The index that :meth:`build` wrote below ``path``."""
+        return cls._with_statistics(spark.read.parquet(f"{path}/forward"), spark.read.parquet(f"{path}/df"))
+
+    def weighted(self, queries: DataFrame) -> DataFrame:
+        """``query_id, ts, ws``: hashes of each query's terms that the index has, with count times rarity."""
+        q = queries.select("query_id", F.explode(hashed_terms(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+        idf = F.log(1.0 + (F.lit(self.n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        w = q.join(self.df, "term").groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("term", (F.col("qtf") * idf).alias("w")))).alias("t"))
+        return w.select("query_id", F.col("t.term").alias("ts"), F.col("t.w").alias("ws"))
+
+    def texts(self) -> DataFrame:
+        """The forward table as scoring reads it, on as many tasks as there are cores at least."""
+        return spread(self.forward.where("dl > 0").select("doc", "terms", "tfs", "dl"))
+
+
+def as_index(corpus: DataFrame | Index) -> Index:
+    return corpus if isinstance(corpus, Index) else Index.build(corpus)
+
+
+class _Asks:
+    """A block of weighted queries as it is broadcast: ids, sorted term hashes, and each term's queries and weights."""
+
+    def __init__(self, rows: list, avgdl: float) -> None:
+        self.ids, self.avgdl = [r["query_id"] for r in rows], avgdl
+        sizes = [len(r["ts"]) for r in rows]
+        t = np.array([x for r in rows for x in r["ts"]], np.int64)
+        order = np.argsort(t, kind="stable")
+        self.terms, starts = np.unique(t[order], return_index=True)
+        self.edges = np.concatenate([starts, [len(t)]])
+        self.query = np.repeat(np.arange(len(rows)), sizes)[order]
+        self.weight = np.array([x for r in rows for x in r["ws"]], np.float64)[order]
+
+
+def _scores(part: pa.RecordBatch, asks: _Asks, config: RetrievalConfig) -> np.ndarray:
+    """Scores ``[query, text]`` of a block of queries and some rows of the forward table."""
+    hashes, sizes = flat(part.column(1))
+    tfs, _ = flat(part.column(2))
+    dl = part.column(3).to_numpy(zero_copy_only=False).astype(np.float64)
+    at = np.minimum(np.searchsorted(asks.terms, hashes), len(asks.terms) - 1)
+    hit = np.flatnonzero(asks.terms[at] == hashes)
+    doc = np.repeat(np.arange(part.num_rows), sizes)[hit]
+    order = np.argsort(at[hit], kind="stable")
+    term, doc, tf = at[hit][order], doc[order], tfs[hit][order].astype(np.float64)
+    weight = tf / (tf + config.bm25_k1 * (1.0 - config.bm25_b + config.bm25_b * dl[doc] / asks.avgdl))
+    scores = np.zeros((len(asks.ids), part.num_rows))
     edges = np.flatnonzero(np.diff(term, prepend=-1, append=-1))
     for s, e in zip(edges[:-1], edges[1:]):
-        i, w = held[term[s]]
-        scores[i[:, None], doc[s:e]] += w[:, None] * weight[s:e]
+        own = slice(asks.edges[term[s]], asks.edges[term[s] + 1])
+        # a text holds a term once, a query too: no cell is met twice
+        scores[asks.query[own][:, None], doc[s:e]] += asks.weight[own][:, None] * weight[s:e]
     return np.round(scores, 9)
 
 
-def search(queries: DataFrame, corpus: DataFrame, k: int, config: RetrievalConfig = RetrievalConfig(), block: int = BLOCK) -> DataFrame:
+def search(queries: DataFrame, corpus: DataFrame | Index, k: int, config: RetrievalConfig = RetrievalConfig(), block: int = BLOCK) -> DataFrame:
     """Best ``k`` texts of each query: ``query_id, doc, score, rank``.
 
-    ``queries``: ``query_id, query``; ``corpus``: ``doc, text``. A query term counts as
-    often as it stands in the query. Texts that share no term are left out. Ties go to
-    the smaller ``doc``.
+    ``queries``: ``query_id, query``; ``corpus``: an :class:`Index`, or ``doc, text``, of
+    which one is built. A query term counts as often as it stands in the query. Texts
+    that share no term are left out. Ties go to the smaller ``doc``.
 
     Queries are weighted by a join of terms, then read block by block; each block is
     broadcast, and tasks score their texts against it and keep each query's ``k`` best.
     Matches of queries and texts, which grow with both, so never move: only ``k`` rows
-    a query and task do.
+    a query and task do, and these are merged in two levels.
     """
-    spark = corpus.sparkSession
-    kinds = dict(queries.dtypes)["query_id"], dict(corpus.dtypes)["doc"]
+    index = as_index(corpus)
+    spark = index.forward.sparkSession
+    kinds = dict(queries.dtypes)["query_id"], dict(index.forward.dtypes)["doc"]
     ddl = f"query_id {kinds[0]}, doc {kinds[1]}, score double"
-    texts = corpus.where("text is not null").select("doc", terms(F.col("text")).alias("ts")).where(F.size("ts") > 0)
+    texts, avgdl = index.texts(), index.avgdl
     out = None
 
     def one(rows: list) -> DataFrame:
-        sent = spark.sparkContext.broadcast(_asks(rows))
+        sent = spark.sparkContext.broadcast(_Asks(rows, avgdl))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids = sent.value[0]
+            asks = sent.value
+            ids = asks.ids
             best, types, step = None, None, max(k, CELLS // len(ids))
             for batch in batches:
                 types = batch.schema.field(0).type
                 for at in range(0, batch.num_rows, step):
                     part = batch.slice(at, step)
-                    best = better(best, _scores(part.column(1).to_pylist(), sent.value, config), part.column(0).to_pylist(), k, positive=True)
+                    best = better(best, _scores(part, asks, config), part.column(0).to_pylist(), k, positive=True)
             if best is not None and len(best):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([ids[x] for x in best["i"]]), pa.array(best["doc"].tolist(), types), pa.array(best["score"].to_numpy())], names=["query_id", "doc", "score"]
@@ -117,12 +172,12 @@ def search(queries: DataFrame, corpus: DataFrame, k: int, config: RetrievalConfi
 
         return texts.mapInArrow(run, ddl)
 
-    for rows in blocks(weighted_terms(queries, corpus).toLocalIterator(), block):
+    for rows in blocks(index.weighted(queries).toLocalIterator(), block):
         out = one(rows) if out is None else out.unionByName(one(rows))
     return top_k(out if out is not None else spark.createDataFrame([], ddl), k)
 
 
-def first_ranks(queries: DataFrame, corpus: DataFrame, relevant: DataFrame, config: RetrievalConfig = RetrievalConfig(), block: int = BLOCK) -> DataFrame:
+def first_ranks(queries: DataFrame, corpus: DataFrame | Index, relevant: DataFrame, config: RetrievalConfig = RetrievalConfig(), block: int = BLOCK) -> DataFrame:
     """Rank of each query's best relevant text among all texts: ``query_id, first_rank``.
 
     ``relevant``: ``query_id, doc``; order and texts left out are those of :func:`search`
@@ -132,25 +187,26 @@ def first_ranks(queries: DataFrame, corpus: DataFrame, relevant: DataFrame, conf
     pass over all texts counts those that stand before the best one. Only one row a
     query and task moves.
     """
-    spark = corpus.sparkSession
-    kinds = dict(queries.dtypes)["query_id"], dict(corpus.dtypes)["doc"]
-    texts = corpus.where("text is not null").select("doc", terms(F.col("text")).alias("ts")).where(F.size("ts") > 0)
-    wanted = texts.join(relevant.groupBy("doc").agg(F.collect_set("query_id").alias("of")), "doc").select("doc", "ts", "of")
+    index = as_index(corpus)
+    spark = index.forward.sparkSession
+    kinds = dict(queries.dtypes)["query_id"], dict(index.forward.dtypes)["doc"]
+    texts, avgdl = index.texts(), index.avgdl
+    wanted = texts.join(relevant.groupBy("doc").agg(F.collect_set("query_id").alias("of")), "doc").select("doc", "terms", "tfs", "dl", "of")
     types = pa_type(kinds[0]), pa_type(kinds[1])
     out, ddl = None, f"query_id {kinds[0]}, n long"
 
     def one(rows: list) -> DataFrame:
-        sent = spark.sparkContext.broadcast(_asks(rows))
+        sent = spark.sparkContext.broadcast(_Asks(rows, avgdl))
 
         def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids = sent.value[0]
+            ids = sent.value.ids
             at_ = {q: i for i, q in enumerate(ids)}
             step = max(1, CELLS // len(ids))
             for batch in batches:
                 for at in range(0, batch.num_rows, step):
                     part = batch.slice(at, step)
-                    scores = _scores(part.column(1).to_pylist(), sent.value, config)
-                    cells = [(at_[q], j) for j, of in enumerate(part.column(2).to_pylist()) for q in of if q in at_]
+                    scores = _scores(part, sent.value, config)
+                    cells = [(at_[q], j) for j, of in enumerate(part.column(4).to_pylist()) for q in of if q in at_]
                     cells = [(i, j) for i, j in cells if scores[i, j] > 0]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([ids[i] for i, _ in cells], types[0]), part.column(0).take(pa.array([j for _, j in cells], pa.int64())), pa.array([scores[c] for c in cells], pa.float64())],
@@ -162,13 +218,13 @@ def first_ranks(queries: DataFrame, corpus: DataFrame, relevant: DataFrame, conf
         goal = spark.sparkContext.broadcast(best)
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids = sent.value[0]
+            ids = sent.value.ids
             goals = [goal.value.get(q, (np.inf, None)) for q in ids]
             least, n, step = np.array([s for s, _ in goals])[:, None], np.zeros(len(ids), np.int64), max(1, CELLS // len(ids))
             for batch in batches:
                 for at in range(0, batch.num_rows, step):
                     part = batch.slice(at, step)
-                    docs, scores = part.column(0).to_pylist(), _scores(part.column(1).to_pylist(), sent.value, config)
+                    docs, scores = part.column(0).to_pylist(), _scores(part, sent.value, config)
                     n += (scores > least).sum(axis=1)
                     for i, j in zip(*np.nonzero(scores == least)):
                         n[i] += docs[j] < goals[i][1]
@@ -177,7 +233,7 @@ def first_ranks(queries: DataFrame, corpus: DataFrame, relevant: DataFrame, conf
 
         return texts.mapInArrow(count, ddl)
 
-    for rows in blocks(weighted_terms(queries, corpus).toLocalIterator(), block):
+    for rows in blocks(index.weighted(queries).toLocalIterator(), block):
         out = one(rows) if out is None else out.unionByName(one(rows))
     out = out if out is not None else spark.createDataFrame([], ddl)
     return out.groupBy("query_id").agg((F.sum("n") + 1).alias("first_rank"))

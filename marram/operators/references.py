@@ -13,8 +13,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Width of a time slice. A key's slices are bounded by the span of the data, not by its rows.
-SLICE_MINUTES = 10
+#: Width of a time slice. A key's slices are bounded by the span of the data, not by its rows; a narrow slice keeps
+#: what a bulk load gives one key apart.
+SLICE_MINUTES = 1
+#: References without a time are before all others and need no order: they are spread over this many slices of their own.
+UNTIMED_SLICES = 64
 
 _FOREVER = "9999-12-31 23:59:59"
 
@@ -86,7 +89,7 @@ def orphan_references(references: DataFrame, parents: DataFrame, separator: str
     created = F.col("created_at").cast("timestamp_ntz")
     refs = references.where(F.col("ref").isNotNull()).select(
         F.col("ref").alias("key"),
-        time_slice(created).alias("slice"),
+        F.coalesce(time_slice(created), F.pmod(F.xxhash64("id"), F.lit(UNTIMED_SLICES)) - F.lit(10**12)).alias("slice"),
         F.lit(2).alias("kind"),
         created.alias("t"),
         F.lit(None).cast("timestamp_ntz").alias("until_whole"),
@@ -127,7 +130,8 @@ def orphan_references(references: DataFrame, parents: DataFrame, separator: str
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     at_ref = (
-        stream.unionByName(carry)
+        # a parent without a time was never there at any moment; the carry knows that it exists
+        events.where("t is not null").unionByName(refs).unionByName(carry)
         .select("key", "kind", "t", "ref", *(F.max(c).over(merge).alias(c) for c in state))
         .where(F.col("kind") == 2)
     )

@@ -5,19 +5,24 @@ Tables in Parquet, ORC, CSV or over JDBC are read with Spark's own readers.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marram.functions import text as T
 from marram.sources import schemas
 
 
+def relative_path(file_path: Column, root: str) -> Column:
+    """A file's path below ``root``, with forward slashes."""
+    full = F.url_decode(F.regexp_replace(F.regexp_replace(file_path, r"\+", "%2B"), r"^file:/+", "/"))
+    base = root.rstrip("/").removeprefix("file:").replace("//", "/") + "/"
+    return F.when(full.contains(base), F.substring_index(full, base, -1)).otherwise(full)
+
+
 def scan_texts(spark: SparkSession, root: str, pattern: str) -> DataFrame:
     """``path`` (relative to ``root``, with forward slashes) and ``content`` of whole files below a folder."""
     df = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
-    full = F.url_decode(F.regexp_replace(F.regexp_replace("_metadata.file_path", r"\+", "%2B"), r"^file:/+", "/"))
-    base = root.rstrip("/").removeprefix("file:").replace("//", "/") + "/"
-    return df.select(F.when(full.contains(base), F.substring_index(full, base, -1)).otherwise(full).alias("path"), F.col("value").alias("content"))
+    return df.select(relative_path(F.col("_metadata.file_path"), root).alias("path"), F.col("value").alias("content"))
 
 
 def scan_documents(spark: SparkSession, root: str, version: str | None = None) -> DataFrame:
@@ -61,17 +66,25 @@ def write_embeddings(vectors: DataFrame, path: str) -> None:
     vectors.write.mode("overwrite").partitionBy("model", "source").parquet(path)
 
 
-def read_retrieval_data(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Chunks with their vectors, boilerplate left out; ids must match one to one.
+def read_retrieval_data(chunks: DataFrame, vectors: DataFrame, noise: tuple[str, ...] = ()) -> DataFrame:
+    """Chunks with their vectors, boilerplate texts left out; ids must match one to one.
 
-    An id that only one side has, or that is counted differently, is an error.
+    An id that only one side has, or that is counted differently, is an error, raised
+    when the result is read. Where both tables have an ``ordinal``, the vector at a
+    position must belong to the chunk at that position.
     """
     a = chunks.groupBy("id").agg(F.count(F.lit(1)).alias("a"))
     b = vectors.groupBy(F.col("chunk_id").alias("id")).agg(F.count(F.lit(1)).alias("b"))
     wrong = a.join(b, "id", "full_outer").where(~F.col("a").eqNullSafe(F.col("b")))
-    if not wrong.isEmpty():
-        raise ValueError("embeddings do not match the chunks")
-    return chunks.where(~T.is_noise(F.col("content"))).join(vectors.withColumnRenamed("chunk_id", "id").drop("source"), "id")
+    keys = ["id"]
+    v = vectors.withColumnRenamed("chunk_id", "id").drop("source")
+    if "ordinal" in chunks.columns and "ordinal" in vectors.columns:
+        keys = ["ordinal", "id"]
+        pairs = chunks.select("ordinal", F.col("id").alias("x")).join(vectors.select("ordinal", F.col("chunk_id").alias("y")), "ordinal", "full_outer")
+        wrong = wrong.select("id").unionByName(pairs.where(~F.col("x").eqNullSafe(F.col("y"))).select(F.coalesce("x", "y").alias("id")))
+    # one row; its error ends the job that reads the result
+    check = wrong.agg(F.when(F.count(F.lit(1)) > 0, F.raise_error("embeddings do not match the chunks").cast("long")).otherwise(F.lit(0)).alias("n_wrong"))
+    return chunks.where(~T.is_noise(F.col("content"), noise)).join(v, keys).join(F.broadcast(check)).where("n_wrong = 0").drop("n_wrong")
 
 
 def write_result(result: DataFrame, path: str) -> None:

@@ -52,6 +52,18 @@ def test_headings_against_a_stack(spark):
         assert [w for w in want if w != ([], "")] == [g for g in got[name] if g != ([], "")], text
 
 
+def test_many_headings_take_linear_time(spark):
+    import time
+
+    from marram.operators.docs_chunker import sections as split
+
+    text = "".join(f"{'#' * (1 + i % 5)} t{i % 7}\nx\n" for i in range(10_000))
+    began = time.perf_counter()
+    got = split("d", text)
+    assert len(got) == 10_000 and len({g[0] for g in got}) == 10_000 and time.perf_counter() - began < 2
+    assert len(sections(spark, text)) == 10_000
+
+
 def test_methods_and_events(spark):
     got = chunks(spark, '# C\npre\n<h4 id="a"><code>a()</code></h4>\nx\n<h4 id="b"><code>b()</code></h4>\ny')
     assert [(r["id"], r["method"]) for r in got] == [("d::c", None), ("d::c::a", "a()"), ("d::c::b", "b()")]

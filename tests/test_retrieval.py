@@ -1,12 +1,16 @@
 import math
+import sys
 
-from marram.config import RetrievalConfig
 from marram.engine import Engine
 from marram.functions import text as T
 from marram.operators import dense, evaluate, fusion, generate, lexical
 from marram.plans import retrieval as R
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
+# models of these tests travel to the workers, which cannot import this file
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def ranking(spark, rows):
     return spark.createDataFrame(rows, "query_id string, doc string, rank long")
@@ -72,11 +76,6 @@ def test_prefix_recall(spark):
     assert {x["query_id"]: x["hit"] for x in evaluate.prefix_recall(e, r).collect()} == {"a": 1, "b": 0, "c": 1}
 
 
-def test_shortcut_holds_for_the_default_weights():
-    assert RetrievalConfig().lexical_only_can_lose()
-    assert not RetrievalConfig(dense_weight=1.0).lexical_only_can_lose()
-
-
 def test_validation_and_prompt(spark):
     rows = [("x" * 2000, None), ("x" * 2001, None), (" ", None), ("q", None), ("q", " "), (None, None)]
     got = generate.validate(spark.createDataFrame(rows, "question string, context string")).select("reject").collect()
@@ -100,6 +99,88 @@ def test_engine(spark):
     assert "Code of the user" in got["q2"]["prompt"]
 
 
+class Longest:
+    """A reranker, a generator and a rewriter in one, told apart by what they are given."""
+
+    def __init__(self, f):
+        self.f = f
+
+    def make(self):
+        return self.f
+
+
+class Letters:
+    reads = "text"
+
+    def make(self):
+        import numpy as np
+
+        def embed(texts):
+            v = np.array([[t.lower().count(c) for c in "aeiouw"] for t in texts], float)
+            return v / np.maximum(np.linalg.norm(v, axis=1), 1e-12)[:, None]
+
+        return embed
+
+
+def engine_rows(spark):
+    rows = [
+        (1, "a::x", "Open a window with openWindow. More text.", "docs", "a", "X", None, None, None),
+        (2, "b::y", "function openWindow() { return window; }", "code", "b", None, "openWindow", 1, 2),
+        (3, "c::z", "Nothing here.", "docs", "c", "Z", None, None, None),
+        (4, "d::z", "Nothing here, but much longer than all others.", "docs", "c", "Z", None, None, None),
+    ]
+    return spark.createDataFrame(rows, "doc long, id string, text string, source string, file string, section string, method string, start_line int, end_line int")
+
+
+def test_models_are_plugged_in(spark):
+    rerank = Longest(lambda qs, ts: [float(len(t)) + (1000 if q == "REWRITTEN" and "window" in t else 0) for q, t in zip(qs, ts)])
+    generate_ = Longest(lambda prompts: [f"answer to {p.split('Question:')[1].split()[0]}" for p in prompts])
+    rewrite = Longest(lambda qs, cs: [" REWRITTEN " for _ in qs])
+    e = Engine(engine_rows(spark), embedder=Letters(), reranker=rerank, generator=generate_, rewriter=rewrite)
+    asks = spark.createDataFrame([("q1", "plain question", None), ("q2", "with code", "openWindow();"), ("q3", " ", None)], "query_id string, question string, context string")
+    got = {r["query_id"]: r for r in e.ask(asks).collect()}
+    # only a question with code is rewritten, and only for retrieval
+    assert [s["id"] for s in got["q1"]["sources"]] == ["d::z", "a::x", "b::y"]
+    assert [s["id"] for s in got["q2"]["sources"]][0] == "a::x"
+    assert (got["q1"]["answer"], got["q2"]["answer"], got["q3"]["answer"]) == ("answer to plain", "answer to with", None)
+
+
+def test_stored_engine(spark, tmp_path):
+    q = spark.createDataFrame([("q", "open the window"), ("r", "nothing")], "query_id string, query string")
+    rows = engine_rows(spark)
+    want = sorted(Engine(rows).retrieve(q).collect())
+    assert sorted(Engine(rows, path=str(tmp_path / "e")).retrieve(q).collect()) == want
+    # the second one reads what the first one wrote, and no text
+    blank = rows.withColumn("text", F.lit("x"))
+    e = Engine(blank, path=str(tmp_path / "e"))
+    assert sorted(e.hybrid(q, "docs").collect()) == sorted(Engine(rows).hybrid(q, "docs").collect())
+    assert e.index().n == 4 and lexical.Index.load(spark, str(tmp_path / "e" / "index-all")).avgdl == e.index().avgdl
+
+
+def test_postings_of_a_long_text(spark):
+    text = " ".join(f"w{i}" for i in range(30_000)) + " w7 w7"
+    got = {r["term"]: (r["tf"], r["dl"]) for r in lexical.postings(spark.createDataFrame([(1, text), (2, None), (3, "")], "doc long, text string")).collect()}
+    assert len(got) == 30_000 and got["w7"] == (3, 30_002) and got["w8"] == (1, 30_002)
+
+
+def test_rubric_and_means(spark):
+    g = spark.createDataFrame([("m", 2, 1), ("m", 0, 2), ("m", None, 2), ("n", 2, 2)], "model string, a int, b int")
+    got = {r["model"]: (r["a"], r["b"], r["score"], r["out_of"], r["share"]) for r in evaluate.rubric(g, ("a", "b")).collect()}
+    assert got == {"m": (2, 3, 5, 8, 0.625), "n": (2, 2, 4, 4, 1.0)}
+    e = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "x")], "query_id string, expected string")
+    r = spark.createDataFrame([("a", "x", 2)], "query_id string, group string, rank long")
+    m = evaluate.source_metrics(evaluate.source_recall(e, r), spark.createDataFrame([("a",), ("b",), ("c",)], "query_id string")).first()
+    assert (m["n_questions"], m["n_skipped"], m["hit_at_1"], m["hit_at_3"], m["source_recall_at_5"], m["mrr"]) == (2, 1, 0.0, 0.5, 0.25, 0.25)
+
+
+def test_latency():
+    from marram.latency import measure
+
+    calls = []
+    got = measure(lambda: calls.append(1), 6, 2)
+    assert len(calls) == 6 and got["n"] == 4 and got["min"] <= got["median"] <= got["max"]
+
+
 def test_first_ranks_have_no_depth(spark):
     words = ["red", "fox", "blue", "sky", "tree"]
     rows = [(d, " ".join(words[(d * 7 + i * i) % 5] for i in range(1 + d % 9)) + f" w{d % 4}") for d in range(60)] + [(60, "the"), (61, None)]
@@ -151,6 +232,7 @@ def test_queries_run_the_whole_pipeline(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc long, id string, text string, source string, file string, section string, method string, start_line int, end_line int")
     q = spark.createDataFrame([("q", "how to open a window", None)], "query_id string, query string, category string")
     monkeypatch.setattr(R, "corpus", lambda *_: df)
+    monkeypatch.setattr(R, "_ENGINES", {})
     for name in ("asked", "_multi_questions"):
         monkeypatch.setattr(R, name, lambda *_: q)
     monkeypatch.setattr(R, "_expected", lambda *_: spark.createDataFrame([("q", "b"), ("q", "a")], "query_id string, expected string"))

@@ -13,6 +13,19 @@ def test_slug(spark):
         assert value(spark, T.slug, given) == want
 
 
+def test_white_space_of_any_script(spark):
+    text = "\u00a0\u3000one\u2003two\x1cthree\u2028four \x85"
+    assert value(spark, T.word_count, text) == len(text.split()) == 4
+    assert value(spark, T.trim_all, text) == text.strip()
+    for x in ("Hello, World!", "setShared()", " a_b c ", "Ünï", "", "--"):
+        assert value(spark, T.slug, x) == T.slug_text(x)
+
+
+def test_noise(spark):
+    assert value(spark, lambda c: T.is_noise(c, ("a b",)), "\u00a0\n a b\t") and not value(spark, lambda c: T.is_noise(c, ("a b",)), "a b c")
+    assert value(spark, lambda c: T.is_noise(c, ()), "a") is False and value(spark, lambda c: T.is_noise(c, ("a",)), None) is False
+
+
 def test_front_matter(spark):
     closed = "---\ntitle: A\nn: \"x\"\n---\n# H\n"
     assert value(spark, lambda c: T.front_matter_map(T.front_matter(c)), closed) == {"title": "A", "n": "x"}
