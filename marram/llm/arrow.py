@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from marram.operators.ranking import spread
+
 
 def stage(df: DataFrame, schema: str, make: Callable[[], Callable[[dict[str, list]], dict[str, Iterable]]]) -> DataFrame:
     """Run a column function over Arrow batches.
@@ -25,4 +27,4 @@ def stage(df: DataFrame, schema: str, make: Callable[[], Callable[[dict[str, lis
             got = f({n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)})
             yield pa.RecordBatch.from_arrays([pa.array(got[x.name], type=x.type) for x in arrow], schema=arrow)
 
-    return df.mapInArrow(run, out)
+    return spread(df).mapInArrow(run, out)

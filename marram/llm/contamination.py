@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from marram.llm.counts import _SLICES, add_up, pack_part, task_number
 from marram.llm.words import WORD
+from marram.operators.ranking import spread
 from marram.storage import write_through
 
 
@@ -117,7 +118,7 @@ def passages(documents: DataFrame, key: str, column: str, items: Items, p: LeakS
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.nulls(1, pa.binary()), pa.array([zlib.compress(df.tobytes(), 1)], pa.binary())], schema=schema)
 
     given = documents.select(F.col(key).cast("long"), F.col(column).cast("string"))
-    return write_through(given.mapInArrow(run, _PASSAGES), "passages")
+    return write_through(spread(given).mapInArrow(run, _PASSAGES), "passages")
 
 
 def _sum(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], np.ndarray]], size: int, dtype: type) -> np.ndarray:

@@ -28,15 +28,22 @@ _CLOSES = {"(": ")", "[": "]", "{": "}"}
 _MARK = re.compile(r"[()\[\]{}]")
 _HEAD = re.compile(r"\s*(?:(?:->|:)[^{};]*)?\{")
 _TAG = re.compile(r"\{?@\w+.*")
-# fixed values: phrases that mark a comment as holding no description
+# fixed values: marks that stand in place of a description
 _PLACEHOLDER = re.compile(
-    r"^\W*(?:(?:todo|fixme|xxx|hack|tbd|wip)\b.*|lorem ipsum.*|.*\bauto[- ]?generated\b.*|.*\breplace this (?:text|comment)\b.*|.*\bdescription (?:still )?to be written\b.*"
-    r"|(?:no|missing|short|long) (?:description|documentation)\b.*|inherit(?:ed|doc|s)?\b\W*|\{?inheritdoc\}?|lint[: -]\w+.*|phpcs[: ].*|eslint.*|noinspection.*|phpstan.*|@?codeCoverage\w+.*"
-    r"|does stuff|helper (?:method|function)|getter|setter|magic|constructor|destructor)\W*$",
+    r"^\W*(?:(?:todo|fixme|xxx|hack|tbd|wip)\b.*|lorem ipsum.*|.*\bauto[- ]?generated\b.*|inherit(?:ed|doc|s)?\b\W*|\{?inheritdoc\}?|lint[: -]\w+.*|phpcs[: ].*|eslint.*|noinspection.*|phpstan.*|@?codeCoverage\w+.*)\W*$",
     re.I | re.S,
 )
+# a text that stands in brackets as a whole is a slot to be filled
+_SLOT = re.compile(r"^\s*(?:\[[^\[\]]*\]|<[^<>]*>|\{[^{}]*\}|_{2,}.*_{2,})\W*$", re.S)
+# fixed values: a sentence that has a word of each kind speaks of the documentation to be written, not of the function
+_META = (
+    frozenset("description descriptions summary documentation docs doc docblock comment text beschreibung zusammenfassung dokumentation kommentar résumé commentaire descripción resumen documentación comentario descrição описание документация комментарий 描述 说明".split()),
+    frozenset("insert add write written fill filled replace complete completed provide provided supply put goes go needs need missing pending einfügen ergänzen ergänzt schreiben ausfüllen ersetzen fehlt folgt insérer ajouter écrire compléter remplir remplacer manque insertar añadir agregar escribir completar rellenar falta добавить написать заполнить заменить вставить".split()),
+    frozenset("here please still yet later this your hier bitte noch später diese dieser ici veuillez encore cette votre aquí favor todavía esta este su здесь пожалуйста ещё этот этого позже".split()),
+)
+META_WORDS = 16
 _LICENCE = re.compile(
-    r"\b(?:licen[cs]ed?|copyright|all rights (?:are )?(?:reserved|kept)|spdx|\(c\) \d{4}|this (?:file|source file|source code|software) is (?:part of|subject to|provided)"
+    r"\b(?:licen[cs]ed?|copyright|all rights|spdx|\(c\) \d{4}|this (?:file|source file|source code|software) is (?:part of|subject to|provided)"
     r"|warrant(?:y|ies)|redistribut\w+|merchantability|permission is hereby|without restriction)\b|©",
     re.I,
 )
@@ -172,10 +179,14 @@ def description(comments: tuple[str, ...], name: str) -> str:
             continue
         # placeholders, notices and the name in words go sentence by sentence; what stands next to them stays
         joined = " ".join(x.strip() for x in p if not _PLACEHOLDER.match(x))
+        if _SLOT.match(joined):
+            continue
         real = []
         for sentence in _SENTENCE.split(joined):
             words = [w.lower() for w in _WORD.findall(sentence)]
-            if _PLACEHOLDER.match(sentence) or _LICENCE.search(sentence):
+            if _PLACEHOLDER.match(sentence) or _SLOT.match(sentence) or _LICENCE.search(sentence):
+                continue
+            if len(words) <= META_WORDS and all(not kind.isdisjoint(words) for kind in _META):
                 continue
             if all(w in own or w in _FILLERS or w.rstrip("s") in own for w in words):
                 continue

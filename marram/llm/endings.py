@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from marram.llm.counts import count_table
 from marram.llm.words import hash_text, mix
+from marram.operators.ranking import spread
 from marram.storage import write_through
 
 #: Bits of the filter before the counting: a full one lets more words through, the counts stay exact.
@@ -254,7 +255,7 @@ def follow_counts(texts: DataFrame, column: str, keys: DataFrame) -> DataFrame:
             n = np.bincount(where, minlength=len(got))
             yield pa.RecordBatch.from_arrays([pa.array(got.view(np.int64)), pa.array(ends), pa.array(n - ends)], schema=schema)
 
-    counted = texts.where(F.col(column).isNotNull()).select(F.col(column).cast("string")).mapInArrow(run, "key long, ends long, goes long")
+    counted = spread(texts.where(F.col(column).isNotNull()).select(F.col(column).cast("string"))).mapInArrow(run, "key long, ends long, goes long")
     return counted.groupBy("key").agg(F.sum("ends").alias("ends"), F.sum("goes").alias("goes")).join(keys, "key", "left_semi")
 
 

@@ -61,6 +61,11 @@ def p5_found(spark: SparkSession, root: str) -> DataFrame:
     return neardup.similar_pairs(table(spark, root, "chunks"), "chunk_no", "content", CHUNK_PAIRS).select("chunk_no_a", "chunk_no_b")
 
 
+def p5_links(spark: SparkSession, root: str) -> DataFrame:
+    """The same search in the form of classes: one row a chunk, copies not expanded."""
+    return neardup.classes(table(spark, root, "chunks"), "chunk_no", "content", CHUNK_PAIRS)
+
+
 def p5_classes(spark: SparkSession, root: str) -> DataFrame:
     """Classes of chunks at the general setting: runs of five words, similarity 0.8."""
     return neardup.classes(table(spark, root, "chunks"), "chunk_no", "content")
@@ -117,6 +122,11 @@ def p8_found(spark: SparkSession, root: str) -> DataFrame:
     return truncation.truncated(table(spark, root, "documents")).select("doc_id").distinct()
 
 
+def p8_evidence(spark: SparkSession, root: str) -> DataFrame:
+    """Every case with what broke off, and whether its length is a spike of its source."""
+    return truncation.truncated(table(spark, root, "documents"))
+
+
 def p8_by_source(spark: SparkSession, root: str) -> DataFrame:
     documents = table(spark, root, "documents")
     return truncation.truncation_by_source(documents, truncation.truncated(documents))
@@ -131,6 +141,7 @@ QUERIES = {
     "p4_found": p4_found,
     "p4_by_model": p4_by_model,
     "p5_found": p5_found,
+    "p5_links": p5_links,
     "p5_classes": p5_classes,
     "p6_containers": p6_containers,
     "p6_placement": p6_placement,
@@ -139,6 +150,7 @@ QUERIES = {
     "p7_found": p7_found,
     "p7_kinds": p7_kinds,
     "p8_found": p8_found,
+    "p8_evidence": p8_evidence,
     "p8_by_source": p8_by_source,
 }
 
@@ -163,6 +175,18 @@ s AS (SELECT DISTINCT chunk_no, unnest(list_transform(range(1, len(ws) - 1), lam
 n AS (SELECT chunk_no, count(*) AS n FROM s GROUP BY chunk_no),
 c AS (SELECT a.chunk_no AS x, b.chunk_no AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.chunk_no < b.chunk_no GROUP BY ALL)
 SELECT x AS chunk_no_a, y AS chunk_no_b FROM c JOIN n p ON p.chunk_no = x JOIN n q ON q.chunk_no = y WHERE 5 * k >= 3 * (p.n + q.n - k)""",
+    "p5_links": f"""
+WITH w AS (SELECT chunk_no, {_WS.format('content')} AS ws FROM chunks WHERE content IS NOT NULL),
+s AS (SELECT DISTINCT chunk_no, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) AS g FROM w WHERE len(ws) >= 20),
+f AS (SELECT chunk_no, md5(string_agg(g, '|' ORDER BY g)) AS f FROM s GROUP BY chunk_no),
+k AS (SELECT chunk_no, min(chunk_no) OVER (PARTITION BY f) AS class_id, count(*) OVER (PARTITION BY f) AS class_size FROM f),
+h AS (SELECT s.* FROM s JOIN k USING (chunk_no) WHERE chunk_no = class_id),
+n AS (SELECT chunk_no, count(*) AS n FROM h GROUP BY chunk_no),
+c AS (SELECT a.chunk_no AS x, b.chunk_no AS y, count(*) AS k FROM h a JOIN h b ON a.g = b.g AND a.chunk_no < b.chunk_no GROUP BY ALL),
+p AS (SELECT x, y FROM c JOIN n p ON p.chunk_no = x JOIN n q ON q.chunk_no = y WHERE 5 * k >= 3 * (p.n + q.n - k)),
+l AS (SELECT x, count(*) AS n_links FROM (SELECT x FROM p UNION ALL SELECT y FROM p) GROUP BY x)
+SELECT t.chunk_no, coalesce(k.class_id, t.chunk_no) AS class_id, CAST(coalesce(k.class_size, 1) AS BIGINT) AS class_size, CAST(coalesce(l.n_links, 0) AS BIGINT) AS n_links
+FROM chunks t LEFT JOIN k USING (chunk_no) LEFT JOIN l ON l.x = k.class_id""",
     "p6_rules": """
 WITH c AS (SELECT DISTINCT max_tokens - reserved_tokens AS capacity FROM token_limits WHERE max_tokens > reserved_tokens),
 l AS (SELECT doc_id, coalesce(length(text), 0) AS n FROM documents)

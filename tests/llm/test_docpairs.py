@@ -25,6 +25,16 @@ def test_no_description():
         assert described(c + "\n" + BODY) == [], c
 
 
+def test_slots_and_remarks_on_the_documentation():
+    for c in (
+        "[insert a summary of what this method does]", "<write here what the function is good for>", "Method description goes here, please fill in before the release.", "Please add a description of the arguments here.", "This summary still needs to be written by somebody.",
+        "Hier bitte noch eine Beschreibung der Methode einfügen.", "Ajouter ici une description de cette méthode, s'il vous plaît.", "Aquí falta añadir la descripción de este método.", "Здесь нужно добавить описание этого метода позже.",
+    ):
+        assert described(f"/** {c} */\n" + BODY) == [], c
+    for c in ("Adds a description to the page and writes it to the log.", "Returns the summary of the window that is open now.", "Fills the text of the comment with what the caller gave."):
+        assert described(f"/** {c} */\n" + BODY) == [("openWindow", c)], c
+
+
 def test_description_next_to_other_things():
     licence = "/* This file is part of the X package. All rights are kept by the project authors. */\n"
     assert described(licence + f"/** {PROSE} */\n" + BODY) == [("openWindow", PROSE)]
