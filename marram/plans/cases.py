@@ -69,6 +69,38 @@ CHUNKS = [
     ("skipped::only::kept", "## Kept\ntext", "Kept", None, None),
 ]
 
+
+
+def _tree(lines: int) -> str:
+    return "<ApiTree>" + "\n".join(["x"] * lines) + "</ApiTree>"
+
+
+#: Pages as they are stored, and what cleaning leaves of them.
+RAW = {
+    "tree-1": f"a{_tree(1)}b",
+    "tree-20": f"a{_tree(20)}b",
+    "tree-21": f"a{_tree(21)}b",
+    "tree-400": f"a\n{_tree(400)}\nb{_tree(2)}",
+    "uses": "a\n<ApiUses>\nx\n</ApiUses>\n\n\nb<ApiUsedBy>y</ApiUsedBy>c",
+    "links": "a\n[x]: http://y z\n[y]: u\nb [z]: v",
+    "lines": "a\n\n\n\nb\n\nc",
+    "front": "---\ntitle: T\n---\n\n# H\n",
+    "open": "---\ntitle: T\n# H\n",
+    "inside": "---\ntitle: a---b\n---\nc",
+}
+CLEANED = [
+    ("tree-1", f"a{_tree(1)}b"),
+    ("tree-20", f"a{_tree(20)}b"),
+    ("tree-21", "ab"),
+    ("tree-400", f"a\n\nb{_tree(2)}"),
+    ("uses", "a\n\nbc"),
+    ("links", "a\n\nb [z]: v"),
+    ("lines", "a\n\nb\n\nc"),
+    ("front", "# H\n"),
+    ("open", "---\ntitle: T\n# H\n"),
+    ("inside", "b\n---\nc"),
+]
+
 SOURCES = {
     "masks.zep": 'class A\n{\n    /* function hidden() { } */\n    // function gone() { }\n    public function one(string a = "}") -> string\n    {\n        return "{ // no comment";\n    }\n    private static function two()\n    {\n        if x { y(); } /* } */\n    }\n}\n',
     "abstract.zep": "abstract public function first();\npublic function second()\n{\n    return 1;\n}\n",

@@ -87,6 +87,14 @@ def clean_text(spark, root):
     return d.select("doc_id", F.md5(c).alias("cleaned_md5"), F.length(c).cast("long").alias("n_chars"))
 
 
+def clean_cases(spark, root):
+    """One small page for each rule of cleaning; the pages are the query's own table."""
+    from marram.plans.cases import RAW
+
+    d = spark.createDataFrame(list(RAW.items()), "id string, text string")
+    return d.select("id", T.clean(T.body(F.col("text"))).alias("cleaned"))
+
+
 def front_matter(spark, root):
     d = table(spark, root, "documents").where("text is not null").select("doc_id", F.regexp_replace("text", r"\r\n?", "\n").alias("text"))
     m = T.front_matter_map(T.front_matter(F.col("text")))
@@ -481,7 +489,7 @@ def generation_records(spark, root):
 QUERIES = {
     f.__name__: f
     for f in (
-        word_count, slugify, clean_text, front_matter, skip_filter, noise_filter, link_text, dup_id_suffix, greedy_pack_parts, prev_next_links,
+        word_count, slugify, clean_text, clean_cases, front_matter, skip_filter, noise_filter, link_text, dup_id_suffix, greedy_pack_parts, prev_next_links,
         method_chunks, method_cover, parsed_methods, chunker_cases, code_cases, chunk_lines, stored_vectors, stored_result, reranked_metrics, source_metrics, pipeline_metrics, document_chunks, heading_sections, tokenize_stats, postings_df, bm25_top10, dense_top10, embedding_texts, query_texts, hashed_embeddings, hybrid_topk,
         rrf_weighted, multi_source_union, source_quota_select, reranked, first_relevant_rank, recall_mrr_bm25, recall_by_category, recall_mrr_dense,
         pairwise_compare, expected_source_recall, prefix_match_recall, token_length_stats, oversized_top30, prompt_context, answers, ask_validation,

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from marram.operators.generate import HEAD, LABELS
-from marram.plans.cases import CHUNKS, METHODS, values
+from marram.plans.cases import CHUNKS, CLEANED, METHODS, values
 from marram.plans.retrieval import _ASKED, _CORPUS, _JUDGED, NOISE, C, _terms
 
 _LF = r"regexp_replace(text, '\r\n?', chr(10), 'g')"
@@ -266,3 +266,7 @@ SELECT result_id, model, question_id, CAST(length(answer) AS BIGINT) AS answer_c
   CAST(NULL AS BIGINT) AS correctness, CAST(NULL AS BIGINT) AS completeness, CAST(NULL AS BIGINT) AS groundedness FROM rag_results""",
 }
 SQL["stored_result"] = SQL["recall_mrr_bm25"]
+SQL["clean_cases"] = values(CLEANED, "id VARCHAR, cleaned VARCHAR")
+SQL["rewritten"] = _with(_Q1, r"""
+r AS (SELECT result_id, question, answer, regexp_extract_all(answer, '([A-Za-z_][A-Za-z0-9_]*)[ \t\n\v\f\r]*\(', 1) AS ns FROM rag_results JOIN q USING (question_id) WHERE answer IS NOT NULL)""") + """
+SELECT result_id, CASE WHEN answer <> '' THEN trim(concat_ws(' ', question, array_to_string(list_filter(ns, lambda x, i: list_position(ns, x) = i), ' '))) ELSE question END AS query FROM r"""
