@@ -159,6 +159,23 @@ _WS = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}_]+')"
 _PLAIN = r"lower(trim(regexp_replace({}, '^\s+|\s+$', '', 'g')))"
 _LABEL = f"CASE WHEN coalesce({_PLAIN}, '') IN ('', 'und', 'none', 'null') THEN 'unknown' ELSE {_PLAIN} END"
 
+def _links(words: int, least: int, num: int, den: int) -> str:
+    """One row a chunk: class of equal sets of word runs, and links to other classes of similarity num / den."""
+    run = " || ' ' || ".join(f"ws[i + {k}]" for k in range(words))
+    return f"""
+WITH w AS (SELECT chunk_no, {_WS.format('content')} AS ws FROM chunks WHERE content IS NOT NULL),
+s AS (SELECT DISTINCT chunk_no, unnest(list_transform(range(1, len(ws) - {words - 2}), lambda i: {run})) AS g FROM w WHERE len(ws) >= {least}),
+f AS (SELECT chunk_no, md5(string_agg(g, '|' ORDER BY g)) AS f FROM s GROUP BY chunk_no),
+k AS (SELECT chunk_no, min(chunk_no) OVER (PARTITION BY f) AS class_id, count(*) OVER (PARTITION BY f) AS class_size FROM f),
+h AS (SELECT s.* FROM s JOIN k USING (chunk_no) WHERE chunk_no = class_id),
+n AS (SELECT chunk_no, count(*) AS n FROM h GROUP BY chunk_no),
+c AS (SELECT a.chunk_no AS x, b.chunk_no AS y, count(*) AS k FROM h a JOIN h b ON a.g = b.g AND a.chunk_no < b.chunk_no GROUP BY ALL),
+p AS (SELECT x, y FROM c JOIN n p ON p.chunk_no = x JOIN n q ON q.chunk_no = y WHERE {den} * k >= {num} * (p.n + q.n - k)),
+l AS (SELECT x, count(*) AS n_links FROM (SELECT x FROM p UNION ALL SELECT y FROM p) GROUP BY x)
+SELECT t.chunk_no, coalesce(k.class_id, t.chunk_no) AS class_id, CAST(coalesce(k.class_size, 1) AS BIGINT) AS class_size, CAST(coalesce(l.n_links, 0) AS BIGINT) AS n_links
+FROM chunks t LEFT JOIN k USING (chunk_no) LEFT JOIN l ON l.x = k.class_id"""
+
+
 SQL: dict[str, str] = {
     "p3_words": f"""
 WITH d AS (SELECT top_dir, min(domain) AS domain FROM path_domains GROUP BY top_dir),
@@ -175,18 +192,8 @@ s AS (SELECT DISTINCT chunk_no, unnest(list_transform(range(1, len(ws) - 1), lam
 n AS (SELECT chunk_no, count(*) AS n FROM s GROUP BY chunk_no),
 c AS (SELECT a.chunk_no AS x, b.chunk_no AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.chunk_no < b.chunk_no GROUP BY ALL)
 SELECT x AS chunk_no_a, y AS chunk_no_b FROM c JOIN n p ON p.chunk_no = x JOIN n q ON q.chunk_no = y WHERE 5 * k >= 3 * (p.n + q.n - k)""",
-    "p5_links": f"""
-WITH w AS (SELECT chunk_no, {_WS.format('content')} AS ws FROM chunks WHERE content IS NOT NULL),
-s AS (SELECT DISTINCT chunk_no, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) AS g FROM w WHERE len(ws) >= 20),
-f AS (SELECT chunk_no, md5(string_agg(g, '|' ORDER BY g)) AS f FROM s GROUP BY chunk_no),
-k AS (SELECT chunk_no, min(chunk_no) OVER (PARTITION BY f) AS class_id, count(*) OVER (PARTITION BY f) AS class_size FROM f),
-h AS (SELECT s.* FROM s JOIN k USING (chunk_no) WHERE chunk_no = class_id),
-n AS (SELECT chunk_no, count(*) AS n FROM h GROUP BY chunk_no),
-c AS (SELECT a.chunk_no AS x, b.chunk_no AS y, count(*) AS k FROM h a JOIN h b ON a.g = b.g AND a.chunk_no < b.chunk_no GROUP BY ALL),
-p AS (SELECT x, y FROM c JOIN n p ON p.chunk_no = x JOIN n q ON q.chunk_no = y WHERE 5 * k >= 3 * (p.n + q.n - k)),
-l AS (SELECT x, count(*) AS n_links FROM (SELECT x FROM p UNION ALL SELECT y FROM p) GROUP BY x)
-SELECT t.chunk_no, coalesce(k.class_id, t.chunk_no) AS class_id, CAST(coalesce(k.class_size, 1) AS BIGINT) AS class_size, CAST(coalesce(l.n_links, 0) AS BIGINT) AS n_links
-FROM chunks t LEFT JOIN k USING (chunk_no) LEFT JOIN l ON l.x = k.class_id""",
+    "p5_links": _links(3, 20, 3, 5),
+    "p5_classes": _links(5, 5, 4, 5),
     "p6_rules": """
 WITH c AS (SELECT DISTINCT max_tokens - reserved_tokens AS capacity FROM token_limits WHERE max_tokens > reserved_tokens),
 l AS (SELECT doc_id, coalesce(length(text), 0) AS n FROM documents)
