@@ -5,10 +5,14 @@ Tables in Parquet, ORC, CSV or over JDBC are read with Spark's own readers.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marram.functions import text as T
+from marram.functions.front_matter import parse
 from marram.sources import schemas
 
 
@@ -26,14 +30,23 @@ def scan_texts(spark: SparkSession, root: str, pattern: str) -> DataFrame:
 
 
 def scan_documents(spark: SparkSession, root: str, version: str | None = None) -> DataFrame:
-    """Pages: ``doc, content, source, file_path, version, attrs``; keys of the front matter win over the last three."""
+    """Pages: ``doc, content, source, file_path, version, attrs``; keys of the front matter win over the last three.
+
+    Nested values of the front matter are JSON text in ``attrs``.
+    """
     t = scan_texts(spark, root, "*.mdx").withColumn("content", F.regexp_replace("content", r"\r\n?", "\n"))
-    attrs = F.coalesce(T.front_matter_map(T.front_matter(F.col("content"))), F.create_map().cast("map<string,string>"))
-    t = t.withColumn("attrs", attrs)
+    given = t.select("path", T.body(F.col("content")).alias("content"), T.front_matter(F.col("content")).alias("block"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            attrs = pa.array([list(parse(x).items()) for x in b.column(2).to_pylist()], pa.map_(pa.string(), pa.string()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), attrs], names=["path", "content", "attrs"])
+
+    t = given.mapInArrow(run, "path string, content string, attrs map<string,string>")
     own = lambda k, default: F.coalesce(F.try_element_at("attrs", F.lit(k)), default)
     return t.select(
         F.col("path").alias("doc"),
-        T.clean(T.body(F.col("content"))).alias("content"),
+        T.clean(F.col("content")).alias("content"),
         F.lit("docs").alias("source"),
         own("file_path", F.col("path")).alias("file_path"),
         own("version", F.lit(version)).alias("version"),

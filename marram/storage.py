@@ -9,13 +9,16 @@ gets a folder once per application, and any other master an error.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+_SCOPES: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -53,11 +56,32 @@ def write_through(df: DataFrame, name: str, compression: str = "snappy") -> Data
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.mode("error").option("compression", compression).parquet(path)
     atexit.register(_drop, spark, path)
+    for held in _SCOPES:
+        held.append(path)
     del df
     release(spark)
     return spark.read.schema(schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside are removed at the end: for sessions that run many queries.
+
+    What was made inside must have been read by then; an engine that is to keep its
+    indexes is made and first used outside.
+    """
+    held: list[str] = []
+    _SCOPES.append(held)
+    try:
+        yield
+    finally:
+        # by identity: an outer scope may hold equal paths
+        _SCOPES[:] = [x for x in _SCOPES if x is not held]
+        for path in held:
+            _drop(spark, path)
+        release(spark)
+
+
 def discard(df: DataFrame) -> None:
     """Removes the table that :func:`write_through` made for ``df``; no plan may read it any more."""
     for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
@@ -68,6 +92,8 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A path in the shared folder for files of another form; removed when the process ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     atexit.register(_drop, spark, path)
+    for held in _SCOPES:
+        held.append(path)
     return path
 
 

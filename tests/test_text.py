@@ -1,6 +1,8 @@
+import pytest
 from pyspark.sql import functions as F
 
 from marram.functions import text as T
+from marram.functions.front_matter import parse
 from marram.functions.packer import greedy
 
 
@@ -35,6 +37,13 @@ def test_front_matter(spark):
         assert value(spark, T.front_matter, plain) is None
 
 
+def test_nested_front_matter():
+    pytest.importorskip("yaml")
+    block = "\ntitle: 'A: b'\nversion: 5.20\ntags:\n  - x\n  - y\nside:\n  order: 1\nempty:\n"
+    assert parse(block) == {"title": "A: b", "version": "5.20", "tags": '["x", "y"]', "side": '{"order": "1"}', "empty": ""}
+    assert parse(None) == {} and parse("\n- a\n") == {} and parse("\na: [\nb: c\n") == {"a": "[", "b": "c"}
+
+
 def test_long_trees_are_removed(spark):
     tree = lambda n: "<ApiTree>" + "\n".join("x" * 3 for _ in range(n)) + "</ApiTree>"
     assert value(spark, T.clean, tree(20)) == tree(20)
