@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marram.functions.text import terms
-from marram.operators.ranking import BLOCK, CELLS, better, blocks, flat, pa_type, spread, top_k
+from marram.operators.ranking import BLOCK, CELLS, Best, blocks, flat, pa_type, spread, top_k
 
 # fixed values: how queries are put to models of these families
 QUERY_FORMATS = {"raw": "{q}", "prefix": "Represent this sentence for searching relevant passages: {q}", "instruct": "Instruct: {i}\nQuery: {q}"}
@@ -91,7 +91,7 @@ def search(queries: DataFrame, vectors: DataFrame, k: int, block: int = BLOCK) -
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, q = sent.value
-            best, types = None, None
+            best, types = Best(len(ids), k), None
             for b in batches:
                 types = b.schema.field(0).type
                 # few vectors at a time: the matrix of scores stays small
@@ -100,11 +100,10 @@ def search(queries: DataFrame, vectors: DataFrame, k: int, block: int = BLOCK) -
                     part = b.slice(at, step)
                     docs = part.column(0).to_pylist()
                     m = flat(part.column(1))[0].reshape(len(docs), -1)
-                    best = better(best, np.round(q @ m.T, 9), docs, k)
-            if best is not None and len(best):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([ids[x] for x in best["i"]]), pa.array(best["doc"].tolist(), types), pa.array(best["score"].to_numpy())], names=["query_id", "doc", "score"]
-                )
+                    best.add(np.round(q @ m.T, 9), docs)
+            i, docs, scores = best.rows()
+            if docs:
+                yield pa.RecordBatch.from_arrays([pa.array([ids[x] for x in i]), pa.array(docs, types), pa.array(scores)], names=["query_id", "doc", "score"])
 
         return given.mapInArrow(run, ddl)
 

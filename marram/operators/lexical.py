@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from marram.config import RetrievalConfig
 from marram.functions.text import terms
-from marram.operators.ranking import BLOCK, CELLS, better, blocks, flat, pa_type, spread, top_k
+from marram.operators.ranking import BLOCK, CELLS, Best, blocks, flat, pa_type, spread, top_k
 from marram.storage import write_through
 
 
@@ -144,7 +144,7 @@ def search(queries: DataFrame, corpus: DataFrame | Index, k: int, config: Retrie
     Queries are weighted by a join of terms, then read block by block; each block is
     broadcast, and tasks score their texts against it and keep each query's ``k`` best.
     Matches of queries and texts, which grow with both, so never move: only ``k`` rows
-    a query and task do, and these are merged in two levels.
+    a query and task do.
     """
     index = as_index(corpus)
     spark = index.forward.sparkSession
@@ -159,16 +159,15 @@ def search(queries: DataFrame, corpus: DataFrame | Index, k: int, config: Retrie
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             asks = sent.value
             ids = asks.ids
-            best, types, step = None, None, max(k, CELLS // len(ids))
+            best, types, step = Best(len(ids), k, positive=True), None, max(k, CELLS // len(ids))
             for batch in batches:
                 types = batch.schema.field(0).type
                 for at in range(0, batch.num_rows, step):
                     part = batch.slice(at, step)
-                    best = better(best, _scores(part, asks, config), part.column(0).to_pylist(), k, positive=True)
-            if best is not None and len(best):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([ids[x] for x in best["i"]]), pa.array(best["doc"].tolist(), types), pa.array(best["score"].to_numpy())], names=["query_id", "doc", "score"]
-                )
+                    best.add(_scores(part, asks, config), part.column(0).to_pylist())
+            i, docs, scores = best.rows()
+            if docs:
+                yield pa.RecordBatch.from_arrays([pa.array([ids[x] for x in i]), pa.array(docs, types), pa.array(scores)], names=["query_id", "doc", "score"])
 
         return texts.mapInArrow(run, ddl)
 

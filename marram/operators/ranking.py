@@ -23,19 +23,41 @@ def top_k(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
 
 
-def better(best, scores: np.ndarray, docs: list, k: int, positive: bool = False):
-    """The ``k`` best docs of each query so far and of a matrix ``scores[query, doc]``: a pandas frame ``i, score, doc``."""
-    import pandas as pd
-
-    if len(docs) > k:  # with all of a tie at the end
-        keep = scores >= -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
-    else:
-        keep = np.ones_like(scores, bool)
-    i, j = np.nonzero(keep & (scores > 0) if positive else keep)
-    found = pd.DataFrame({"i": i, "score": scores[i, j], "doc": [docs[x] for x in j]})
-    both = found if best is None else pd.concat([best, found])
-    both = both.sort_values(["i", "score", "doc"], ascending=[True, False, True])
-    return both[both.groupby("i").cumcount() < k]
+class Best:
+    """The ``k`` best docs of each of ``n`` queries over many matrices of scores, ties to the smaller doc."""
+
+    def __init__(self, n: int, k: int, positive: bool = False) -> None:
+        self.n, self.k = n, k
+        # the score to beat; what only equals it may still win by name
+        self.least = np.full(n, np.nextafter(0.0, 1.0) if positive else -np.inf)
+        self.query, self.scores, self.docs = np.empty(0, np.int64), np.empty(0), None
+
+    def add(self, scores: np.ndarray, docs: list) -> None:
+        """Takes up ``scores[query, doc]``; with ``positive``, scores of zero are no hits."""
+        if not len(docs):
+            return
+        names = np.asarray(docs)
+        i, j = np.nonzero(scores >= self.least[:, None])
+        if len(i) > 4 * self.n * self.k and len(names) > self.k:
+            # hardly anything is known yet: the best of this matrix, with all that tie at the end
+            end = -np.partition(-scores, self.k - 1, axis=1)[:, self.k - 1]
+            i, j = np.nonzero(scores >= np.maximum(end, self.least)[:, None])
+        if not len(i):
+            return
+        query, found, doc = np.concatenate([self.query, i]), np.concatenate([self.scores, scores[i, j]]), names[j] if self.docs is None else np.concatenate([self.docs, names[j]])
+        order = np.lexsort((doc, -found, query))
+        query = query[order]
+        counts = np.bincount(query, minlength=self.n)
+        starts = np.cumsum(counts) - counts
+        keep = np.arange(len(query)) - starts[query] < self.k
+        self.query, self.scores, self.docs = query[keep], found[order][keep], doc[order][keep]
+        full = np.flatnonzero(counts >= self.k)
+        ends = np.cumsum(np.minimum(counts, self.k)) - 1
+        self.least[full] = np.maximum(self.least[full], self.scores[ends[full]])
+
+    def rows(self) -> tuple[np.ndarray, list, np.ndarray]:
+        """Query numbers, docs and scores of what was found."""
+        return self.query, [] if self.docs is None else self.docs.tolist(), self.scores
 
 
 def blocks(rows, size: int):

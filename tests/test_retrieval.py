@@ -51,6 +51,31 @@ def test_bm25_by_hand(spark):
     assert abs(got[2] - idf(2) * tf(1, 2)) < 1e-8 and set(got) == {1, 2}
 
 
+def test_best_against_sorting():
+    import random
+
+    import numpy as np
+
+    from marram.operators.ranking import Best
+
+    rng = random.Random(4)
+    for names in (range(300), [f"d{i}" for i in range(300)]):
+        for k in (1, 3, 40, 400):
+            for positive in (True, False):
+                scores = np.array([[rng.choice([0.0, 1.0, 2.0, -1.0]) for _ in names] for _ in range(6)])
+                order = rng.sample(range(300), 300)
+                best = Best(6, k, positive)
+                for at in range(0, 300, 70):
+                    part = order[at : at + 70]
+                    best.add(scores[:, part], [names[j] for j in part])
+                got = {}
+                for i, d, s in zip(*best.rows()):
+                    got.setdefault(int(i), []).append((-s, d))
+                for q in range(6):
+                    want = sorted((-scores[q, j], names[j]) for j in range(300) if not positive or scores[q, j] > 0)[:k]
+                    assert sorted(got.get(q, [])) == want
+
+
 def test_dense_blocks_and_ties(spark):
     v = spark.createDataFrame([(i, [float(i % 3), 1.0]) for i in range(30)] + [(99, None)], "doc long, embedding array<double>")
     q = v.where("doc < 5").withColumnRenamed("doc", "query_id")
