@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from marram.config import RetrievalConfig
 from marram.functions.text import terms
-from marram.operators.ranking import BLOCK, CELLS, Best, blocks, flat, pa_type, spread, top_k
+from marram.operators import scan
+from marram.operators.ranking import flat, pa_type, spread, top_k
 from marram.storage import write_through
 
 
@@ -85,15 +86,11 @@ class Index:
         return cls._with_statistics(spark.read.parquet(f"{path}/forward"), spark.read.parquet(f"{path}/df"))
 
     def weighted(self, queries: DataFrame) -> DataFrame:
-        """``query_id, ts, ws``: hashes of each query's terms that the index has, with count times rarity."""
+        """``query_id, ts, ws, dfs``: hashes of each query's terms that the index has, with count times rarity and texts that hold them."""
         q = queries.select("query_id", F.explode(hashed_terms(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
         idf = F.log(1.0 + (F.lit(self.n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        w = q.join(self.df, "term").groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("term", (F.col("qtf") * idf).alias("w")))).alias("t"))
-        return w.select("query_id", F.col("t.term").alias("ts"), F.col("t.w").alias("ws"))
-
-    def texts(self) -> DataFrame:
-        """The forward table as scoring reads it, on as many tasks as there are cores at least."""
-        return spread(self.forward.where("dl > 0").select("doc", "terms", "tfs", "dl"))
+        w = q.join(self.df, "term").groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("term", (F.col("qtf") * idf).alias("w"), "df"))).alias("t"))
+        return w.select("query_id", F.col("t.term").alias("ts"), F.col("t.w").alias("ws"), F.col("t.df").alias("dfs"))
 
 
 def as_index(corpus: DataFrame | Index) -> Index:
@@ -101,138 +98,142 @@ def as_index(corpus: DataFrame | Index) -> Index:
 
 
 class _Asks:
-    """A block of weighted queries as it is broadcast: ids, sorted term hashes, and each term's queries and weights."""
-
-    def __init__(self, rows: list, avgdl: float) -> None:
-        self.ids, self.avgdl = [r["query_id"] for r in rows], avgdl
-        sizes = [len(r["ts"]) for r in rows]
-        t = np.array([x for r in rows for x in r["ts"]], np.int64)
-        order = np.argsort(t, kind="stable")
-        self.terms, starts = np.unique(t[order], return_index=True)
-        self.edges = np.concatenate([starts, [len(t)]])
-        self.query = np.repeat(np.arange(len(rows)), sizes)[order]
-        self.weight = np.array([x for r in rows for x in r["ws"]], np.float64)[order]
-
-
-def _scores(part: pa.RecordBatch, asks: _Asks, config: RetrievalConfig) -> np.ndarray:
-    """Scores ``[query, text]`` of a block of queries and some rows of the forward table."""
-    hashes, sizes = flat(part.column(1))
-    tfs, _ = flat(part.column(2))
-    dl = part.column(3).to_numpy(zero_copy_only=False).astype(np.float64)
-    at = np.minimum(np.searchsorted(asks.terms, hashes), len(asks.terms) - 1)
-    hit = np.flatnonzero(asks.terms[at] == hashes)
-    doc = np.repeat(np.arange(part.num_rows), sizes)[hit]
-    order = np.argsort(at[hit], kind="stable")
-    term, doc, tf = at[hit][order], doc[order], tfs[hit][order].astype(np.float64)
-    weight = tf / (tf + config.bm25_k1 * (1.0 - config.bm25_b + config.bm25_b * dl[doc] / asks.avgdl))
-    scores = np.zeros((len(asks.ids), part.num_rows))
-    edges = np.flatnonzero(np.diff(term, prepend=-1, append=-1))
-    for s, e in zip(edges[:-1], edges[1:]):
-        own = slice(asks.edges[term[s]], asks.edges[term[s] + 1])
-        # a text holds a term once, a query too: no cell is met twice
-        scores[asks.query[own][:, None], doc[s:e]] += asks.weight[own][:, None] * weight[s:e]
-    return np.round(scores, 9)
-
-
-def search(queries: DataFrame, corpus: DataFrame | Index, k: int, config: RetrievalConfig = RetrievalConfig(), block: int = BLOCK) -> DataFrame:
+    """The weighted queries of a task: their terms as numbers in ``terms``, the sorted hashes, and the plan of their sums."""
+
+    def __init__(self, batch: pa.RecordBatch, n: int) -> None:
+        hashes, self.sizes = flat(batch.column(1))
+        self.weights, df = flat(batch.column(2))[0], flat(batch.column(3))[0]
+        self.terms, first, self.at = np.unique(hashes, return_index=True, return_inverse=True)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        # a row for all texts is added faster than more than so many places
+        df = df[first]
+        whole = np.zeros(len(df), bool)
+        whole[np.argsort(-df, kind="stable")[: scan.ROWS]] = True
+        self.plan = scan.Plan(self.at, self.weights, self.sizes, whole & (df > n / 24))
+
+
+class _Tile:
+    """Some rows of the forward table, by term."""
+
+    def __init__(self, batch: pa.RecordBatch, asks: _Asks, avgdl: float, config: RetrievalConfig) -> None:
+        self.asks, self.names = asks, np.asarray(batch.column(0).to_pylist())
+        hashes, sizes = flat(batch.column(1))
+        at = np.minimum(np.searchsorted(asks.terms, hashes), len(asks.terms) - 1)
+        hit = np.flatnonzero(asks.terms[at] == hashes)
+        term = at[hit]
+        # sixteen bits are sorted by counting
+        order = np.argsort(term.astype(np.uint16) if len(asks.terms) <= 65536 else term, kind="stable")
+        term, self.docs = term[order], np.repeat(np.arange(batch.num_rows), sizes)[hit][order]
+        tf = flat(batch.column(2))[0][hit][order].astype(np.float64)
+        dl = batch.column(3).to_numpy(zero_copy_only=False).astype(np.float64)
+        self.impact = _impact(tf, dl[self.docs], avgdl, config)
+        self.largest = self.impact.max(initial=0.0)
+        self.edges = np.searchsorted(term, np.arange(len(asks.terms) + 1)).tolist()
+        self.keys = term * np.int64(batch.num_rows) + self.docs
+        self.values = (self.impact * asks.plan.unit[term]).astype(np.float32)
+        self._rows: dict[int, np.ndarray] = {}
+
+    def sparse(self, term: int) -> tuple[np.ndarray, np.ndarray]:
+        s = slice(self.edges[term], self.edges[term + 1])
+        return self.docs[s], self.values[s]
+
+    def rows(self, term: int) -> np.ndarray:
+        if term not in self._rows:
+            where, values = self.sparse(term)
+            self._rows[term] = row = np.zeros(len(self.names), np.float32)
+            row[where] = values
+        return self._rows[term]
+
+    def exact(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Scores of pairs of a query and a text; terms are added in the order of their hashes."""
+        out, a = np.zeros(len(i)), self.asks
+        for s in range(0, len(i) if len(self.keys) else 0, 200_000):
+            q, n = i[s : s + 200_000], a.sizes[i[s : s + 200_000]]
+            pair = np.repeat(np.arange(len(q)), n)
+            at = np.arange(len(pair)) + np.repeat(a.starts[q] - (np.cumsum(n) - n), n)
+            key = a.at[at] * np.int64(len(self.names)) + j[s : s + 200_000][pair]
+            place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            hit = self.keys[place] == key
+            out[s : s + len(q)] = np.bincount(pair[hit], weights=a.weights[at[hit]] * self.impact[place[hit]], minlength=len(q))
+        return np.round(out, 9)
+
+
+def _impact(tf, dl, avgdl: float, config: RetrievalConfig):
+    return tf / (tf + config.bm25_k1 * (1.0 - config.bm25_b + config.bm25_b * dl / avgdl))
+
+
+def _tiles(files: list[str], asks: _Asks, avgdl: float, config: RetrievalConfig) -> Iterator[_Tile]:
+    for b in scan.tiles(files, ["doc", "terms", "tfs", "dl"], scan.TILE):
+        yield _Tile(b, asks, avgdl, config)
+
+
+def search(queries: DataFrame, corpus: DataFrame | Index, k: int, config: RetrievalConfig = RetrievalConfig(), block: int = scan.GROUP) -> DataFrame:
     """Best ``k`` texts of each query: ``query_id, doc, score, rank``.
 
     ``queries``: ``query_id, query``; ``corpus``: an :class:`Index`, or ``doc, text``, of
     which one is built. A query term counts as often as it stands in the query. Texts
     that share no term are left out. Ties go to the smaller ``doc``.
 
-    Queries are weighted by a join of terms, then read block by block; each block is
-    broadcast, and tasks score their texts against it and keep each query's ``k`` best.
-    Matches of queries and texts, which grow with both, so never move: only ``k`` rows
-    a query and task do.
+    Queries are weighted by a join of terms and spread over the tasks, at most ``block``
+    each; a task reads the forward table (:mod:`marram.operators.scan`). Matches of
+    queries and texts, which grow with both, so never move: only ``k`` rows a query do.
     """
     index = as_index(corpus)
-    spark = index.forward.sparkSession
     kinds = dict(queries.dtypes)["query_id"], dict(index.forward.dtypes)["doc"]
-    ddl = f"query_id {kinds[0]}, doc {kinds[1]}, score double"
-    texts, avgdl = index.texts(), index.avgdl
-    out = None
-
-    def one(rows: list) -> DataFrame:
-        sent = spark.sparkContext.broadcast(_Asks(rows, avgdl))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            asks = sent.value
-            ids = asks.ids
-            best, types, step = Best(len(ids), k, positive=True), None, max(k, CELLS // len(ids))
-            for batch in batches:
-                types = batch.schema.field(0).type
-                for at in range(0, batch.num_rows, step):
-                    part = batch.slice(at, step)
-                    best.add(_scores(part, asks, config), part.column(0).to_pylist())
-            i, docs, scores = best.rows()
+    types, avgdl, total = tuple(pa_type(x) for x in kinds), index.avgdl, index.n
+
+    def make(files: list[str]):
+        def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            asks = _Asks(batch, total)
+            i, docs, scores = scan.best_of(asks.plan, k, True, _tiles(files, asks, avgdl, config)).rows()
             if docs:
-                yield pa.RecordBatch.from_arrays([pa.array([ids[x] for x in i]), pa.array(docs, types), pa.array(scores)], names=["query_id", "doc", "score"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i)).cast(types[0]), pa.array(docs, types[1]), pa.array(scores)], names=["query_id", "doc", "score"])
 
-        return texts.mapInArrow(run, ddl)
+        return run
 
-    for rows in blocks(index.weighted(queries).toLocalIterator(), block):
-        out = one(rows) if out is None else out.unionByName(one(rows))
-    return top_k(out if out is not None else spark.createDataFrame([], ddl), k)
+    ddl = f"query_id {kinds[0]}, doc {kinds[1]}, score double"
+    return top_k(scan.over(index.weighted(queries), scan.files_of(index.forward, "index-forward"), ddl, make, block), k)
 
 
-def first_ranks(queries: DataFrame, corpus: DataFrame | Index, relevant: DataFrame, config: RetrievalConfig = RetrievalConfig(), block: int = BLOCK) -> DataFrame:
+def first_ranks(queries: DataFrame, corpus: DataFrame | Index, relevant: DataFrame, config: RetrievalConfig = RetrievalConfig(), block: int = scan.GROUP) -> DataFrame:
     """Rank of each query's best relevant text among all texts: ``query_id, first_rank``.
 
     ``relevant``: ``query_id, doc``; order and texts left out are those of :func:`search`
     at any depth, so queries none of whose relevant texts shares a term have no row.
 
-    No ranking is made: the relevant texts of a block of queries are scored first, and a
-    pass over all texts counts those that stand before the best one. Only one row a
-    query and task moves.
+    No ranking is made: the relevant texts of all queries are scored first, and a pass
+    over all texts counts those that stand before the best one of each query that has one.
     """
     index = as_index(corpus)
-    spark = index.forward.sparkSession
     kinds = dict(queries.dtypes)["query_id"], dict(index.forward.dtypes)["doc"]
-    texts, avgdl = index.texts(), index.avgdl
-    wanted = texts.join(relevant.groupBy("doc").agg(F.collect_set("query_id").alias("of")), "doc").select("doc", "terms", "tfs", "dl", "of")
-    types = pa_type(kinds[0]), pa_type(kinds[1])
-    out, ddl = None, f"query_id {kinds[0]}, n long"
-
-    def one(rows: list) -> DataFrame:
-        sent = spark.sparkContext.broadcast(_Asks(rows, avgdl))
-
-        def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids = sent.value.ids
-            at_ = {q: i for i, q in enumerate(ids)}
-            step = max(1, CELLS // len(ids))
-            for batch in batches:
-                for at in range(0, batch.num_rows, step):
-                    part = batch.slice(at, step)
-                    scores = _scores(part, sent.value, config)
-                    cells = [(at_[q], j) for j, of in enumerate(part.column(4).to_pylist()) for q in of if q in at_]
-                    cells = [(i, j) for i, j in cells if scores[i, j] > 0]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([ids[i] for i, _ in cells], types[0]), part.column(0).take(pa.array([j for _, j in cells], pa.int64())), pa.array([scores[c] for c in cells], pa.float64())],
-                        names=["query_id", "doc", "score"],
-                    )
-
-        judged = wanted.mapInArrow(judge, f"query_id {kinds[0]}, doc {kinds[1]}, score double")
-        best = {r["query_id"]: (-r["b"]["s"], r["b"]["doc"]) for r in judged.groupBy("query_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "doc")).alias("b")).toLocalIterator()}
-        goal = spark.sparkContext.broadcast(best)
-
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids = sent.value.ids
-            goals = [goal.value.get(q, (np.inf, None)) for q in ids]
-            least, n, step = np.array([s for s, _ in goals])[:, None], np.zeros(len(ids), np.int64), max(1, CELLS // len(ids))
-            for batch in batches:
-                for at in range(0, batch.num_rows, step):
-                    part = batch.slice(at, step)
-                    docs, scores = part.column(0).to_pylist(), _scores(part, sent.value, config)
-                    n += (scores > least).sum(axis=1)
-                    for i, j in zip(*np.nonzero(scores == least)):
-                        n[i] += docs[j] < goals[i][1]
-            own = [i for i, q in enumerate(ids) if q in goal.value]
-            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in own], types[0]), pa.array(n[own], pa.int64())], names=["query_id", "n"])
-
-        return texts.mapInArrow(count, ddl)
-
-    for rows in blocks(index.weighted(queries).toLocalIterator(), block):
-        out = one(rows) if out is None else out.unionByName(one(rows))
-    out = out if out is not None else spark.createDataFrame([], ddl)
+    types, avgdl, total = pa_type(kinds[0]), index.avgdl, index.n
+    asked = write_through(index.weighted(queries), "weighted")
+    pairs = relevant.select("query_id", "doc").distinct().join(asked.drop("dfs"), "query_id").join(index.forward, "doc")
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own, ends = (flat(b.column(x))[0] for x in (2, 3)), np.cumsum(flat(b.column(2))[1])
+            (ts, ws), (have, tfs), stops = own, (flat(b.column(x))[0] for x in (4, 5)), np.cumsum(flat(b.column(4))[1])
+            dl, scores, s, t = b.column(6).to_pylist(), [], 0, 0
+            for e, u, d in zip(ends.tolist(), stops.tolist(), dl):
+                held = have[t:u]
+                at = np.minimum(np.searchsorted(held, ts[s:e]), max(u - t - 1, 0))
+                hit = held[at] == ts[s:e] if u > t else np.zeros(e - s, bool)
+                scores.append(sum((ws[s:e][hit] * _impact(tfs[t:u][at[hit]].astype(np.float64), float(d), avgdl, config)).tolist()) if hit.any() else 0.0)
+                s, t = e, u
+            keep = pa.array(np.flatnonzero(scores := np.round(np.array(scores), 9)))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(keep), b.column(1).take(keep), pa.array(scores).take(keep)], names=["query_id", "doc", "score"])
+
+    judged = pairs.select("query_id", "doc", "ts", "ws", "terms", "tfs", "dl").mapInArrow(judge, f"query_id {kinds[0]}, doc {kinds[1]}, score double")
+    best = judged.groupBy("query_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "doc")).alias("b")).select("query_id", F.col("b.doc").alias("goal"), (-F.col("b.s")).alias("score"))
+
+    def make(files: list[str]):
+        def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            asks = _Asks(batch, total)
+            n = scan.before(asks.plan, batch.column(5).to_numpy(zero_copy_only=False), np.asarray(batch.column(4).to_pylist()), _tiles(files, asks, avgdl, config))
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(types), pa.array(n)], names=["query_id", "n"])
+
+        return run
+
+    out = scan.over(asked.join(best, "query_id").select(*asked.columns, "goal", "score"), scan.files_of(index.forward, "index-forward"), f"query_id {kinds[0]}, n long", make, block)
     return out.groupBy("query_id").agg((F.sum("n") + 1).alias("first_rank"))

@@ -44,7 +44,15 @@ class Best:
             i, j = np.nonzero(scores >= np.maximum(end, self.least)[:, None])
         if not len(i):
             return
-        query, found, doc = np.concatenate([self.query, i]), np.concatenate([self.scores, scores[i, j]]), names[j] if self.docs is None else np.concatenate([self.docs, names[j]])
+        self.take(i, scores[i, j], names[j])
+
+    def take(self, i: np.ndarray, scores: np.ndarray, names: np.ndarray) -> None:
+        """Takes up single hits: queries, their scores and docs."""
+        keep = scores >= self.least[i]
+        i, scores, names = i[keep], scores[keep], names[keep]
+        if not len(i):
+            return
+        query, found, doc = np.concatenate([self.query, i]), np.concatenate([self.scores, scores]), names if self.docs is None else np.concatenate([self.docs, names])
         order = np.lexsort((doc, -found, query))
         query = query[order]
         counts = np.bincount(query, minlength=self.n)
