@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marram.functions.text import terms
-from marram.operators.ranking import BLOCK, CELLS, Best, blocks, flat, pa_type, spread, top_k
+from marram.operators import scan
+from marram.operators.ranking import BLOCK, CELLS, blocks, flat, pa_type, spread, top_k
 
 # fixed values: how queries are put to models of these families
 QUERY_FORMATS = {"raw": "{q}", "prefix": "Represent this sentence for searching relevant passages: {q}", "instruct": "Instruct: {i}\nQuery: {q}"}
@@ -72,44 +73,67 @@ def embed(rows: DataFrame, embedder: HashedEmbedder = HashedEmbedder()) -> DataF
     return given.select("doc", read.alias("given")).mapInArrow(run, f"doc {key}, embedding array<double>")
 
 
-def search(queries: DataFrame, vectors: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+class _Tile:
+    """Some vectors, by dimension."""
+
+    def __init__(self, batch: pa.RecordBatch, asked: np.ndarray) -> None:
+        self.names, self.asked = np.asarray(batch.column(0).to_pylist()), asked
+        self.vectors = flat(batch.column(1))[0].reshape(batch.num_rows, -1)
+        self.by_dim = np.ascontiguousarray(self.vectors.T, np.float32)
+        self.largest = float(np.abs(self.vectors).max(initial=0.0))
+
+    def rows(self, dim: int) -> np.ndarray:
+        return self.by_dim[dim]
+
+    #: every dimension has a row for all vectors
+    sparse = None
+
+    def exact(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Inner products of pairs of a query and a vector."""
+        parts = (np.einsum("ij,ij->i", self.asked[i[s : s + 50_000]], self.vectors[j[s : s + 50_000]]) for s in range(0, len(i), 50_000))
+        return np.round(np.concatenate([*parts, np.empty(0)]), 9)
+
+
+def _plan(asked: np.ndarray) -> scan.Plan:
+    """Sums of the filled dimensions of each query, as multiples of its smallest value: counts of a few terms are ones."""
+    filled = asked != 0
+    scale = np.where(filled, np.abs(asked), np.inf).min(axis=1, initial=np.inf)
+    scale[~np.isfinite(scale)] = 1.0
+    i, at = np.nonzero(filled)
+    return scan.Plan(at, asked[i, at] / scale[i], filled.sum(axis=1), np.ones(asked.shape[1], bool), scale, units=False)
+
+
+def search(queries: DataFrame, vectors: DataFrame, k: int, block: int = scan.GROUP) -> DataFrame:
     """Exact best ``k`` vectors of each query by inner product: ``query_id, doc, score, rank``.
 
     ``queries``: ``query_id, embedding``; ``vectors``: ``doc, embedding``. Queries are
-    read block by block and each block is broadcast; a task multiplies it with its
-    batches of vectors and keeps each query's ``k`` best, so only ``k`` rows a query and
-    task move. Ties go to the smaller ``doc``. Null vectors are left out.
+    spread over the tasks, at most ``block`` each, and a task reads the stored vectors
+    (:mod:`marram.operators.scan`), so only ``k`` rows a query move. Ties go to the
+    smaller ``doc``. Null vectors are left out.
     """
-    spark = vectors.sparkSession
     kinds = dict(queries.dtypes)["query_id"], dict(vectors.dtypes)["doc"]
-    ddl = f"query_id {kinds[0]}, doc {kinds[1]}, score double"
-    given = spread(vectors.where("embedding is not null").select("doc", F.col("embedding").cast("array<double>").alias("embedding")))
-    out = None
+    types = tuple(pa_type(x) for x in kinds)
+    if dict(vectors.dtypes)["embedding"] != "array<double>":
+        vectors = vectors.select("doc", F.col("embedding").cast("array<double>").alias("embedding"))
 
-    def one(rows: list) -> DataFrame:
-        sent = spark.sparkContext.broadcast(([r["query_id"] for r in rows], np.array([r["embedding"] for r in rows], np.float64)))
+    def make(files: list[str]):
+        def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            asked = flat(batch.column(1))[0].reshape(batch.num_rows, -1)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, q = sent.value
-            best, types = Best(len(ids), k), None
-            for b in batches:
-                types = b.schema.field(0).type
-                # few vectors at a time: the matrix of scores stays small
-                step = max(k, CELLS // len(ids))
-                for at in range(0, b.num_rows, step):
-                    part = b.slice(at, step)
-                    docs = part.column(0).to_pylist()
-                    m = flat(part.column(1))[0].reshape(len(docs), -1)
-                    best.add(np.round(q @ m.T, 9), docs)
-            i, docs, scores = best.rows()
+            def tiles() -> Iterator[_Tile]:
+                for b in scan.tiles(files, ["doc", "embedding"]):
+                    b = b.filter(b.column(1).is_valid())
+                    if b.num_rows:
+                        yield _Tile(b, asked)
+
+            i, docs, scores = scan.best_of(_plan(asked), k, False, tiles()).rows()
             if docs:
-                yield pa.RecordBatch.from_arrays([pa.array([ids[x] for x in i]), pa.array(docs, types), pa.array(scores)], names=["query_id", "doc", "score"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i)).cast(types[0]), pa.array(docs, types[1]), pa.array(scores)], names=["query_id", "doc", "score"])
 
-        return given.mapInArrow(run, ddl)
+        return run
 
-    for held in blocks(queries.where("embedding is not null").select("query_id", "embedding").toLocalIterator(), block):
-        out = one(held) if out is None else out.unionByName(one(held))
-    return top_k(out if out is not None else spark.createDataFrame([], ddl), k)
+    given = queries.where("embedding is not null").select("query_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    return top_k(scan.over(given, scan.files_of(vectors, "vectors"), f"query_id {kinds[0]}, doc {kinds[1]}, score double", make, block), k)
 
 
 def first_ranks(queries: DataFrame, vectors: DataFrame, block: int = BLOCK) -> DataFrame:

@@ -163,7 +163,7 @@ def _impact(tf, dl, avgdl: float, config: RetrievalConfig):
 
 
 def _tiles(files: list[str], asks: _Asks, avgdl: float, config: RetrievalConfig) -> Iterator[_Tile]:
-    for b in scan.tiles(files, ["doc", "terms", "tfs", "dl"], scan.TILE):
+    for b in scan.tiles(files, ["doc", "terms", "tfs", "dl"]):
         yield _Tile(b, asks, avgdl, config)
 
 

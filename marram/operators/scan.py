@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 from marram.operators.ranking import Best
 from marram.storage import write_through
 
-#: Texts of one tile, queries of one task, pairs that are scored again at once.
-TILE, GROUP, PAIRS = 65_536, 32_768, 1_000_000
+#: Texts of one tile and of the first one, which gives the first thresholds; queries of one task, pairs that are scored again at once.
+TILE, FIRST, GROUP, PAIRS = 65_536, 8_192, 32_768, 1_000_000
 #: Rows that are kept for all texts of a tile, and sums that are kept for the next query.
 ROWS, DEPTH = 512, 12
 #: Queries that are multiplied at once where most dimensions are filled.
@@ -38,23 +38,23 @@ def files_of(df: DataFrame, name: str) -> list[str]:
     return sorted(df.inputFiles())
 
 
-def tiles(files: list[str], columns: list[str], size: int) -> Iterator[pa.RecordBatch]:
-    """Rows of stored files in batches of ``size``, the last one smaller."""
+def tiles(files: list[str], columns: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows of stored files in batches of ``TILE``, the first and the last one smaller."""
     import pyarrow.parquet as pq
     from pyarrow.fs import FileSystem
 
-    held, n = [], 0
+    held, n, size = [], 0, FIRST
     for uri in files:
         fs, path = FileSystem.from_uri(uri)
         with fs.open_input_file(path) as f:
-            for b in pq.ParquetFile(f).iter_batches(size, columns=columns, use_threads=False):
+            for b in pq.ParquetFile(f).iter_batches(TILE, columns=columns, use_threads=False):
                 while b.num_rows:
                     part = b.slice(0, size - n)
                     held.append(part)
                     n, b = n + part.num_rows, b.slice(part.num_rows)
                     if n == size:
                         yield pa.concat_batches(held)
-                        held, n = [], 0
+                        held, n, size = [], 0, TILE
     if held:
         yield pa.concat_batches(held)
 
@@ -89,15 +89,16 @@ class Plan:
 
     ``at`` and ``weight``: rows and their weights of all queries, one query after the
     other; ``sizes``: how many each has; ``whole``: the rows that a tile has for all its
-    texts; ``unit``: by what a row is multiplied in the tile, and ``scale``: by what a
-    query's sums are, so that most weights are 1.
+    texts; ``unit``: by what a row is multiplied in the tile (1 without ``units``), and
+    ``scale``: by what a query's sums are, so that most weights are 1.
     """
 
-    def __init__(self, at: np.ndarray, weight: np.ndarray, sizes: np.ndarray, whole: np.ndarray, scale: np.ndarray | None = None) -> None:
+    def __init__(self, at: np.ndarray, weight: np.ndarray, sizes: np.ndarray, whole: np.ndarray, scale: np.ndarray | None = None, units: bool = True) -> None:
         n, m = len(sizes), len(whole)
         self.scale = np.ones(n) if scale is None else scale
         self.unit = np.full(m, np.inf)
-        np.minimum.at(self.unit, at, np.abs(weight))
+        if units:
+            np.minimum.at(self.unit, at, np.abs(weight))
         self.unit[~np.isfinite(self.unit) | (self.unit == 0)] = 1.0
         ends = np.cumsum(sizes)
         query = np.repeat(np.arange(n), sizes)
@@ -162,6 +163,7 @@ def best_of(plan: Plan, k: int, positive: bool, tiles_: Iterator) -> Best:
     least = best.least.copy()
     for tile in tiles_:
         n, held, many = len(tile.names), [], 0
+        mask = np.empty(n, bool)
         error = plan.error(tile.largest)
 
         def take() -> None:
@@ -171,7 +173,11 @@ def best_of(plan: Plan, k: int, positive: bool, tiles_: Iterator) -> Best:
 
         for i, scores in plan.sums(tile.rows, n, tile.sparse):
             bar = least[i] - error[i]
-            found = np.flatnonzero(scores > 0 if positive and bar <= 0 else scores >= np.float32(bar / plan.scale[i]))
+            if positive and bar <= 0:
+                np.greater(scores, 0, out=mask)
+            else:
+                np.greater_equal(scores, np.float32(bar / plan.scale[i]), out=mask)
+            found = np.flatnonzero(mask)
             if len(found) > 4 * k:
                 # hardly anything is known yet
                 own = scores[found].astype(np.float64) * plan.scale[i]

@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from marram.operators import lexical, scan
+from marram.operators import dense, lexical, scan
 
 
 class Tile:
@@ -73,3 +73,28 @@ def test_lexical_passes_do_not_grow_with_queries(spark):
     assert _plans(got) <= spark.sparkContext.defaultParallelism
     key = lambda r: (r["query_id"], r["rank"])
     assert sorted(got.collect(), key=key) == sorted(lexical.search(q, index, 5).collect(), key=key)
+
+
+def test_dense_passes_do_not_grow_with_queries(spark):
+    corpus, q, _ = _few(spark)
+    vectors, asked = dense.embed(corpus), dense.embed(q.withColumnsRenamed({"query_id": "doc", "query": "text"})).withColumnRenamed("doc", "query_id")
+    got = dense.search(asked, vectors, 5, block=4)
+    assert _plans(got) <= spark.sparkContext.defaultParallelism
+    v = {r["doc"]: np.array(r["embedding"]) for r in vectors.collect()}
+    want = {r["query_id"]: sorted((-round(float(np.array(r["embedding"]) @ x), 9), d) for d, x in v.items())[:5] for r in asked.collect()}
+    found = {}
+    for r in got.orderBy("query_id", "rank").collect():
+        found.setdefault(r["query_id"], []).append((-r["score"], r["doc"]))
+    assert found == want
+
+
+def test_first_ranks_pass_once(spark):
+    _, q, index = _few(spark)
+    relevant = q.select("query_id").crossJoin(spark.range(3, 60, 19).withColumnRenamed("id", "doc"))
+    got = lexical.first_ranks(q, index, relevant, block=4)
+    # one more for the scores of the relevant texts, which each side of a union holds
+    assert _plans(got) <= 2 * spark.sparkContext.defaultParallelism
+    ranks = {}
+    for r in lexical.search(q, index, 1000).where("doc in (3, 22, 41)").collect():
+        ranks[r["query_id"]] = min(r["rank"], ranks.get(r["query_id"], 9999))
+    assert {r["query_id"]: r["first_rank"] for r in got.collect()} == ranks
