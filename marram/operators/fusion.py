@@ -73,7 +73,8 @@ def rerank(candidates: DataFrame, corpus: DataFrame, queries: DataFrame, index:
 def _term_share(candidates: DataFrame, index: lexical.Index, queries: DataFrame) -> DataFrame:
     q = queries.select("query_id", F.explode(F.array_distinct(lexical.hashed_terms(F.col("query")))).alias("term")).join(index.df, "term", "left")
     weights = q.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("term", (1.0 / F.log(F.lit(2.0) + F.coalesce("df", F.lit(0)))).alias("w")))).alias("ts"))
-    text = candidates.join(index.forward.select("doc", F.col("terms").alias("have")), "doc").join(weights, "query_id")
+    # the terms of texts, much larger than those of questions, move once a text and not once a candidate
+    text = candidates.join(weights, "query_id").join(index.forward.select("doc", F.col("terms").alias("have")), "doc")
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x["w"])
     return text.select(
         "query_id", "doc", F.col("rank").alias("before"), F.round(total(F.filter("ts", lambda x: F.array_contains("have", x["term"]))) / total(F.col("ts")), 9).alias("score")

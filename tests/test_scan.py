@@ -98,3 +98,17 @@ def test_first_ranks_pass_once(spark):
     for r in lexical.search(q, index, 1000).where("doc in (3, 22, 41)").collect():
         ranks[r["query_id"]] = min(r["rank"], ranks.get(r["query_id"], 9999))
     assert {r["query_id"]: r["first_rank"] for r in got.collect()} == ranks
+
+
+def test_terms_of_texts_do_not_move_with_candidates(spark):
+    from marram.operators import fusion
+
+    _, q, index = _few(spark)
+    candidates = lexical.search(q, index, 5)
+    got = fusion.rerank(candidates, None, q, index=index)
+    plan = got._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    have = [len(x) - len(x.lstrip(" :+-")) for x in plan if "AS have#" in x]
+    weights = [len(x) - len(x.lstrip(" :+-")) for x in plan if "AS ts#" in x]
+    # the questions' weights are joined below the texts' terms
+    assert len(have) == 1 and max(weights) > have[0]
+    assert got.count() == candidates.count()
