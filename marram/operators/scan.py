@@ -5,10 +5,12 @@ texts at a time. Its thresholds rise from tile to tile, so hardly a match has to
 scored exactly or kept, and only results move. Where there are fewer groups of queries
 than cores, the files of the table are divided too.
 
-Inside a tile scores are summed in 32 bits, with a bound on their error, from rows of
-weights (a term's, or a dimension's, for all texts of the tile). Queries are put in an
-order in which neighbours share leading rows, whose sums are made once. What is within
-the error of a threshold is scored again in 64 bits; results depend on these scores only.
+Inside a tile scores are summed from rows of weights (a term's, or a dimension's, for
+all texts of the tile), with a bound on their error: for the best texts in 16 bits where
+a query takes each row a whole number of times, as most do, and in 32 bits otherwise.
+Queries are put in an order in which neighbours share leading rows, whose sums are made
+once. What is within the error of a threshold is scored again in 64 bits; results depend
+on these scores only. Ranks are counted in 32 bits, as many texts stand near a goal.
 """
 
 from __future__ import annotations
@@ -29,6 +31,9 @@ TILE, FIRST, GROUP, PAIRS = 65_536, 8_192, 32_768, 1_000_000
 ROWS, DEPTH = 512, 12
 #: Queries that are multiplied at once where most dimensions are filled.
 DENSE = 64
+#: Largest sum in 16 bits, and the most times that rows are taken in it. Queries that can reach more than so many times
+#: the median are left to 32 bits, as they would make the steps of all others coarse.
+MOST, TIMES, ABOVE = 32_000, 500, 4.0
 
 
 def files_of(df: DataFrame, name: str) -> list[str]:
@@ -107,42 +112,90 @@ class Plan:
         order = np.lexsort((at, -often[at], ~whole[at], query))
         rows, times = at[order], (weight[order] / self.unit[at[order]]).astype(np.float32)
         self.lists = [(rows[s:e].tolist(), times[s:e].tolist(), int(w)) for s, e, w in zip((ends - sizes).tolist(), ends.tolist(), np.bincount(query, weights=whole[at], minlength=n).tolist())]
-        keys = [tuple(zip(a[: min(w, DEPTH)], t)) for a, t, w in self.lists]
-        self.order = sorted(range(n), key=keys.__getitem__)
-        self.same = [0] * n
-        for x, y in zip(self.order, self.order[1:]):
-            while self.same[y] < min(len(keys[x]), len(keys[y])) and keys[x][self.same[y]] == keys[y][self.same[y]]:
-                self.same[y] += 1
         self.full = len(at) > n * m / 6 or len(at) > 16 * n and bool(whole.all())
         if self.full:
             self.matrix = np.zeros((n, m), np.float32)
             self.matrix[query, at] = (weight / self.unit[at]).astype(np.float32)
-        self.most = 1.5e-7 * ((m if self.full else sizes) + 4) * np.bincount(query, weights=np.abs(weight), minlength=n) * self.scale
-
-    def error(self, largest: float) -> np.ndarray:
-        """Bound of the error of a score in 32 bits where no row has a larger value, and of rounding to nine digits."""
-        return self.most * largest + 2e-9
-
-    def sums(self, rows: Callable[[int], np.ndarray], n: int, sparse: Callable[[int], tuple] | None = None) -> Iterator[tuple[int, np.ndarray]]:
-        """Each query's number and its scores of the ``n`` texts of a tile, before ``scale``; the array is used again."""
+        total = np.bincount(query, weights=np.abs(weight), minlength=n)
+        self.most = 1.5e-7 * ((m if self.full else sizes) + 4) * total * self.scale
+        self.signed = bool((weight < 0).any())
+        exactly = weight / self.unit[at]
+        self.times = np.bincount(query, weights=np.abs(exactly), minlength=n)
+        broken = np.bincount(query, weights=np.abs(exactly - np.rint(exactly)) > 1e-12 * np.abs(exactly), minlength=n)
+        self.short = (broken == 0) & (self.times <= TIMES) & (not self.full)
+        if self.short.any():
+            self.short &= total <= ABOVE * np.median(total[self.short])
+        self.reach = total[self.short].max(initial=0.0)
+        keys = [(not short, *zip(a[: min(w, DEPTH)], t)) for short, (a, t, w) in zip(self.short.tolist(), self.lists)]
+        self.order = sorted(range(n), key=keys.__getitem__)
+        self.same = [0] * n
+        for x, y in zip(self.order, self.order[1:]):
+            both = min(len(keys[x]), len(keys[y]))
+            alike = 0
+            while alike < both and keys[x][alike] == keys[y][alike]:
+                alike += 1
+            self.same[y] = max(alike - 1, 0)
+
+    def steps(self, largest: float, lifted: bool = False) -> tuple[float, np.ndarray, np.ndarray]:
+        """What a row is multiplied by for 16 bits, what one unit of each query's sums stands for, and the bound of a score's error.
+
+        It holds where no row has a value above ``largest``, and includes rounding to nine
+        digits. ``lifted``: values above 0 stay so in 16 bits.
+        """
+        by = (MOST - TIMES) / (self.reach * largest) if self.reach * largest > 0 else 1.0
+        error = np.where(self.short, (1.01 if lifted else 0.51) * self.times * self.scale / by, self.most * largest)
+        return by, np.where(self.short, self.scale / by, self.scale), error + 2e-9
+
+    def sums(self, tile, by: float | None = None, lifted: bool = False) -> Iterator[tuple[int, np.ndarray]]:
+        """Each query's number and its sums for the texts of a tile, in 16 bits where :meth:`steps` gave ``by``; the array is used again."""
         if self.full:
-            all_ = np.stack([rows(j) for j in range(self.matrix.shape[1])])
+            all_ = np.stack([tile.rows(j) for j in range(self.matrix.shape[1])])
             for s in range(0, len(self.matrix), DENSE):
                 yield from enumerate(self.matrix[s : s + DENSE] @ all_, s)
             return
-        stack = [np.zeros(n, np.float32) for _ in range(DEPTH + 1)]
-        spare = np.empty(n, np.float32)
+        n, rows, sparse = len(tile.names), tile.rows, tile.sparse
+        kept_rows: dict[int, np.ndarray] = {}
+        kept_places: dict[int, tuple] = {}
+
+        def cut(values: np.ndarray) -> np.ndarray:
+            v = values * np.float32(by)
+            out = np.rint(v).astype(np.int16)
+            if lifted:
+                out[(out == 0) & (v > 0)] = 1
+            return out
+
+        def short_rows(j: int) -> np.ndarray:
+            if j not in kept_rows:
+                if sparse is None:
+                    kept_rows[j] = cut(rows(j))
+                else:
+                    where, values = sparse(j)
+                    kept_rows[j] = row = np.zeros(n, np.int16)
+                    row[where] = cut(values)
+            return kept_rows[j]
+
+        def short_places(j: int) -> tuple:
+            if j not in kept_places:
+                where, values = sparse(j)
+                kept_places[j] = where, cut(values)
+            return kept_places[j]
+
+        stack, short = None, None
         for i in self.order:
+            if short != (by is not None and self.short[i]):
+                short = by is not None and self.short[i]
+                kind, row_of, places_of = (np.int16, short_rows, short_places) if short else (np.float32, rows, sparse)
+                stack, spare = [np.zeros(n, kind) for _ in range(DEPTH + 1)], np.empty(n, kind)
             at, times, whole = self.lists[i]
             kept = min(whole, DEPTH)
             for d in range(self.same[i], kept):
-                t, row, into = times[d], rows(at[d]), stack[d + 1]
+                t, row, into = times[d], row_of(at[d]), stack[d + 1]
                 if t == 1.0:
                     np.add(stack[d], row, out=into)
                 elif t == -1.0:
                     np.subtract(stack[d], row, out=into)
                 else:
-                    np.multiply(row, np.float32(t), out=into)
+                    np.multiply(row, kind(t), out=into)
                     into += stack[d]
             out = stack[kept]
             if len(at) > kept:
@@ -150,37 +203,61 @@ class Plan:
                 out = spare
                 for d in range(kept, len(at)):
                     if d < whole:
-                        out += rows(at[d]) * np.float32(times[d])
+                        out += row_of(at[d]) * kind(times[d])
                     else:
-                        where, values = sparse(at[d])
-                        out[where] += values if times[d] == 1.0 else values * np.float32(times[d])
+                        where, values = places_of(at[d])
+                        out[where] += values if times[d] == 1.0 else values * kind(times[d])
             yield i, out
 
 
+def _whole(x: np.ndarray) -> np.ndarray:
+    """Numbers of 16 bits, those beyond them at their end."""
+    return np.clip(x, -32768, 32767).astype(np.int16)
+
+
+def _true(mask: np.ndarray, n: int) -> np.ndarray:
+    """Places of the first ``n`` that are set; ``mask`` has whole words of eight, and words with none are passed over at once."""
+    mask[n:] = False
+    words = np.flatnonzero(mask.view(np.uint64))
+    at = np.flatnonzero(mask.reshape(-1, 8)[words])
+    return words[at >> 3] * 8 + (at & 7)
+
+
 def best_of(plan: Plan, k: int, positive: bool, tiles_: Iterator) -> Best:
     """The ``k`` best of every query; ``tiles_`` gives tiles with ``names``, ``rows``, ``sparse`` and ``exact``."""
     best = Best(len(plan.lists), k, positive)
     least = best.least.copy()
+    waiting: list[tuple] = []
+
+    def settle(enough: int) -> None:
+        # all that is known is sorted each time, so not for a few
+        if sum(len(x[0]) for x in waiting) > enough:
+            best.take(*(np.concatenate(x) for x in zip(*waiting)))
+            waiting.clear()
+
     for tile in tiles_:
         n, held, many = len(tile.names), [], 0
-        mask = np.empty(n, bool)
-        error = plan.error(tile.largest)
+        mask = np.empty(-(-n // 8) * 8, bool)
+        by, step, error = plan.steps(tile.largest, positive)
 
         def take() -> None:
-            pairs = np.concatenate([np.full(len(x), i) for i, x in held]), np.concatenate([x for _, x in held])
-            best.take(pairs[0], tile.exact(*pairs), tile.names[pairs[1]])
+            pairs = np.repeat(np.array([i for i, _ in held]), [len(x) for _, x in held]), np.concatenate([x for _, x in held])
+            scores = tile.exact(*pairs)
+            keep = scores >= best.least[pairs[0]]
+            waiting.append((pairs[0][keep], scores[keep], tile.names[pairs[1][keep]]))
             held.clear()
 
-        for i, scores in plan.sums(tile.rows, n, tile.sparse):
-            bar = least[i] - error[i]
-            if positive and bar <= 0:
-                np.greater(scores, 0, out=mask)
-            else:
-                np.greater_equal(scores, np.float32(bar / plan.scale[i]), out=mask)
-            found = np.flatnonzero(mask)
+        bars = (least - error) / step
+        # sums of what is above 0 are so themselves; where signs are mixed they are within the error
+        bars = np.where(positive & (bars <= 0), -error / step if plan.signed else np.where(plan.short, 1, np.nextafter(np.float32(0), np.float32(1))), bars)
+        with np.errstate(invalid="ignore"):
+            whole, broken = _whole(np.ceil(bars)), bars.astype(np.float32)
+        for i, scores in plan.sums(tile, by, positive):
+            np.greater_equal(scores, whole[i] if plan.short[i] else broken[i], out=mask[:n])
+            found = _true(mask, n)
             if len(found) > 4 * k:
                 # hardly anything is known yet
-                own = scores[found].astype(np.float64) * plan.scale[i]
+                own = scores[found].astype(np.float64) * step[i]
                 end = -np.partition(-own, k - 1)[k - 1]
                 found = found[own >= end - 2 * error[i]]
                 least[i] = max(least[i], end - error[i])
@@ -192,7 +269,9 @@ def best_of(plan: Plan, k: int, positive: bool, tiles_: Iterator) -> Best:
                     many = 0
         if held:
             take()
+        settle(len(plan.lists) * k // 2)
         np.maximum(least, best.least, out=least)
+    settle(0)
     return best
 
 
@@ -201,20 +280,29 @@ def before(plan: Plan, goals: np.ndarray, names: np.ndarray, tiles_: Iterator) -
     n = np.zeros(len(goals), np.int64)
     for tile in tiles_:
         held, many = [], 0
-        error = plan.error(tile.largest)
+        error = plan.most * tile.largest + 2e-9
+        first, last = (((goals + e) / plan.scale).astype(np.float32) for e in (-error, error))
+        size = len(tile.names)
+        mask, above = np.empty(-(-size // 8) * 8, bool), np.empty(size, bool)
+        from_ = mask[:size]
 
         def take() -> None:
-            i, j = np.concatenate([np.full(len(x), i) for i, x in held]), np.concatenate([x for _, x in held])
+            i, j = np.repeat(np.array([i for i, _ in held]), [len(x) for _, x in held]), np.concatenate([x for _, x in held])
             s = tile.exact(i, j)
             np.add.at(n, i[(s > goals[i]) | (s == goals[i]) & (tile.names[j] < names[i])], 1)
             held.clear()
 
-        for i, scores in plan.sums(tile.rows, len(tile.names), tile.sparse):
-            low, high = (np.float32(x / plan.scale[i]) for x in (goals[i] - error[i], goals[i] + error[i]))
-            sure = np.count_nonzero(scores > high)
+        for i, scores in plan.sums(tile):
+            np.greater_equal(scores, first[i], out=from_)
+            all_ = np.count_nonzero(from_)
+            if not all_:
+                continue
+            np.greater(scores, last[i], out=above)
+            sure = np.count_nonzero(above)
             n[i] += sure
-            if np.count_nonzero(scores >= low) > sure:
-                near = np.flatnonzero((scores >= low) & (scores <= high))
+            if all_ > sure:
+                np.not_equal(from_, above, out=from_)
+                near = _true(mask, size)
                 held.append((i, near))
                 many += len(near)
                 if many > PAIRS:

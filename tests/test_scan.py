@@ -55,6 +55,36 @@ def test_best_and_ranks_over_tiles(monkeypatch):
             assert n[q] == sum((-s, d) < (-scores[q, goal[q]], names[goal[q]]) for s, d in zip(scores[q].tolist(), names.tolist()))
 
 
+def test_whole_multiples_are_summed_in_16_bits(monkeypatch):
+    rng = np.random.default_rng(5)
+    monkeypatch.setattr(scan, "PAIRS", 50)
+    for signed in (False, True):
+        weights = np.where(rng.random((40, 30)) < 0.12, rng.integers(1, 4, (40, 30)) * np.where(rng.random((40, 30)) < 0.5 * signed, -1.0, 1.0), 0.0)
+        weights[3] *= 1.37
+        weights[4] *= 40
+        weights[5] = 0
+        rows = np.where(rng.random((30, 300)) < 0.3, rng.choice([1e-6, 0.2, 0.7, 3.0], (30, 300)), 0.0)
+        names = rng.permutation(300)
+        plan = planned(weights, rng.random(30) < 0.5, np.ones(40))
+        # what is no whole multiple, and what would make all steps coarse, is left to 32 bits
+        assert plan.short.sum() > 25 and not plan.short[3] and not plan.short[4]
+        tile = Tile(rows, names, plan, weights)
+        by, step, error = plan.steps(tile.largest, not signed)
+        scores = weights @ rows
+        kinds = set()
+        for i, sums in plan.sums(tile, by, not signed):
+            kinds.add((bool(plan.short[i]), sums.dtype))
+            assert (np.abs(sums * step[i] - scores[i]) <= error[i]).all()
+        assert kinds == {(True, np.dtype(np.int16)), (False, np.dtype(np.float32))}
+        cut = lambda: (Tile(rows[:, s : s + 70], names[s : s + 70], plan, weights) for s in range(0, 300, 70))  # noqa: B023, E731
+        got = {}
+        for i, d, s in zip(*scan.best_of(plan, 5, not signed, cut()).rows()):
+            got.setdefault(int(i), []).append((-s, d))
+        for q in range(40):
+            want = sorted((-s, d) for s, d in zip(np.round(scores[q], 9).tolist(), names.tolist()) if s > 0 or signed)[:5]
+            assert [d for _, d in sorted(got.get(q, []))] == [d for _, d in want]
+
+
 def _plans(df):
     return df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow")
 
