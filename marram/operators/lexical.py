@@ -105,12 +105,28 @@ class _Asks:
         self.weights, df = flat(batch.column(2))[0], flat(batch.column(3))[0]
         self.terms, first, self.at = np.unique(hashes, return_index=True, return_inverse=True)
         self.starts = np.cumsum(self.sizes) - self.sizes
+        # hashes by their upper sixteen bits: most places hold one term at most, so that no search is needed
+        self.upper = np.searchsorted(self.terms >> 48, np.arange(-32768, 32769)).astype(np.int32)
         # a row for all texts is added faster than more than so many places
         df = df[first]
         whole = np.zeros(len(df), bool)
         whole[np.argsort(-df, kind="stable")[: scan.ROWS]] = True
         self.plan = scan.Plan(self.at, self.weights, self.sizes, whole & (df > n / 24))
 
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the hashes that are terms here, in their order, and the terms' numbers."""
+        if not len(self.terms):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        upper = (hashes >> 48) + 32768
+        first, several = self.upper[upper], self.upper[upper + 1]
+        several -= first
+        hit = np.flatnonzero(several)
+        h, at = hashes[hit], first[hit].astype(np.int64)
+        more = np.flatnonzero((several[hit] > 1) & (self.terms[at] != h))
+        at[more] = np.minimum(np.searchsorted(self.terms, h[more]), len(self.terms) - 1)
+        same = np.flatnonzero(self.terms[at] == h)
+        return hit[same], at[same]
+
 
 class _Tile:
     """Some rows of the forward table, by term."""
@@ -118,9 +134,7 @@ class _Tile:
     def __init__(self, batch: pa.RecordBatch, asks: _Asks, avgdl: float, config: RetrievalConfig) -> None:
         self.asks, self.names = asks, np.asarray(batch.column(0).to_pylist())
         hashes, sizes = flat(batch.column(1))
-        at = np.minimum(np.searchsorted(asks.terms, hashes), len(asks.terms) - 1)
-        hit = np.flatnonzero(asks.terms[at] == hashes)
-        term = at[hit]
+        hit, term = asks.find(hashes)
         # sixteen bits are sorted by counting
         order = np.argsort(term.astype(np.uint16) if len(asks.terms) <= 65536 else term, kind="stable")
         term, self.docs = term[order], np.repeat(np.arange(batch.num_rows), sizes)[hit][order]
@@ -162,8 +176,8 @@ def _impact(tf, dl, avgdl: float, config: RetrievalConfig):
     return tf / (tf + config.bm25_k1 * (1.0 - config.bm25_b + config.bm25_b * dl / avgdl))
 
 
-def _tiles(files: list[str], asks: _Asks, avgdl: float, config: RetrievalConfig) -> Iterator[_Tile]:
-    for b in scan.tiles(files, ["doc", "terms", "tfs", "dl"]):
+def _tiles(files: list[str], asks: _Asks, avgdl: float, config: RetrievalConfig, most: int | None = None) -> Iterator[_Tile]:
+    for b in scan.tiles(files, ["doc", "terms", "tfs", "dl"], most):
         yield _Tile(b, asks, avgdl, config)
 
 
@@ -230,7 +244,7 @@ def first_ranks(queries: DataFrame, corpus: DataFrame | Index, relevant: DataFra
     def make(files: list[str]):
         def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             asks = _Asks(batch, total)
-            n = scan.before(asks.plan, batch.column(5).to_numpy(zero_copy_only=False), np.asarray(batch.column(4).to_pylist()), _tiles(files, asks, avgdl, config))
+            n = scan.before(asks.plan, batch.column(5).to_numpy(zero_copy_only=False), np.asarray(batch.column(4).to_pylist()), _tiles(files, asks, avgdl, config, scan.TILE // 2))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(types), pa.array(n)], names=["query_id", "n"])
 
         return run

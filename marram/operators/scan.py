@@ -8,6 +8,9 @@ than cores, the files of the table are divided too.
 Inside a tile scores are summed from rows of weights (a term's, or a dimension's, for
 all texts of the tile), with a bound on their error: for the best texts in 16 bits where
 a query takes each row a whole number of times, as most do, and in 32 bits otherwise.
+Texts whose values are whole multiples of one number (counts over a length) are summed
+as these multiples, in 8 bits where they suffice, and stand in the order of that number,
+so that one bar serves neighbours.
 Queries are put in an order in which neighbours share leading rows, whose sums are made
 once. What is within the error of a threshold is scored again in 64 bits; results depend
 on these scores only. Ranks are counted in 32 bits, as many texts stand near a goal.
@@ -26,7 +29,7 @@ from marram.operators.ranking import Best
 from marram.storage import write_through
 
 #: Texts of one tile and of the first one, which gives the first thresholds; queries of one task, pairs that are scored again at once.
-TILE, FIRST, GROUP, PAIRS = 65_536, 8_192, 32_768, 1_000_000
+TILE, FIRST, GROUP, PAIRS = 131_072, 8_192, 49_152, 1_000_000
 #: Rows that are kept for all texts of a tile, and sums that are kept for the next query.
 ROWS, DEPTH = 512, 12
 #: Queries that are multiplied at once where most dimensions are filled.
@@ -34,6 +37,10 @@ DENSE = 64
 #: Largest sum in 16 bits, and the most times that rows are taken in it. Queries that can reach more than so many times
 #: the median are left to 32 bits, as they would make the steps of all others coarse.
 MOST, TIMES, ABOVE = 32_000, 500, 4.0
+#: Neighbours in the order of their numbers that have one bar.
+SEGMENT = 1024
+#: Queries whose marks are looked through together.
+MARKS = 16
 
 
 def files_of(df: DataFrame, name: str) -> list[str]:
@@ -43,23 +50,24 @@ def files_of(df: DataFrame, name: str) -> list[str]:
     return sorted(df.inputFiles())
 
 
-def tiles(files: list[str], columns: list[str]) -> Iterator[pa.RecordBatch]:
-    """Rows of stored files in batches of ``TILE``, the first and the last one smaller."""
+def tiles(files: list[str], columns: list[str], most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Rows of stored files in batches of ``most`` (``TILE``), the first and the last one smaller."""
     import pyarrow.parquet as pq
     from pyarrow.fs import FileSystem
 
+    most = most or TILE
     held, n, size = [], 0, FIRST
     for uri in files:
         fs, path = FileSystem.from_uri(uri)
         with fs.open_input_file(path) as f:
-            for b in pq.ParquetFile(f).iter_batches(TILE, columns=columns, use_threads=False):
+            for b in pq.ParquetFile(f).iter_batches(most, columns=columns, use_threads=False):
                 while b.num_rows:
                     part = b.slice(0, size - n)
                     held.append(part)
                     n, b = n + part.num_rows, b.slice(part.num_rows)
                     if n == size:
                         yield pa.concat_batches(held)
-                        held, n, size = [], 0, TILE
+                        held, n, size = [], 0, most
     if held:
         yield pa.concat_batches(held)
 
@@ -146,8 +154,18 @@ class Plan:
         error = np.where(self.short, (1.01 if lifted else 0.51) * self.times * self.scale / by, self.most * largest)
         return by, np.where(self.short, self.scale / by, self.scale), error + 2e-9
 
-    def sums(self, tile, by: float | None = None, lifted: bool = False) -> Iterator[tuple[int, np.ndarray]]:
-        """Each query's number and its sums for the texts of a tile, in 16 bits where :meth:`steps` gave ``by``; the array is used again."""
+    def multiples(self, tile) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes in which each query's sums of the tile's multiples surely fit (4 are for its values as they are), and the bound of a score's error."""
+        reach = self.times * max(tile.most, 1.0)
+        size = np.where(self.short & (reach <= 32_767), np.where(reach <= 127, 1, 2), 4)
+        return size, np.where(size < 4, 1e-10 * self.times * self.scale, self.most) * tile.largest + 3e-9
+
+    def sums(self, tile, by: float | None = None, lifted: bool = False, size: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
+        """Each query's number and its sums for the texts of a tile; the array is used again.
+
+        They are in 16 bits where :meth:`steps` gave ``by``, and those of the tile's
+        multiples where :meth:`multiples` gave ``size``.
+        """
         if self.full:
             all_ = np.stack([tile.rows(j) for j in range(self.matrix.shape[1])])
             for s in range(0, len(self.matrix), DENSE):
@@ -180,15 +198,28 @@ class Plan:
                 kept_places[j] = where, cut(values)
             return kept_places[j]
 
-        stack, short = None, None
+        def multiple_rows(kind) -> Callable:
+            return lambda j: tile.multiples(j, kind)
+
+        ways = {np.float32: (rows, sparse), np.int16: (short_rows, short_places)}
+        if size is not None:
+            ways |= {kind: (multiple_rows(kind), None) for kind in (np.int8, np.int16)}
+            kinds = [{1: np.int8, 2: np.int16, 4: np.float32}[x] for x in size.tolist()]
+        else:
+            kinds = [np.int16 if x else np.float32 for x in (self.short & (by is not None)).tolist()]
+        stacks: dict = {}
+        alike: dict = {}
         for i in self.order:
-            if short != (by is not None and self.short[i]):
-                short = by is not None and self.short[i]
-                kind, row_of, places_of = (np.int16, short_rows, short_places) if short else (np.float32, rows, sparse)
-                stack, spare = [np.zeros(n, kind) for _ in range(DEPTH + 1)], np.empty(n, kind)
+            kind = kinds[i]
+            if kind not in stacks:
+                stacks[kind], alike[kind] = ([np.zeros(n, kind) for _ in range(DEPTH + 1)], np.empty(n, kind)), 0
+            for x in alike:
+                alike[x] = min(alike[x], self.same[i])
+            (row_of, places_of), (stack, spare) = ways[kind], stacks[kind]
             at, times, whole = self.lists[i]
             kept = min(whole, DEPTH)
-            for d in range(self.same[i], kept):
+            start, alike[kind] = alike[kind], DEPTH
+            for d in range(start, kept):
                 t, row, into = times[d], row_of(at[d]), stack[d + 1]
                 if t == 1.0:
                     np.add(stack[d], row, out=into)
@@ -215,12 +246,49 @@ def _whole(x: np.ndarray) -> np.ndarray:
     return np.clip(x, -32768, 32767).astype(np.int16)
 
 
-def _true(mask: np.ndarray, n: int) -> np.ndarray:
-    """Places of the first ``n`` that are set; ``mask`` has whole words of eight, and words with none are passed over at once."""
-    mask[n:] = False
-    words = np.flatnonzero(mask.view(np.uint64))
-    at = np.flatnonzero(mask.reshape(-1, 8)[words])
-    return words[at >> 3] * 8 + (at & 7)
+def _true(mask: np.ndarray) -> np.ndarray:
+    """Places that are set in marks of whole words of 64; words with none are passed over at once."""
+    words = np.flatnonzero(np.packbits(mask).view(np.uint64))
+    at = np.flatnonzero(mask.reshape(-1, 64)[words])
+    return words[at >> 6] * 64 + (at & 63)
+
+
+class _Marks:
+    """Marks of ``n`` texts for some queries, which are looked through together, as each call costs as much as thousands of texts."""
+
+    def __init__(self, n: int) -> None:
+        self.n, self.width, self.who = n, -(-n // 64) * 64, []
+        self.room = np.zeros((MARKS, self.width), bool)
+
+    def row(self) -> np.ndarray:
+        """Room for the next query's marks; it is free again until :meth:`keep`."""
+        return self.room[len(self.who), : self.n]
+
+    def places(self) -> np.ndarray:
+        """What is marked in :meth:`row`."""
+        return _true(self.room[len(self.who)])
+
+    def keep(self, i: int) -> bool:
+        """Takes up the row as that of query ``i``; whether there is no more room."""
+        self.who.append(i)
+        return len(self.who) == MARKS
+
+    def found(self) -> tuple[np.ndarray, np.ndarray]:
+        """Queries and texts of all marks kept."""
+        at = _true(self.room[: len(self.who)].reshape(-1))
+        row, place = np.divmod(at, self.width)
+        who, self.who = np.array(self.who, np.int64)[row], []
+        return who, place
+
+
+def _apart(bars: np.ndarray, units: np.ndarray) -> np.ndarray:
+    """Least multiples that can reach each query's bar, for each segment of texts; where the bar is below zero, so for the least number."""
+    low, high = (f.reduceat(units, np.arange(0, len(units), SEGMENT)) for f in (np.minimum, np.maximum))
+    out = np.empty((len(bars), len(low)), np.int16)
+    for s in range(0, len(bars), 4096):
+        b = bars[s : s + 4096, None]
+        out[s : s + 4096] = _whole(np.ceil(np.where(b > 0, b / high, b / low)))
+    return out
 
 
 def best_of(plan: Plan, k: int, positive: bool, tiles_: Iterator) -> Best:
@@ -237,11 +305,18 @@ def best_of(plan: Plan, k: int, positive: bool, tiles_: Iterator) -> Best:
 
     for tile in tiles_:
         n, held, many = len(tile.names), [], 0
-        mask = np.empty(-(-n // 8) * 8, bool)
-        by, step, error = plan.steps(tile.largest, positive)
+        marks = _Marks(n)
+        units = None if positive or plan.full else getattr(tile, "units", None)
+        if units is None:
+            (by, step, error), size = plan.steps(tile.largest, positive), None
+            multiple = [False] * len(plan.lists)
+        else:
+            by, step = None, plan.scale
+            size, error = plan.multiples(tile)
+            multiple = (size < 4).tolist()
 
         def take() -> None:
-            pairs = np.repeat(np.array([i for i, _ in held]), [len(x) for _, x in held]), np.concatenate([x for _, x in held])
+            pairs = np.concatenate([i for i, _ in held]), np.concatenate([x for _, x in held])
             scores = tile.exact(*pairs)
             keep = scores >= best.least[pairs[0]]
             waiting.append((pairs[0][keep], scores[keep], tile.names[pairs[1][keep]]))
@@ -252,21 +327,38 @@ def best_of(plan: Plan, k: int, positive: bool, tiles_: Iterator) -> Best:
         bars = np.where(positive & (bars <= 0), -error / step if plan.signed else np.where(plan.short, 1, np.nextafter(np.float32(0), np.float32(1))), bars)
         with np.errstate(invalid="ignore"):
             whole, broken = _whole(np.ceil(bars)), bars.astype(np.float32)
-        for i, scores in plan.sums(tile, by, positive):
-            np.greater_equal(scores, whole[i] if plan.short[i] else broken[i], out=mask[:n])
-            found = _true(mask, n)
-            if len(found) > 4 * k:
+        if units is not None:
+            apart, head = _apart(bars, units), n // SEGMENT * SEGMENT
+            less = np.clip(apart, -128, 127).astype(np.int8)
+        for i, scores in plan.sums(tile, by, positive, size):
+            row = marks.row()
+            if not multiple[i]:
+                np.greater_equal(scores, whole[i] if scores.dtype == np.int16 else broken[i], out=row)
+            else:
+                bar = less[i] if scores.dtype == np.int8 else apart[i]
+                np.greater_equal(scores[:head].reshape(-1, SEGMENT), bar[: head // SEGMENT, None], out=row[:head].reshape(-1, SEGMENT))
+                if head < n:
+                    np.greater_equal(scores[head:], bar[-1], out=row[head:])
+            if np.count_nonzero(row) > 4 * k:
                 # hardly anything is known yet
+                found = marks.places()
                 own = scores[found].astype(np.float64) * step[i]
+                if multiple[i]:
+                    own *= units[found]
                 end = -np.partition(-own, k - 1)[k - 1]
                 found = found[own >= end - 2 * error[i]]
                 least[i] = max(least[i], end - error[i])
-            if len(found):
-                held.append((i, found))
-                many += len(found)
-                if many > PAIRS:
-                    take()
-                    many = 0
+                held.append((np.full(len(found), i), found))
+            elif marks.keep(i):
+                held.append(marks.found())
+            else:
+                continue
+            many += len(held[-1][0])
+            if many > PAIRS:
+                take()
+                many = 0
+        if marks.who:
+            held.append(marks.found())
         if held:
             take()
         settle(len(plan.lists) * k // 2)
@@ -283,16 +375,16 @@ def before(plan: Plan, goals: np.ndarray, names: np.ndarray, tiles_: Iterator) -
         error = plan.most * tile.largest + 2e-9
         first, last = (((goals + e) / plan.scale).astype(np.float32) for e in (-error, error))
         size = len(tile.names)
-        mask, above = np.empty(-(-size // 8) * 8, bool), np.empty(size, bool)
-        from_ = mask[:size]
+        marks, above = _Marks(size), np.empty(size, bool)
 
         def take() -> None:
-            i, j = np.repeat(np.array([i for i, _ in held]), [len(x) for _, x in held]), np.concatenate([x for _, x in held])
+            i, j = np.concatenate([i for i, _ in held]), np.concatenate([x for _, x in held])
             s = tile.exact(i, j)
             np.add.at(n, i[(s > goals[i]) | (s == goals[i]) & (tile.names[j] < names[i])], 1)
             held.clear()
 
         for i, scores in plan.sums(tile):
+            from_ = marks.row()
             np.greater_equal(scores, first[i], out=from_)
             all_ = np.count_nonzero(from_)
             if not all_:
@@ -302,12 +394,14 @@ def before(plan: Plan, goals: np.ndarray, names: np.ndarray, tiles_: Iterator) -
             n[i] += sure
             if all_ > sure:
                 np.not_equal(from_, above, out=from_)
-                near = _true(mask, size)
-                held.append((i, near))
-                many += len(near)
-                if many > PAIRS:
-                    take()
-                    many = 0
+                if marks.keep(i):
+                    held.append(marks.found())
+                    many += len(held[-1][0])
+                    if many > PAIRS:
+                        take()
+                        many = 0
+        if marks.who:
+            held.append(marks.found())
         if held:
             take()
     return n

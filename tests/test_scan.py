@@ -142,3 +142,52 @@ def test_terms_of_texts_do_not_move_with_candidates(spark):
     # the questions' weights are joined below the texts' terms
     assert len(have) == 1 and max(weights) > have[0]
     assert got.count() == candidates.count()
+
+
+def test_counts_over_lengths_are_summed_in_8_bits(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(scan, "SEGMENT", 16)
+    monkeypatch.setattr(scan, "MARKS", 3)
+    rng = np.random.default_rng(8)
+    counts = np.where(rng.random((300, 40)) < 0.4, rng.integers(-4, 5, (300, 40)), 0)
+    counts[5], counts[6, 0] = 0, 90
+    asked = np.where(rng.random((40, 40)) < 0.1, rng.integers(-2, 3, (40, 40)), 0)
+    asked[7], asked[8] = 0, [1, 2, 3, 400] + [0] * 36
+    unit = lambda x: x / np.maximum(np.sqrt((x * x).sum(axis=1)), 1e-12)[:, None]
+    vectors, asked, names = unit(counts), unit(asked), rng.permutation(300)
+    odd = vectors.copy()
+    odd[:, 3] += 0.01 * rng.random(300)
+    for given, whole in ((vectors, True), (odd, False)):
+        kinds = set()
+
+        def cut():
+            for s in range(0, 300, 70):
+                v = given[s : s + 70]
+                batch = pa.RecordBatch.from_arrays([pa.array(names[s : s + 70]), pa.array(v.tolist())], names=["doc", "embedding"])
+                t = dense._Tile(batch, asked)
+                assert (t.units is not None) == whole
+                if whole:
+                    kinds.update(x.dtype for _, x in plan.sums(t, size=plan.multiples(t)[0]))
+                yield t
+
+        plan = dense._plan(asked)
+        got = {}
+        for i, d, s in zip(*scan.best_of(plan, 5, False, cut()).rows()):
+            got.setdefault(int(i), []).append((-s, d))
+        scores = np.round((asked[:, None, :] * given[None]).sum(axis=2), 9)
+        for q in range(40):
+            assert sorted(got[q]) == sorted((-s, d) for s, d in zip(scores[q].tolist(), names.tolist()))[:5]
+        assert kinds == ({np.dtype(x) for x in (np.int8, np.int16, np.float32)} if whole else set())
+
+
+def test_terms_are_found_by_their_upper_bits():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(9)
+    terms = np.unique(np.concatenate([rng.integers(-(2**63), 2**63 - 1, 50), (7 << 48) + np.arange(20), [-(2**63), 2**63 - 1]]))
+    lists = [pa.array([x.tolist()]) for x in (terms, np.ones(len(terms)), np.full(len(terms), 3))]
+    asks = lexical._Asks(pa.RecordBatch.from_arrays([pa.array(["q"]), *lists], names=["query_id", "ts", "ws", "dfs"]), 100)
+    hashes = rng.permutation(np.concatenate([terms, terms[1:-1] + 1, terms[1:-1] - 1, rng.integers(-(2**63), 2**63 - 1, 50)]))
+    hit, at = asks.find(hashes)
+    assert hit.tolist() == np.flatnonzero(np.isin(hashes, terms)).tolist() and (terms[at] == hashes[hit]).all()
