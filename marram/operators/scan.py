@@ -29,7 +29,7 @@ from marram.operators.ranking import Best
 from marram.storage import write_through
 
 #: Texts of one tile and of the first one, which gives the first thresholds; queries of one task, pairs that are scored again at once.
-TILE, FIRST, GROUP, PAIRS = 131_072, 8_192, 49_152, 1_000_000
+TILE, FIRST, GROUP, PAIRS = 131_072, 8_192, 24_576, 1_000_000
 #: Rows that are kept for all texts of a tile, and sums that are kept for the next query.
 ROWS, DEPTH = 512, 12
 #: Queries that are multiplied at once where most dimensions are filled.
