@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marram.functions.text import terms
-from marram.operators import scan
+from marram.operators import jvm, scan
 from marram.operators.ranking import BLOCK, CELLS, blocks, flat, pa_type, spread, top_k
 
 # fixed values: how queries are put to models of these families
@@ -19,6 +19,8 @@ QUERY_FORMATS = {"raw": "{q}", "prefix": "Represent this sentence for searching
 
 #: A vector's least value may be so many times the number that all its values are multiples of.
 PARTS = 8
+#: Vectors whose multiples are at most this stand together: so many times as there are terms in most questions stay within 8 bits.
+FEW = 10
 
 
 def format_query(style: str, query, instruction: str = "Retrieve passages that answer the question."):
@@ -140,6 +142,37 @@ def _plan(asked: np.ndarray) -> scan.Plan:
     return scan.Plan(at, asked[i, at] / scale[i], filled.sum(axis=1), np.ones(asked.shape[1], bool), scale, units=False)
 
 
+def _units(batch: pa.RecordBatch) -> bytes | None:
+    """Vectors as multiples of a number each, as the JVM reads them; None if they are no such."""
+    batch = batch.filter(batch.column(1).is_valid())
+    t = _Tile(batch, np.empty(0))
+    if t.order is None or batch.column(0).null_count:
+        return None
+    v = t.vectors[t.order].T
+    # scores are made from the multiples, so these must be the values but for their last bits
+    if (np.abs(t.whole * t.units - v) > 2e-15 * np.abs(v)).any():
+        return None
+    # the few vectors with large multiples apart, as they would take all others out of 8 bits
+    most = np.abs(t.whole).max(axis=0, initial=0)
+    parts = [x for x in (np.flatnonzero(most <= FEW), np.flatnonzero(most > FEW)) if len(x)]
+    return jvm.pack(len(parts)) + b"".join(jvm.pack(len(x), len(t.whole), float(most[x].max()), t.largest, t.names[x], t.units[x], t.whole[:, x]) for x in parts)
+
+
+def _asks(batch: pa.RecordBatch) -> bytes:
+    """The filled dimensions of queries, as they are and as multiples of a query's smallest value."""
+    asked = flat(batch.column(1))[0].reshape(batch.num_rows, -1)
+    filled = asked != 0
+    i, dim = np.nonzero(filled)
+    scale = np.where(filled, np.abs(asked), np.inf).min(axis=1, initial=np.inf)
+    scale[~np.isfinite(scale)] = 1.0
+    exactly = asked[i, dim] / scale[i]
+    times = np.bincount(i, weights=np.abs(exactly), minlength=len(asked))
+    broken = np.bincount(i, weights=np.abs(exactly - np.rint(exactly)) > 2e-15 * np.abs(exactly), minlength=len(asked))
+    starts = np.concatenate([[0], np.cumsum(filled.sum(axis=1))])
+    whole = np.clip(np.rint(exactly), -128, 128)
+    return jvm.pack(len(asked), len(dim), asked[i, dim], scale, times, *(x.astype(np.int32) for x in (starts, dim, whole)), (broken == 0).astype(np.int8))
+
+
 def search(queries: DataFrame, vectors: DataFrame, k: int, block: int = scan.GROUP) -> DataFrame:
     """Exact best ``k`` vectors of each query by inner product: ``query_id, doc, score, rank``.
 
@@ -169,8 +202,13 @@ def search(queries: DataFrame, vectors: DataFrame, k: int, block: int = scan.GRO
 
         return run
 
-    given = queries.where("embedding is not null").select("query_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    return top_k(scan.over(given, scan.files_of(vectors, "vectors"), f"query_id {kinds[0]}, doc {kinds[1]}, score double", make, block), k)
+    given, files_ = queries.where("embedding is not null").select("query_id", F.col("embedding").cast("array<double>").alias("embedding")), scan.files_of(vectors, "vectors")
+    if kinds[1] == "bigint" and jvm.ready(vectors.sparkSession):
+        stored = vectors.sparkSession.read.schema(vectors.select("doc", "embedding").schema).parquet(*files_) if files_ else vectors
+        tiles_ = jvm.kept(stored.select("doc", "embedding"), files_, "vector-tiles", _units)
+        if tiles_ is not None:
+            return top_k(jvm.over(given, tiles_, jvm.NEAREST, k, (0.0, 0.0, 0.0), _asks, kinds[1], block), k)
+    return top_k(scan.over(given, files_, f"query_id {kinds[0]}, doc {kinds[1]}, score double", make, block), k)
 
 
 def first_ranks(queries: DataFrame, vectors: DataFrame, block: int = BLOCK) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from marram.config import RetrievalConfig
 from marram.functions.text import terms
-from marram.operators import scan
+from marram.operators import jvm, scan
 from marram.operators.ranking import flat, pa_type, spread, top_k
 from marram.storage import write_through
 
@@ -181,6 +181,34 @@ def _tiles(files: list[str], asks: _Asks, avgdl: float, config: RetrievalConfig)
         yield _Tile(b, asks, avgdl, config)
 
 
+def _tile(batch: pa.RecordBatch) -> bytes | None:
+    """Rows of the forward table as the JVM reads them."""
+    if batch.column(0).null_count:
+        return None
+    (hashes, sizes), tfs = flat(batch.column(1)), flat(batch.column(2))[0]
+    return jvm.pack(batch.num_rows, len(hashes), batch.column(0).to_numpy(zero_copy_only=False), hashes, sizes.astype(np.int32), batch.column(3).to_numpy(zero_copy_only=False).astype(np.int32), tfs.astype(np.int32))
+
+
+def _asks(batch: pa.RecordBatch) -> bytes:
+    """Weighted queries, with their goals if there are any, as the JVM reads them."""
+    hashes, sizes = flat(batch.column(1))
+    terms, at = np.unique(hashes, return_inverse=True)
+    n, starts = len(sizes), np.concatenate([[0], np.cumsum(sizes)])
+    # neighbours share their most frequent terms, whose postings then lie in a cache
+    often = np.bincount(at, minlength=len(terms))
+    ranked = np.append(at[np.lexsort((at, -often[at], np.repeat(np.arange(n), sizes)))], -1)
+    order = np.lexsort([np.where(sizes > d, ranked[np.minimum(starts[:-1] + d, len(at))], -1) for d in (2, 1, 0)])
+    goals = (batch.column(5).to_numpy(zero_copy_only=False), batch.column(4).to_numpy(zero_copy_only=False)) if batch.num_columns > 4 else ()
+    return jvm.pack(n, len(terms), len(at), terms, flat(batch.column(2))[0], *goals, *(x.astype(np.int32) for x in (starts, order, at)))
+
+
+def _scanned(index: Index) -> list[str] | None:
+    """The index as tiles for the JVM, where it can be used."""
+    if dict(index.forward.dtypes)["doc"] != "bigint" or not jvm.ready(index.forward.sparkSession):
+        return None
+    return jvm.kept(index.forward.select("doc", "terms", "tfs", "dl"), sorted(index.forward.inputFiles()), "index-tiles", _tile)
+
+
 def search(queries: DataFrame, corpus: DataFrame | Index, k: int, config: RetrievalConfig = RetrievalConfig(), block: int = scan.GROUP) -> DataFrame:
     """Best ``k`` texts of each query: ``query_id, doc, score, rank``.
 
@@ -205,6 +233,8 @@ def search(queries: DataFrame, corpus: DataFrame | Index, k: int, config: Retrie
 
         return run
 
+    if (files_ := _scanned(index)) is not None:
+        return top_k(jvm.over(index.weighted(queries), files_, jvm.BEST, k, (config.bm25_k1, config.bm25_b, avgdl), _asks, kinds[1], block), k)
     ddl = f"query_id {kinds[0]}, doc {kinds[1]}, score double"
     return top_k(scan.over(index.weighted(queries), scan.files_of(index.forward, "index-forward"), ddl, make, block), k)
 
@@ -249,5 +279,9 @@ def first_ranks(queries: DataFrame, corpus: DataFrame | Index, relevant: DataFra
 
         return run
 
-    out = scan.over(asked.join(best, "query_id").select(*asked.columns, "goal", "score"), scan.files_of(index.forward, "index-forward"), f"query_id {kinds[0]}, n long", make, block)
+    goals = asked.join(best, "query_id").select(*asked.columns, "goal", "score")
+    if (files_ := _scanned(index)) is not None:
+        out = jvm.over(goals, files_, jvm.BEFORE, 0, (config.bm25_k1, config.bm25_b, avgdl), _asks, kinds[1], block)
+    else:
+        out = scan.over(goals, scan.files_of(index.forward, "index-forward"), f"query_id {kinds[0]}, n long", make, block)
     return out.groupBy("query_id").agg((F.sum("n") + 1).alias("first_rank"))
