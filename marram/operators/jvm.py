@@ -77,7 +77,7 @@ def tiles(table: DataFrame, name: str, write: Callable[[pa.RecordBatch], bytes |
             paths.append(None if data is None else f"{folder}/{uuid.uuid4().hex}")
             if data is not None:
                 with fs.open_output_stream(f"{path}/{paths[-1].rpartition('/')[2]}") as f:
-                    f.write(data)
+                    f.write(pack(len(data)) + pa.compress(data, codec="zstd", asbytes=True))
             held.clear()
 
         for b in batches:
